@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, packing, quality_mil, sharding, token_counts
+from . import bpe, exact_dedup, license_scan, ngram_join, packing, quality_mil, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir), ngram_join.Threshold(words=3, percent=90))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_mil": op2_quality_mil,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_jump_shards": op8_jump_shards,
     "op9_license_scan": op9_license_scan,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 SQL: dict[str, str] = {
