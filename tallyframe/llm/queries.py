@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, ngram_join, packing, quality_mil, sharding, token_counts
+from . import ann, bpe, exact_dedup, license_scan, ngram_join, packing, quality_mil, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
 
 
+def op4_anisotropic_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0, k=20)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = token_counts.length_histogram(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.suffix_sums(histogram)
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_mil": op2_quality_mil,
     "op3_packing": op3_packing,
+    "op4_anisotropic_mips": op4_anisotropic_mips,
     "op6_token_counts": op6_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_jump_shards": op8_jump_shards,
