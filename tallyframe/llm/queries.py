@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, license_scan, ngram_join, packing, quality_mil, sharding, token_counts
+from . import ann, bpe, exact_dedup, license_scan, ngram_join, packing, pii, quality_mil, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Key of the surrogates in these queries; a real corpus needs a secret one.
+SURROGATE_KEY = b"tallyframe example key"
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -36,6 +39,10 @@ def op4_anisotropic_mips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0, k=20)
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), SURROGATE_KEY, report=True)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = token_counts.length_histogram(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return token_counts.suffix_sums(histogram)
@@ -80,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality_mil": op2_quality_mil,
     "op3_packing": op3_packing,
     "op4_anisotropic_mips": op4_anisotropic_mips,
+    "op5_surrogates": op5_surrogates,
     "op6_token_counts": op6_token_counts,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_jump_shards": op8_jump_shards,
