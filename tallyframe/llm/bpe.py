@@ -30,7 +30,9 @@ BYTE_BASE = 0x4E00
 #: Types of pieces and of models in a sentencepiece model file.
 NORMAL, UNKNOWN, BPE = 1, 2, 2
 #: Pre-tokens kept per worker before the memo starts anew; longer ones than LONGEST are never kept.
-MEMO_PIECES, LONGEST = 600_000, 64
+MEMO_PIECES, LONGEST = 250_000, 64
+#: Bytes of text encoded at a time, and rows decoded at a time.
+SLICE, STEP = 2 << 20, 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,12 +65,17 @@ def _field(number: int, value: bytes | int | float) -> bytes:
     return _varint(number << 3) + _varint(value)
 
 
-def serialise_model(ranks: dict[bytes, int]) -> bytes:
-    """A sentencepiece model whose piece ids are the ranks; the unknown piece comes last."""
+def pieces_of(ranks: dict[bytes, int]) -> list[tuple[str, float]]:
+    """(piece, score) of each id."""
     by_rank = sorted(ranks.items(), key=lambda kv: kv[1])
     if [r for _, r in by_rank] != list(range(len(by_rank))):
         raise ValueError("ranks must run from 0 without gaps")
-    pieces = [(to_chars(token), -float(rank), NORMAL) for token, rank in by_rank] + [("<unk>", 0.0, UNKNOWN)]
+    return [(to_chars(token), -float(rank)) for token, rank in by_rank]
+
+
+def serialise_model(ranks: dict[bytes, int]) -> bytes:
+    """A sentencepiece model whose piece ids are the ranks; the unknown piece comes last."""
+    pieces = [(piece, score, NORMAL) for piece, score in pieces_of(ranks)] + [("<unk>", 0.0, UNKNOWN)]
     body = b"".join(_field(1, _field(1, p.encode()) + _field(2, score) + _field(3, kind)) for p, score, kind in pieces)
     trainer = _field(3, BPE) + _field(4, len(pieces)) + _field(40, len(pieces) - 1) + _field(41, 2**64 - 1) + _field(42, 2**64 - 1) + _field(43, 2**64 - 1)
     normaliser = _field(1, b"identity") + _field(3, 0) + _field(4, 0) + _field(5, 0)
@@ -85,7 +92,6 @@ class PieceCodec:
         self.ranks = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(self.ranks))
         self.split = regex.compile(pattern).findall
-        self.bytes_of = [to_bytes(self.model.id_to_piece(i)) for i in range(len(self.ranks))]
         self.known: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
@@ -124,13 +130,19 @@ def codec(path: str, pattern: str) -> PieceCodec:
     return PieceCodec(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def bytes_of_ids(path: str) -> list[bytes]:
+    """What each id stands for: the inverse of the mapping from bytes to a piece's characters."""
+    return [to_bytes(piece) for piece, _ in pieces_of(read_ranks(path))]
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of docs but `text`, and the token ids of the whole text as an array of ints."""
     keep = [c for c in docs.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_batch = codec(path, pattern).encode_batch
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             coded = int_lists(encode_batch([t or "" for t in batch.column(text).to_pylist()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), coded], names=[*keep, ids])
 
@@ -139,20 +151,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return source.mapInArrow(run, schema)
 
 
-def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with the bytes that the ids stand for in `out`."""
     keep = [c for c in docs.columns if c != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = codec(path, pattern).bytes_of
+        table = bytes_of_ids(path)
         for batch in batches:
-            lists, step = batch.column(ids), 500
-            texts = []
-            for at in range(0, batch.num_rows, step):
-                for row in lists.slice(at, step):
-                    values = row.values
-                    texts.append(None if values is None else b"".join([table[i] for i in values.to_numpy(zero_copy_only=False).tolist()]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(texts, pa.binary())], names=[*keep, out])
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                lists = [row.values for row in part.column(ids)]
+                texts = [None if v is None else b"".join([table[i] for i in v.to_numpy(zero_copy_only=False).tolist()]) for v in lists]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.binary())], names=[*keep, out])
 
     source = docs.select(*(F.col(f"`{c}`") for c in keep))
     return source.mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add(out, BinaryType()))

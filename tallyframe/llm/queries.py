@@ -50,7 +50,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern), path, pattern)
+    coded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path, pattern), path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
