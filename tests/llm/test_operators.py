@@ -1,0 +1,306 @@
+"""Each operator against brute force or a library, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tallyframe.llm import ann, bpe, components, exact_dedup, license_scan, ngram_join, packing, pii, quality_mil, sharding, token_counts
+
+JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+LONG = " ".join(f"w{i % 977}" for i in range(20_000))
+ODD = [(1, "a b c"), (2, None), (3, ""), (4, "a b c"), (4, "a b c"), (None, "a b c"), (5, LONG), (6, "日本語 текст é x  y"), (7, "a b"), (8, "it's\n\n 3 things!")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows, with extra columns whose names the operators use themselves."""
+    rows = [(k, t, 1.5, "x", [1], k) for k, t in ODD]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, score double, bucket string, ids array<int>, n bigint").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+def test_exact_dedup(odd, none):
+    out = exact_dedup.duplicates(odd).collect()
+    assert len(out) == len(ODD)
+    groups = Counter(t or "" for _, t in ODD)
+    keep = {t: max((k for k, u in ODD if (u or "") == t and k is not None), default=None) for t in groups}
+    by_hash = {hashlib.sha256(t.encode()).hexdigest(): t for t in groups}
+    for r in out:
+        t = by_hash[r["text_sha256"]]
+        assert (r["group_size"], r["keep_id"]) == (groups[t], keep[t]) and r["kept"] == (r["doc_id"] == keep[t])
+    assert exact_dedup.duplicates(none).count() == 0
+
+
+def test_cuckoo_filter_grows_deletes_and_verifies():
+    bucket = exact_dedup.DigestBucket(groups=1)
+    digests = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
+    assert all(bucket.insert(d, 1, i) for i, d in enumerate(digests))
+    assert bucket.filter.groups > 1 and not any(bucket.insert(d, 1, 9) for d in digests)
+    assert all(bucket.delete(d) for d in digests[:1500]) and all(bucket.filter.contains(d) for d in digests)
+    assert all(bucket.delete(d) for d in digests[:1500]) and not bucket.delete(digests[0])
+    assert not any(d in bucket.content for d in digests[:1500]) and all(bucket.filter.contains(d) for d in digests[1500:])
+
+
+def test_index_updates(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id bigint, text string")
+    index = exact_dedup.build_index(docs, 4)
+    later = exact_dedup.update_index(index, spark.createDataFrame([(9, "c")], docs.schema), docs.where("doc_id != 1"), 4)
+    live = {bytes(r["digest"]): r["live"] for r in later.collect()}
+    assert live == {hashlib.sha256(t).digest(): 1 for t in (b"a", b"c")}
+    found = exact_dedup.look_up(later, exact_dedup.filter_table(later), docs, 4)
+    assert sorted(r["doc_id"] for r in found.collect()) == [1, 2]
+
+
+def test_quality(spark, odd, none):
+    rng = random.Random(1)
+    good = [" ".join(rng.choice("the of and river stone walk".split()) for _ in range(90)) for _ in range(150)]
+    bad = [g[:200] + " ".join(["%%% $$$ ###"] * 20) for g in good]
+    rows = [(i, t) for i, t in enumerate(good + bad)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i < 150), 0) for i in range(300)] + [(None, 1, 0), (3, None, 0)], "doc_id bigint, quality int, toxic int")
+    model = quality_mil.train(docs, labels.where(~quality_mil.held_out()))
+    held = quality_mil.score(docs, model).where(quality_mil.held_out()).collect()
+    assert len(held) > 30 and np.mean([(r["score"] >= 0.3) == (r["doc_id"] < 150) for r in held]) > 0.95
+    scores = quality_mil.score(odd, model).collect()
+    assert len(scores) == len(ODD) and all(0 <= r["score"] <= 1 for r in scores)
+    assert quality_mil.score(none, model).count() == 0
+    assert quality_mil.train(none, labels.limit(0)).prior == 0.5
+    assert next(r["quality_score"] for r in quality_mil.score(odd, model, out="quality_score").collect()) is not None
+
+
+def test_attention_gradient():
+    rng = np.random.default_rng(0)
+    bags, label = [rng.normal(size=(n, quality_mil.FEATURES)) for n in (1, 4, 2)], np.array([0.0, 1.0, 1.0])
+    model = quality_mil.fit(bags, label, epochs=1)
+    x, first = np.concatenate(bags), np.array([0, 1, 5, 7])
+    loss = lambda: -np.mean(np.log(np.where(label == 1, s := model.score(x, first), 1 - s)))
+    slope = model.gradient(x, first, label)
+    for name, w in model.weights.items():
+        at = tuple(rng.integers(n) for n in w.shape)
+        w[at] += 1e-5
+        up = loss()
+        w[at] -= 2e-5
+        down = loss()
+        w[at] += 1e-5
+        assert abs((up - down) / 2e-5 - slope[name][at]) < 1e-5, name
+
+
+def test_packing(odd, none):
+    encode = library()
+    packed = packing.pack(odd, JSON, capacity=64, end_id=0, keep_ids=True)
+    rows = packed.collect()
+    whole = Counter()
+    for _, t in ODD:
+        ids = [*encode(t), 0]
+        whole.update((tuple(ids[a : a + 64]), a, len(ids)) for a in range(0, len(ids), 64))
+    assert Counter((tuple(r["ids"]), r["start"], r["doc_tokens"]) for r in rows) == whole
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    for _, group in itertools.groupby(sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])), key=lambda r: r["sequence_id"]):
+        end = 0
+        for r in group:
+            assert r["offset"] == end
+            end += r["length"]
+        assert end <= 64
+    ids = packing.sequences(packed, 64, 5).collect()
+    assert all(len(r["ids"]) == 64 for r in ids)
+    assert packing.pack(none, JSON).count() == 0
+
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), max_size=6), st.integers(0, 60))
+@settings(max_examples=60, deadline=None)
+def test_fill_is_closest(counts, room):
+    used = packing.fill(counts, room)
+    assert all(0 < n <= counts[k] for k, n in used.items())
+    sums = {sum(k * n for k, n in zip(counts, c, strict=True)) for c in itertools.product(*(range(n + 1) for n in counts.values()))}
+    assert sum(k * n for k, n in used.items()) == max(s for s in sums if s <= room)
+
+
+def test_ann(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[700:760] = x[700]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    bad = [(5000, None, 0), (5020, [0.0] * 16, 0), (5040, [float("nan")] * 16, 0), (5060, [None] + [1.0] * 15, 0), (5080, [1.0], 0), (None, [1.0] * 16, 0)]
+    table = spark.createDataFrame(rows + bad, "vec_id bigint, embedding array<float>, near int").repartition(3)
+    out = ann.search(table, F.col("id") % 20 == 0, k=10).collect()
+    hit = 0
+    for q in range(0, 1500, 20):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        best = np.lexsort((np.arange(1500), -s))[:10]
+        got = sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in got] == list(range(1, 11)) and np.allclose([r["score"] for r in got], s[[r["vec_id"] for r in got]])
+        hit += len(set(best) & {r["vec_id"] for r in got})
+    assert hit / 750 >= 0.9 and {r["query_id"] for r in out} == set(range(0, 1500, 20))
+    assert ann.search(table.limit(0), F.col("id") % 20 == 0).count() == 0
+    assert ann.search(table.where("vec_id < 3"), F.col("id") % 20 == 0).count() == 2
+
+
+TEXT = "Mr. John Smith met Frau Anna Müller and Dr. Иван Петров. Mail Bob@mail.example.com or bob@mail.example.com, +1 (212) 555-1234, 192.168.1.7, 4111 1111 1111 1111, not 4111111111111112. token = \"a1b2c3d4e5f6a7b8\""
+
+
+def test_pii(spark, odd, none):
+    docs = spark.createDataFrame([(1, TEXT, "k"), (2, TEXT + " again", "k"), (3, "no one here", "k"), (4, None, "k")], "doc_id bigint, text string, kinds string")
+    out = {r["doc_id"]: r for r in pii.pseudonymise(docs, b"key").collect()}
+    one = out[1]["text"]
+    assert out[3]["text"] == "no one here" and out[4]["text"] is None and out[2]["text"] == one + " again"
+    for secret in ("Smith", "Müller", "Петров", "example.com", "555-1234", "192.168.1.7", "4111 1111 1111 1111", "a1b2c3d4"):
+        assert secret not in one
+    assert "4111111111111112" in one and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", one) and re.search("[А-Я][а-я]+", one)
+    mails = re.findall(r"\S+@\S+\.com", one)
+    assert len({m.lower() for m in mails}) == 1 and mails[0] != mails[1]
+    card = next(e for e in pii.detect(one) if e[2] == "card")
+    assert pii.luhn(card[3])
+    changed = Counter(r["text"] for r in pii.pseudonymise(odd, b"key").collect())
+    assert changed == Counter(t for _, t in ODD) and pii.pseudonymise(none, b"key").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    entities = spark.createDataFrame([("ip", f"1.1.{i}.{j}") for i in range(1, 10) for j in range(1, 10)], "kind string, canonical string")
+    made = [r["made"] for r in pii.assign_surrogates(entities, b"key").collect()]
+    assert len(set(made)) == 81 and not set(made) & {f"1.1.{i}.{j}" for i in range(1, 10) for j in range(1, 10)}
+
+
+def test_token_counts(odd, none):
+    encode = library()
+    lengths = sorted(len(encode(t)) for _, t in ODD)
+    sums = token_counts.suffix_sums(token_counts.length_histogram(odd, JSON), block=4)
+    for r in sums.collect():
+        n = r["n_tokens"]
+        assert r["n_docs"] == lengths.count(n) and r["docs_from"] == sum(x >= n for x in lengths) and r["tokens_from"] == sum(x for x in lengths if x >= n)
+        assert r["tokens_total"] == sum(lengths) and r["truncated_total"] == sum(min(x, n) for x in lengths)
+    assert sums.agg(token_counts.truncated_total(sums, 4)).first()[0] == sum(min(x, 4) for x in lengths)
+    assert sums.agg(token_counts.length_quantile(sums, 0.5)).first()[0] == lengths[4]
+    assert token_counts.suffix_sums(token_counts.length_histogram(none, JSON)).count() == 0
+
+
+def tik():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+
+
+@given(st.text(alphabet=st.sampled_from("ab \n\té漢'sdont.!12\U0001f600 \x1c"), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_bpe_equals_tiktoken(text):
+    ids = np.frombuffer(bpe.codec(RANKS, public_tokenizers.PATTERN).encode_batch([text])[0], "<i4").tolist()
+    assert ids == tik().encode_ordinary(text)
+
+
+def test_every_entry_encodes_alike():
+    own, encode = tik(), library()
+    for token in list(bpe.read_ranks(RANKS))[::7]:
+        try:
+            text = token.decode()
+        except UnicodeDecodeError:
+            continue
+        assert encode(text) == own.encode_ordinary(text)
+
+
+def test_bpe_round_trip(odd, none):
+    path, pattern = RANKS, public_tokenizers.PATTERN
+    out = bpe.decode(bpe.encode(odd, path, pattern), path).collect()
+    assert Counter(bytes(r["decoded"]).decode() for r in out) == Counter(t or "" for _, t in ODD)
+    assert bpe.decode(bpe.encode(none, path, pattern), path).count() == 0
+
+
+def jump(key, n):
+    key, b, j = key & 2**64 - 1, -1, 0
+    while j < n:
+        b = j
+        key = (key * sharding.MULTIPLIER + 1) & 2**64 - 1
+        j = int((b + 1) * (float(1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
+def test_sharding(spark, odd, none):
+    keys = [0, 1, -1, 2**63 - 1, -(2**63), *range(1000, 1300)]
+    got = spark.createDataFrame([(k,) for k in keys], "k bigint").select("k", sharding.jump_shard(F.col("k"), 24).alias("s"), sharding.jump_shard(F.col("k"), 25).alias("g")).collect()
+    assert all((r["s"], r["g"]) == (jump(r["k"], 24), jump(r["k"], 25)) and (r["s"] == r["g"] or r["g"] == 24) for r in got)
+    out = sharding.assign_shards(odd, 3, parts=4).collect()
+    for s in range(3):
+        slots = sorted(r["slot"] for r in out if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    assert Counter((r["size"], r["text_crc32"]) for r in out) == Counter((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for _, t in ODD)
+    assert sharding.assign_shards(none, 3).count() == 0
+
+
+def test_license_scan(spark, odd, none):
+    rows = [(1, "x Released under the MIT License. y under the mit license"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "the license of mit"), (4, None)]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [b["word"] for b in out[1]["base"]] == [2, 7] and {b["label"] for b in out[1]["base"]} == {"mit"}
+    assert {n["label"] for n in out[2]["notices"]} == {"gpl-3"} and out[2]["notices"][0]["coverage"] == 1.0
+    assert not out[3]["base"] and not out[3]["notices"] and out[4]["n_words"] == 0
+    assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(none).count() == 0
+
+
+def near(rows, words, percent):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+            parent[find(j)] = find(i)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    return Counter((k, len(sets[i]), least.get(find(i)) if sets[i] else k) for i, (k, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("words", "percent"), [(3, 90), (5, 80)])
+def test_ngram_join(spark, words, percent):
+    rng = random.Random(words)
+    rows = list(ODD[:4]) + ODD[5:]
+    for family in range(12):
+        base = [f"f{family}w{rng.randrange(60)}" if rng.random() < 0.7 else rng.choice("the of and".split()) for _ in range(rng.choice([4, 12, 80, 150]))]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rng.randrange(5)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows) + 100, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    out = ngram_join.near_duplicates(docs, ngram_join.Threshold(words, percent)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == near(rows, words, percent)
+
+
+def test_ngram_join_on_nothing(none):
+    assert ngram_join.near_duplicates(none).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a int, b int")
+    out = {r["vertex"]: r["component"] for r in components.components(edges).collect()}
+    assert out == {**dict.fromkeys(range(1, 61), 0), 101: 100}
