@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, cleaning, similarity
-from ..operators import duplicates, entities, graph, lineage, relations, search, statistics
+from ..operators import duplicates, entities, graph, lineage, maintenance, relations, search, statistics, timeseries
 from ..sources.adapters import EDGES_SQL, LEDGER_SQL, RELATIONSHIPS_SQL, entity_edges, ledger_events, relationships, table
 from ..streaming.rates import rate_windows
 
@@ -411,3 +411,71 @@ def lineage_path(spark, sf_dir):
 def token_jaccard_names(spark, sf_dir):
     same = similarity.jaccard(cleaning.tokens(F.col("p_name")), cleaning.tokens(F.col("p_name"))) == 1.0
     return table(spark, sf_dir, "part").where(same).groupBy("p_brand").agg(F.count("*").alias("n"), F.max("p_name").alias("last_name"))
+
+
+@_query("orphans_with_reason", """SELECT l_orderkey, l_linenumber, CASE WHEN o.k IS NULL THEN 'no_o_orderkey' ELSE 'no_s_suppkey' END AS reason FROM lineitem LEFT JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 11 <> 3) o ON l_orderkey=o.k LEFT JOIN (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 5 <> 1) s ON l_suppkey=s.k WHERE o.k IS NULL OR s.k IS NULL""")
+def orphans_with_reason(spark, sf_dir):
+    lines, orders, suppliers = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
+    found = maintenance.orphans(lines, [(orders.where("o_orderkey % 11 != 3"), "l_orderkey", "o_orderkey"), (suppliers.where("s_suppkey % 5 != 1"), "l_suppkey", "s_suppkey")])
+    return found.select("l_orderkey", "l_linenumber", "reason")
+
+
+@_query("expire_stale_jobs", "SELECT event_id, CASE WHEN event_type='click' AND ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 2 HOUR THEN 'failed' WHEN event_type='click' THEN 'running' ELSE 'done' END AS status FROM events")
+def expire_stale_jobs(spark, sf_dir):
+    jobs = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "click", "running").otherwise("done").alias("status"), "ts")
+    return maintenance.expire_stale(jobs, "status", "ts", F.lit("2024-01-15").cast("timestamp"), 2).select("event_id", "status")
+
+
+@_query("fold_latest_event", "SELECT c_custkey, x.event_type AS last_type FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1) x ON c_custkey = x.user_id")
+def fold_latest_event(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"), "event_id", F.col("event_type").alias("last_type"))
+    return maintenance.fold_latest(table(spark, sf_dir, "customer").select("c_custkey"), events, "c_custkey", "event_id", ["last_type"])
+
+
+def _days(spark, sf_dir):
+    return timeseries.daily_series(table(spark, sf_dir, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint")), "event_type", "ts", "cents")
+
+
+_DAYS_SQL = """WITH s AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(sum(CAST(round(value*100) AS BIGINT)) AS DOUBLE) AS value FROM events GROUP BY 1,2), d AS (SELECT event_type, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM s GROUP BY 1), f AS (SELECT d.event_type, d.day, coalesce(s.value,0.0) AS value FROM d LEFT JOIN s ON d.event_type=s.event_type AND d.day=s.day)"""
+
+
+@_query("daily_series", f"{_DAYS_SQL} SELECT event_type, strftime(day,'%Y-%m-%d') AS day, value FROM f")
+def daily_series(spark, sf_dir):
+    return _days(spark, sf_dir).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@_query("regime_shifts", f"""{_DAYS_SQL}, w AS (SELECT event_type, day, avg(value) OVER b AS before, stddev_samp(value) OVER b AS sd, avg(value) OVER a AS after, count(value) OVER b AS n, count(value) OVER a AS m FROM f WINDOW b AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
+ SELECT event_type, strftime(day,'%Y-%m-%d') AS day, round(before,3) AS before, round(after,3) AS after FROM w WHERE n=5 AND m=5 AND sd>0 AND abs(after-before)>2*sd""")
+def regime_shifts(spark, sf_dir):
+    found = timeseries.rolling_shifts(_days(spark, sf_dir), "event_type", "day", "value", 5, 2.0)
+    return found.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("before", 3).alias("before"), F.round("after", 3).alias("after"))
+
+
+@_query("seasonal_periods")
+def seasonal_periods(spark, sf_dir):
+    return timeseries.seasons(_days(spark, sf_dir), "event_type", "day", "value").withColumn("strength", F.round("strength", 6))
+
+
+@_query("gap_motifs")
+def gap_motifs(spark, sf_dir):
+    found = timeseries.motifs(_days(spark, sf_dir), "event_type", "day", "value", [0.0, 1.0, 0.0, 1.0], 0.5)
+    return found.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("distance", 6).alias("distance"))
+
+
+@_query("platform_relation_counts", f"{ENRICHED_SQL} SELECT platform_relation, is_causal, count(*) AS n, CAST(sum(days_between) AS BIGINT) AS days FROM enriched GROUP BY 1,2")
+def platform_relation_counts(spark, sf_dir):
+    return _links(spark, sf_dir).groupBy("platform_relation", "is_causal").agg(F.count("*").alias("n"), F.sum("days_between").alias("days"))
+
+
+@_query("field_meanings", """SELECT CASE WHEN regexp_matches(c,'amount|total|price|value|balance|cost') THEN 'amount' WHEN regexp_matches(c,'date|time|ts$|created|updated') THEN 'date' WHEN regexp_matches(c,'(^|_)(id|key)$|number') THEN 'identifier' WHEN regexp_matches(c,'status|state') THEN 'status' ELSE 'unknown' END AS meaning, CAST(count(*) AS INTEGER) AS n_columns
+ FROM (SELECT column_name AS c FROM (DESCRIBE SELECT * FROM orders) UNION ALL SELECT column_name FROM (DESCRIBE SELECT * FROM lineitem)) GROUP BY 1""")
+def field_meanings(spark, sf_dir):
+    names = [c for t in ("orders", "lineitem") for c in table(spark, sf_dir, t).columns]
+    listed = spark.createDataFrame([(n,) for n in names], "name string")
+    return listed.groupBy(classify.field_meaning(F.col("name")).alias("meaning")).agg(F.count("*").cast("int").alias("n_columns"))
+
+
+@_query("document_entropy_bands")
+def document_entropy_bands(spark, sf_dir):
+    bits = F.round(classify.shannon_entropy(F.substring("url", 1, 60)), 1)
+    return table(spark, sf_dir, "pages").groupBy(bits.alias("bits_per_char")).agg(F.count("*").alias("n"))
