@@ -7,7 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tallyframe.plans.ledger import QUERIES, SQL
+from tallyframe.plans import enrichment, ledger
+
+QUERIES, SQL = ledger.QUERIES | enrichment.QUERIES, ledger.SQL | enrichment.SQL
 
 SF = "/root/testdata/sf0.001"
 
