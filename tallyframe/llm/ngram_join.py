@@ -3,9 +3,9 @@
 Texts that have the same set of n-grams are one set. Each set's n-grams are
 ordered rarest first and only its prefix is joined: two sets at or above the
 threshold share an n-gram of both prefixes. Candidates pass a length filter, a
-positional filter (what can still follow the shared n-gram) and a suffix
-filter (n-grams counted over cells of their hash), and each pair is verified
-once, on whole sets.
+positional filter (the n-grams before a shared one bound what two sets can
+have in common) and a suffix filter (n-grams counted over cells of their
+hash), and each pair is verified once, on whole sets.
 
 Rarity comes from a sketch of fixed size that counts the n-grams of all
 documents by hash; it decides only the order, so a collision costs time and
@@ -38,8 +38,10 @@ from .tokens import slices
 
 #: Slots of the frequency sketch, and slots in one row of it while it is summed.
 SKETCH, SKETCH_ROW = 1 << 22, 1 << 12
-#: Cells of the suffix filter.
-CELLS = 16
+#: Cells of the suffix filter, one byte each; a full cell is no evidence against a pair.
+CELLS = 256
+#: Sets in a tile when sets of one pivot are compared with each other.
+TILE = 512
 #: Candidate sets up to which their digests are broadcast to select their texts; beyond it they are joined by a shuffle.
 BROADCAST_SETS = 200_000
 #: Set digests that a task remembers so as not to list a set twice.
@@ -209,60 +211,43 @@ def prefix_entries(docs: DataFrame, rule: Threshold, level, text: str) -> DataFr
 
 
 def shared_entries(entries: DataFrame, rule: Threshold) -> DataFrame:
-    """Entries of n-grams in several prefixes of fitting length, with a pivot: the smallest set of about that length.
+    """(d1, d2, p1, p2, near): the sets of each n-gram in several prefixes, with a pivot: the one that holds it earliest.
 
-    Reads each n-gram's entries in order of size as a stream, and holds one row back between batches.
+    A set that holds a shared n-gram early has few n-grams of its own, so it is
+    close to the others. near: whether set and pivot pass the length and the
+    positional filter at some shared n-gram. Reads each n-gram's entries in
+    that order as a stream, and holds one row back between batches.
     """
-    names = ["gram", "n", "at", "d1", "d2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray | None = None  # last row of the batch before, not yet decided
-        joined_before, pivot = False, None
-
-        def settle(rows: np.ndarray, final: bool) -> pa.RecordBatch | None:
-            nonlocal held, joined_before, pivot
-            gram, n = rows[:, 0], rows[:, 1]
-            follows = np.zeros(len(rows), bool)
-            follows[1:] = (gram[1:] == gram[:-1]) & (n[1:] * rule.percent <= 100 * n[:-1])
-            again = np.zeros(len(rows), bool)
-            again[1:] = (gram[1:] == gram[:-1]) & (rows[1:, 3] == rows[:-1, 3]) & (rows[1:, 4] == rows[:-1, 4])
-            follows[0] = joined_before
-            rung = np.floor(np.log(n) / np.log(100 / rule.percent))
-            fresh = np.ones(len(rows), bool)
-            fresh[1:] = (gram[1:] != gram[:-1]) | (rung[1:] != rung[:-1])
-            if pivot is not None and pivot[0] == gram[0] and pivot[1] == rung[0]:
-                fresh[0] = False
-            lead = np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), -1))
-            p1 = np.where(lead >= 0, rows[lead, 3], pivot[2] if pivot else 0)
-            p2 = np.where(lead >= 0, rows[lead, 4], pivot[3] if pivot else 0)
-            linked = follows.copy()
-            linked[:-1] |= follows[1:]
-            end = len(rows) if final else len(rows) - 1
-            pivot = None if final else (gram[-1], rung[-1], p1[-1], p2[-1])
-            joined_before = bool(follows[-1])
-            held = None if final else rows[-1:]
-            take = np.flatnonzero(linked[:end] & ~again[:end])
-            if not len(take):
-                return None
-            got = rows[take]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(got[:, 0]), pa.array(got[:, 1].astype(np.int32)), pa.array(got[:, 2].astype(np.int32)), pa.array(got[:, 3]), pa.array(got[:, 4]), pa.array(p1[take]), pa.array(p2[take])],
-                names=[*names, "p1", "p2"],
-            )
+        held: np.ndarray | None = None  # last row of the batch before, whose successor is not known yet
+        joined, pivot = False, np.zeros(5, np.int64)  # whether the held row follows another of its n-gram, and that one's pivot
+
+        def settle(rows: np.ndarray, final: bool) -> pa.RecordBatch:
+            nonlocal held, joined, pivot
+            follows = np.concatenate([[joined], rows[1:, 0] == rows[:-1, 0]])
+            lead = np.maximum.accumulate(np.where(follows, -1, np.arange(len(rows))))
+            pivots = np.where((lead >= 0)[:, None], rows[lead], pivot)
+            several = follows | np.concatenate([follows[1:], [False]])
+            held, joined, pivot = (None, False, pivot) if final else (rows[-1:], bool(follows[-1]), pivots[-1])
+            take = np.flatnonzero(several[: len(rows) if final else len(rows) - 1])
+            own, led = rows[take], pivots[take]
+            at, n, p_at, p_n = own[:, 1], own[:, 2], led[:, 1], led[:, 2]
+            reach = np.minimum(at, p_at) + np.minimum(n - at, p_n - p_at)  # before, at and after the shared n-gram
+            near = (100 * np.minimum(n, p_n) >= rule.percent * np.maximum(n, p_n)) & (reach >= rule.overlap(n + p_n))
+            columns = np.unique(np.concatenate([own[:, 3:], led[:, 3:], near[:, None]], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(columns[:, i])) for i in range(4)), pa.array(columns[:, 4] == 1)], names=["d1", "d2", "p1", "p2", "near"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
-            if held is not None:
-                rows = np.concatenate([held, rows])
-            if (out := settle(rows, False)) is not None:
-                yield out
-        if held is not None and (out := settle(held, True)) is not None:
-            yield out
+            if batch.num_rows:
+                rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "at", "n", "d1", "d2")], axis=1)
+                yield settle(rows if held is None else np.concatenate([held, rows]), False)
+        if held is not None:
+            yield settle(held, True)
 
-    dealt = entries.repartition("gram").sortWithinPartitions("gram", "n", "d1", "d2")
-    return dealt.mapInArrow(run, "gram bigint, n int, at int, d1 bigint, d2 bigint, p1 bigint, p2 bigint")
+    dealt = entries.repartition("gram").sortWithinPartitions("gram", "at", "n", "d1", "d2")
+    listed = dealt.select("gram", "at", "n", "d1", "d2").mapInArrow(run, "d1 bigint, d2 bigint, p1 bigint, p2 bigint, near boolean")
+    return listed.groupBy("d1", "d2", "p1", "p2").agg(F.max("near").alias("near"))
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, rule: Threshold, text: str) -> DataFrame:
@@ -274,7 +259,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rule: Threshold, text: str) -
             digest = _digests(grams, first)
             owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
             cell = (grams >> np.uint64(50)).astype(np.int64) % CELLS
-            cells = np.bincount(owner * CELLS + cell, minlength=(len(first) - 1) * CELLS).reshape(-1, CELLS).astype("<u4")
+            cells = np.minimum(255, np.bincount(owner * CELLS + cell, minlength=(len(first) - 1) * CELLS)).reshape(-1, CELLS).astype("u1")
             blobs = [grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.diff(first).astype(np.int32)), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(blobs, pa.binary())],
@@ -293,9 +278,11 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
-                need = rule.overlap(batch.column("a_n").to_numpy().astype(np.int64) + batch.column("b_n").to_numpy())
-                batch = batch.filter(pa.array(np.minimum(a, b).sum(axis=1) >= need))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
+                n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("a_n", "b_n"))
+                near = 100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)
+                full = np.maximum(a.max(axis=1), b.max(axis=1)) == 255
+                batch = batch.filter(pa.array(near & (full | (np.minimum(a, b).sum(axis=1, dtype=np.int64) >= rule.overlap(n + m)))))
             yield batch.select(["a1", "a2", "b1", "b2"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,11 +307,39 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     return heavy.select("a1", "a2", "b1", "b2", "a_grams", "b_grams").mapInArrow(whole, schema)
 
 
-def _fits(rule: Threshold, x: str, y: str) -> F.Column:
-    """Length and positional filters for two entries of one n-gram."""
-    n, m, i, j = (F.col(c).cast("bigint") for c in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
-    reach = F.least(i, j) + 1 + F.least(n - i, m - j) - 1
-    return (100 * F.least(n, m) >= rule.percent * F.greatest(n, m)) & (reach * (100 + rule.percent) >= rule.percent * (n + m))
+def crossing_pairs(members: DataFrame, rule: Threshold) -> DataFrame:
+    """(a1, a2, b1, b2): pairs of one pivot's sets that lie in different components and pass the filters.
+
+    members: (p1, p2, d1, d2, c1, c2, n, cells). A pivot's sets are dealt over
+    tiles of about TILE rows; each pair of tiles is one group, so no task holds
+    a whole pivot, and pairs that the filters reject are never rows.
+    """
+    sizes = members.groupBy("p1", "p2").agg(F.count("*").alias("m"), F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high")).where("low != high").select("p1", "p2", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("d1", "d2"), F.col("tiles")).cast("int")
+    dealt = members.join(sizes, ["p1", "p2"]).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    keyed = dealt.select("p1", "p2", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "d1", "d2", "c1", "c2", "n", "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # one group
+            tiles, n = batch.column("tile").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
+            cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), "u1").reshape(-1, CELLS)
+            ids, comp = (np.stack([batch.column(c).to_numpy() for c in names], axis=1) for names in (("d1", "d2"), ("c1", "c2")))
+            i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
+            left, right = np.flatnonzero(tiles == i), np.flatnonzero(tiles == j)
+            found: list[np.ndarray] = []
+            for x in left:
+                y = right if i != j else right[right > x]
+                y = y[(comp[y] != comp[x]).any(axis=1) & (100 * np.minimum(n[y], n[x]) >= rule.percent * np.maximum(n[y], n[x]))]
+                if len(y):
+                    y = y[np.minimum(cells[y], cells[x]).sum(axis=1, dtype=np.int64) >= np.where(np.maximum(cells[y].max(axis=1), cells[x].max()) == 255, 0, rule.overlap(n[y] + n[x]))]
+                    found.append(np.concatenate([np.repeat(ids[x : x + 1], len(y), axis=0), ids[y]], axis=1))
+            pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in range(4)], names=["a1", "a2", "b1", "b2"])
+
+    def grouped(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(run(iter(table.combine_chunks().to_batches()))))
+
+    return keyed.groupBy("p1", "p2", "i", "j").applyInArrow(grouped, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
 def set_links(docs: DataFrame, rule: Threshold, text: str) -> tuple[DataFrame, DataFrame]:
@@ -332,19 +347,15 @@ def set_links(docs: DataFrame, rule: Threshold, text: str) -> tuple[DataFrame, D
 
     A component is named by its smallest digest.
     """
-    spark = docs.sparkSession
-    level = spark.sparkContext.broadcast(rarity(docs, rule, text).tobytes())
+    level = docs.sparkSession.sparkContext.broadcast(rarity(docs, rule, text).tobytes())
     shared = materialise(shared_entries(prefix_entries(docs, rule, level, text), rule), "shared")
     sets = materialise(whole_sets(docs, shared.select("d1", "d2").distinct(), rule, text), "sets")
-    star = shared.where("d1 != p1 OR d2 != p2").select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("d1").alias("b1"), F.col("d2").alias("b2"))
+    star = shared.where("near AND (d1 != p1 OR d2 != p2)").select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("d1").alias("b1"), F.col("d2").alias("b2"))
     links = materialise(verified(star, sets, rule), "links")
     labels = materialise(_labels(links), "labels")
-    named = shared.join(labels, ["d1", "d2"], "left").select("gram", "n", "at", "d1", "d2", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
-    mixed = named.groupBy("gram").agg(F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high")).where("low != high").select("gram")
-    apart = materialise(named.join(mixed, "gram", "left_semi"), "apart")
-    one, other = apart.alias("x"), apart.alias("y")
-    crossing = one.join(other, (F.col("x.gram") == F.col("y.gram")) & (F.struct("x.c1", "x.c2") < F.struct("y.c1", "y.c2")) & _fits(rule, "x", "y"))
-    rest = materialise(verified(crossing.select(F.col("x.d1").alias("a1"), F.col("x.d2").alias("a2"), F.col("y.d1").alias("b1"), F.col("y.d2").alias("b2")), sets, rule), "crossing_links")
+    members = shared.join(sets.select("d1", "d2", "n", "cells"), ["d1", "d2"]).join(labels, ["d1", "d2"], "left")
+    members = members.withColumn("c1", F.coalesce("c1", "d1")).withColumn("c2", F.coalesce("c2", "d2"))
+    rest = materialise(verified(crossing_pairs(members, rule), sets, rule), "crossing_links")
     if rest.isEmpty():
         return links, labels
     links = links.unionByName(rest)
