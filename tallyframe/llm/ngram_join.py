@@ -140,17 +140,25 @@ def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
 
 
+def _cells(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """How many n-grams of each set fall into each cell, a byte each."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    counts = np.bincount(owner * CELLS + (grams >> np.uint64(50)).astype(np.int64) % CELLS, minlength=(len(first) - 1) * CELLS)
+    return [c.tobytes() for c in np.minimum(255, counts).reshape(-1, CELLS).astype("u1")]
+
+
 def set_table(docs: DataFrame, rule: Threshold, key: str, text: str) -> DataFrame:
-    """(key, n, d1, d2): size and digest of each row's set."""
+    """(key, n, d1, d2, cells): size, digest and cell counts of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", 4 << 20):
             grams, first = gram_sets(_texts(batch), rule.words)
             digest = _digests(grams, first)
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(np.diff(first)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names=["key", "n", "d1", "d2"])
+            columns = [pa.array(np.diff(first)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(_cells(grams, first), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), *columns], names=["key", "n", "d1", "d2", "cells"])
 
     source = _source(docs, key, text)
-    return source.mapInArrow(run, f"key {source.schema['__key'].dataType.simpleString()}, n bigint, d1 bigint, d2 bigint")
+    return source.mapInArrow(run, f"key {source.schema['__key'].dataType.simpleString()}, n bigint, d1 bigint, d2 bigint, cells binary")
 
 
 def rarity(docs: DataFrame, rule: Threshold, text: str) -> np.ndarray:
@@ -251,31 +259,32 @@ def shared_entries(entries: DataFrame, rule: Threshold) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, rule: Threshold, text: str) -> DataFrame:
-    """(d1, d2, n, cells, grams) of the sets in wanted (d1, d2), one row per set."""
+    """(d1, d2, grams) of the sets in wanted (d1, d2), one row per set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", 4 << 20):
             grams, first = gram_sets(_texts(batch), rule.words)
             digest = _digests(grams, first)
-            owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            cell = (grams >> np.uint64(50)).astype(np.int64) % CELLS
-            cells = np.minimum(255, np.bincount(owner * CELLS + cell, minlength=(len(first) - 1) * CELLS)).reshape(-1, CELLS).astype("u1")
             blobs = [grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(np.diff(first).astype(np.int32)), pa.array([c.tobytes() for c in cells], pa.binary()), pa.array(blobs, pa.binary())],
-                names=["d1", "d2", "n", "cells", "grams"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(blobs, pa.binary())], names=["d1", "d2", "grams"])
 
-    found = _source(docs, text, text).select("__text").mapInArrow(run, "d1 bigint, d2 bigint, n int, cells binary, grams binary")
+    found = _source(docs, text, text).select("__text").mapInArrow(run, "d1 bigint, d2 bigint, grams binary")
     few = wanted.count() <= BROADCAST_SETS
     chosen = found.join(F.broadcast(wanted) if few else wanted, ["d1", "d2"], "left_semi")
-    return chosen.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("grams").alias("grams"))
+    return chosen.groupBy("d1", "d2").agg(F.first("grams").alias("grams"))
+
+
+def _side(sets: DataFrame, columns: list[str], s: str) -> DataFrame:
+    return sets.select(F.col("d1").alias(f"{s}1"), F.col("d2").alias(f"{s}2"), *(F.col(c).alias(f"{s}_{c}") for c in columns))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
-    """The pairs (a1, a2, b1, b2) that reach the threshold. Suffix filter first, then whole sets, once per pair."""
+PAIRS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
 
-    def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def close_pairs(pairs: DataFrame, light: DataFrame, rule: Threshold) -> DataFrame:
+    """The pairs (a1, a2, b1, b2) that pass the length and the suffix filter. light: (d1, d2, n, cells)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
@@ -285,7 +294,14 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
                 batch = batch.filter(pa.array(near & (full | (np.minimum(a, b).sum(axis=1, dtype=np.int64) >= rule.overlap(n + m)))))
             yield batch.select(["a1", "a2", "b1", "b2"])
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    joined = pairs.join(_side(light, ["n", "cells"], "b"), ["b1", "b2"]).join(_side(light, ["n", "cells"], "a"), ["a1", "a2"])
+    return joined.select("a1", "a2", "b1", "b2", "a_n", "b_n", "a_cells", "b_cells").mapInArrow(run, PAIRS)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, rule: Threshold, text: str) -> DataFrame:
+    """The pairs that reach the threshold on whole sets, each looked at once. pairs: a written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for step in range(0, batch.num_rows, 500):
@@ -297,26 +313,23 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
                     keep.append(100 * common >= rule.percent * (len(x) + len(y) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a1", "a2", "b1", "b2"])
 
-    def side(columns: list[str], s: str) -> DataFrame:
-        return sets.select(F.col("d1").alias(f"{s}1"), F.col("d2").alias(f"{s}2"), *(F.col(c).alias(f"{s}_{c}") for c in columns))
-
-    schema = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
-    light = pairs.select("a1", "a2", "b1", "b2").distinct().join(side(["n", "cells"], "b"), ["b1", "b2"]).join(side(["n", "cells"], "a"), ["a1", "a2"])
-    close = light.select("a1", "a2", "b1", "b2", "a_n", "b_n", "a_cells", "b_cells").mapInArrow(suffix, schema)
-    heavy = close.join(side(["grams"], "b"), ["b1", "b2"]).join(side(["grams"], "a"), ["a1", "a2"])
-    return heavy.select("a1", "a2", "b1", "b2", "a_grams", "b_grams").mapInArrow(whole, schema)
+    wanted = materialise(pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("d1"), F.col("a2").alias("d2")), F.struct(F.col("b1").alias("d1"), F.col("b2").alias("d2")))).alias("d")).select("d.d1", "d.d2").distinct(), "wanted")
+    sets = materialise(whole_sets(docs, wanted, rule, text), "sets")
+    heavy = pairs.join(_side(sets, ["grams"], "b"), ["b1", "b2"]).join(_side(sets, ["grams"], "a"), ["a1", "a2"])
+    return heavy.select("a1", "a2", "b1", "b2", "a_grams", "b_grams").mapInArrow(run, PAIRS)
 
 
-def crossing_pairs(members: DataFrame, rule: Threshold) -> DataFrame:
+def crossing_pairs(members: DataFrame, light: DataFrame, rule: Threshold) -> DataFrame:
     """(a1, a2, b1, b2): pairs of one pivot's sets that lie in different components and pass the filters.
 
-    members: (p1, p2, d1, d2, c1, c2, n, cells). A pivot's sets are dealt over
+    members: (p1, p2, d1, d2, c1, c2), without the pivots themselves, whose pairs
+    are decided already. A pivot's sets are dealt over
     tiles of about TILE rows; each pair of tiles is one group, so no task holds
     a whole pivot, and pairs that the filters reject are never rows.
     """
     sizes = members.groupBy("p1", "p2").agg(F.count("*").alias("m"), F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high")).where("low != high").select("p1", "p2", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("d1", "d2"), F.col("tiles")).cast("int")
-    dealt = members.join(sizes, ["p1", "p2"]).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = members.join(sizes, ["p1", "p2"]).join(light, ["d1", "d2"]).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     keyed = dealt.select("p1", "p2", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "d1", "d2", "c1", "c2", "n", "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,20 +355,21 @@ def crossing_pairs(members: DataFrame, rule: Threshold) -> DataFrame:
     return keyed.groupBy("p1", "p2", "i", "j").applyInArrow(grouped, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
 
 
-def set_links(docs: DataFrame, rule: Threshold, text: str) -> tuple[DataFrame, DataFrame]:
+def set_links(docs: DataFrame, light: DataFrame, rule: Threshold, text: str) -> tuple[DataFrame, DataFrame]:
     """(links, labels): verified pairs of sets that span every component, and (d1, d2, c1, c2) of each linked set.
 
-    A component is named by its smallest digest.
+    light: (d1, d2, n, cells) of every set. A component is named by its smallest digest.
     """
     level = docs.sparkSession.sparkContext.broadcast(rarity(docs, rule, text).tobytes())
-    shared = materialise(shared_entries(prefix_entries(docs, rule, level, text), rule), "shared")
-    sets = materialise(whole_sets(docs, shared.select("d1", "d2").distinct(), rule, text), "sets")
-    star = shared.where("near AND (d1 != p1 OR d2 != p2)").select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("d1").alias("b1"), F.col("d2").alias("b2"))
-    links = materialise(verified(star, sets, rule), "links")
+    shared = materialise(shared_entries(prefix_entries(docs, rule, level, text), rule).where("d1 != p1 OR d2 != p2"), "shared")
+    star = shared.where("near").select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("d1").alias("b1"), F.col("d2").alias("b2"))
+    links = materialise(verified(docs, materialise(close_pairs(star, light, rule), "close"), rule, text), "links")
     labels = materialise(_labels(links), "labels")
-    members = shared.join(sets.select("d1", "d2", "n", "cells"), ["d1", "d2"]).join(labels, ["d1", "d2"], "left")
-    members = members.withColumn("c1", F.coalesce("c1", "d1")).withColumn("c2", F.coalesce("c2", "d2"))
-    rest = materialise(verified(crossing_pairs(members, rule), sets, rule), "crossing_links")
+    members = shared.select("p1", "p2", "d1", "d2").join(labels, ["d1", "d2"], "left").withColumn("c1", F.coalesce("c1", "d1")).withColumn("c2", F.coalesce("c2", "d2"))
+    apart = materialise(crossing_pairs(members, light, rule).distinct(), "apart")
+    if apart.isEmpty():
+        return links, labels
+    rest = materialise(verified(docs, apart, rule, text), "crossing_links")
     if rest.isEmpty():
         return links, labels
     links = links.unionByName(rest)
@@ -371,7 +385,8 @@ def _labels(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_shingles and component_id, the smallest key that links reach."""
     rows = materialise(set_table(docs, rule, key, text), "rows")
-    _, labels = set_links(docs, rule, text)
+    light = materialise(rows.where("n > 0").groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("cells").alias("cells")), "light")
+    _, labels = set_links(docs, light, rule, text)
     named = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("low")).join(labels, ["d1", "d2"], "left")
     named = named.select("d1", "d2", "low", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
     least = named.groupBy("c1", "c2").agg(F.min("low").alias("least"))
