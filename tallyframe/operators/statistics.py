@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import transaction_semantics
 
-SIGNED = F.when(F.col("category") == "revenue", F.col("amount_usd")).when(F.col("category") == "expense", -F.col("amount_usd")).otherwise(F.lit(0).cast("decimal(15,2)"))
+def _signed() -> Column:
+    return F.when(F.col("category") == "revenue", F.col("amount_usd")).when(F.col("category") == "expense", -F.col("amount_usd")).otherwise(F.lit(0).cast("decimal(15,2)"))
 
 
 def monthly_cash_flow(ledger: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def monthly_cash_flow(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("user_id", month).agg(
         F.sum(F.when(F.col("category") == "revenue", amount).otherwise(0)).cast("double").alias("income"),
         F.sum(F.when(F.col("category") == "expense", amount).otherwise(0)).cast("double").alias("expense"),
-        F.sum(SIGNED).cast("double").alias("net"),
+        F.sum(_signed()).cast("double").alias("net"),
         F.count("*").alias("n_events"),
     )
 
@@ -26,7 +27,7 @@ def runway_forecast(ledger: DataFrame, as_of: Column, months: int = 6) -> DataFr
     first = F.add_months(F.trunc(as_of, "month"), -months)
     known = ledger.where(F.col("source_ts") <= as_of)
     monthly = known.groupBy("user_id", F.trunc("source_ts", "month").alias("m")).agg(
-        F.sum(SIGNED).alias("net"), F.sum(F.when(F.col("category") == "revenue", F.col("amount_usd")).otherwise(0)).alias("i"), F.sum(F.when(F.col("category") == "expense", F.col("amount_usd")).otherwise(0)).alias("e")
+        F.sum(_signed()).alias("net"), F.sum(F.when(F.col("category") == "revenue", F.col("amount_usd")).otherwise(0)).alias("i"), F.sum(F.when(F.col("category") == "expense", F.col("amount_usd")).otherwise(0)).alias("e")
     )
     recent = F.col("m") >= first
     out = monthly.groupBy("user_id").agg(

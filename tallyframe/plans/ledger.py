@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, cleaning, similarity
@@ -28,11 +28,15 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: The moment that stands for now.
-AS_OF = F.lit("2001-08-01").cast("timestamp")
+AS_OF = "2001-08-01"
 LEDGER, RELATED, EDGES = f"WITH {LEDGER_SQL}", f"WITH {RELATIONSHIPS_SQL}", f"WITH {EDGES_SQL}"
 SIGNED_SQL = "CASE category WHEN 'revenue' THEN amount_usd WHEN 'expense' THEN -amount_usd ELSE 0 END"
 
 
+def _as_of() -> Column:
+    return F.lit(AS_OF).cast("timestamp")
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = ledger_events(spark, sf_dir)
     return relations.enriched(relationships(ledger), ledger)
@@ -64,7 +68,7 @@ def monthly_cash_flow(spark, sf_dir):
  t AS (SELECT user_id, CAST(sum(net) AS DOUBLE) AS balance, CAST(sum(CASE WHEN m >= DATE '2001-02-01' THEN e ELSE 0 END) AS DOUBLE)/6 - CAST(sum(CASE WHEN m >= DATE '2001-02-01' THEN i ELSE 0 END) AS DOUBLE)/6 AS burn FROM m GROUP BY 1)
  SELECT user_id, round(balance,2) AS balance, round(burn,2) AS monthly_burn, round(CASE WHEN burn>0 THEN balance/burn ELSE 999.99 END,2) AS runway_months FROM t""")
 def runway_forecast(spark, sf_dir):
-    return statistics.runway_forecast(ledger_events(spark, sf_dir), AS_OF)
+    return statistics.runway_forecast(ledger_events(spark, sf_dir), _as_of())
 
 
 @_query("document_type_stats", f"""{LEDGER} SELECT document_type, count(*) AS n, round(avg(confidence_score),4) AS avg_confidence, CAST(sum(amount_usd) AS DOUBLE) AS total, count(DISTINCT source_platform) AS platforms FROM ledger_events GROUP BY 1""")
@@ -340,7 +344,7 @@ def temporal_anomalies(spark, sf_dir):
  SELECT event_id, relationship_type, strftime(d,'%Y-%m-%d') AS expected_day, CAST(date_diff('day', d, DATE '2001-08-01') AS INTEGER) AS days_overdue FROM due WHERE d < DATE '2001-08-01'""")
 def missing_relationships(spark, sf_dir):
     ledger, links = ledger_events(spark, sf_dir), _links(spark, sf_dir)
-    return relations.missing_relationships(ledger, relationships(ledger), relations.temporal_patterns(links), AS_OF)
+    return relations.missing_relationships(ledger, relationships(ledger), relations.temporal_patterns(links), _as_of())
 
 
 @_query("vendor_recurrence", f"""{LEDGER}, g AS (SELECT vendor_standard, date_diff('day', lag(CAST(source_ts AS DATE)) OVER (PARTITION BY vendor_standard ORDER BY CAST(source_ts AS DATE), event_id), CAST(source_ts AS DATE)) AS gap FROM ledger_events),
