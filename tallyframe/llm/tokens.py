@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -13,48 +14,77 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
-def same_merges(path: str) -> dict[bytes, int] | None:
-    """The ranks of a plain byte-level BPE file of the `tokenizers` library, else None.
+#: Whitespace characters in a row from which a text goes to `tokenizers`: the regex engine of `tiktoken` keeps one entry for each on a stack of about a million.
+LONG_RUN = 100_000
 
-    Plain means: no normaliser, no prefix space, no dropout, and each merge makes
-    the entry of the next id. Merging by ids is then merging by the file's list.
+
+def same_merges(path: str) -> tuple[dict[bytes, int], dict[str, int]] | None:
+    """The ranks and the added tokens of a plain byte-level BPE file of the `tokenizers` library, else None.
+
+    Plain means: no normaliser, no prefix space, no dropout, each merge makes the
+    entry of the next id, and added tokens are found as they are written. Merging
+    by ids is then merging by the file's list.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    model, pre, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
     plain = model.get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
     if not plain or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges"):
         return None
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")) or len({bool(t.get("normalized")) for t in added}) > 1:
+        return None
     merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
     vocab = model["vocab"]
     if [vocab.get(m) for m in merged] != list(range(256, 256 + len(merged))):
         return None
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE writes as themselves
     chars = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    return {bytes(map(chars.__getitem__, token)): i for token, i in vocab.items() if i < 256 + len(merged)}
+    ranks = {bytes(map(chars.__getitem__, token)): i for token, i in vocab.items() if i < 256 + len(merged)}
+    return ranks, {t["content"]: vocab.get(t["content"], t["id"]) for t in added if t["content"]}
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """Encodes texts to int32 ids, once per worker; special strings in a text are ordinary text.
-
-    Plain byte-level files run their merges in `tiktoken`, which gives the same
-    ids in a quarter of the time; all others run in `tokenizers` itself.
-    """
-    if (ranks := same_merges(path)) is not None:
-        import public_tokenizers
-        import tiktoken
-
-        own = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [np.array(own.encode_ordinary(t), dtype="<i4") for t in texts]
+def library(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """Encodes texts to int32 ids in `tokenizers` itself, once per worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda texts: [np.array(e.ids, dtype="<i4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+@lru_cache(maxsize=4)
+def encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """Encodes texts to the int32 ids of Tokenizer.encode(text, add_special_tokens=False), once per worker.
+
+    Added tokens of the file that stand in a text are one id each. Plain
+    byte-level files run their merges in `tiktoken`, which gives the same ids in a
+    quarter of the time; texts with very long whitespace runs, which overflow its
+    regex, and all other files run in `tokenizers` itself.
+    """
+    if (found := same_merges(path)) is None:
+        return library(path)
+    import public_tokenizers
+    import tiktoken
+
+    ranks, added = found
+    own = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split
+    long_run = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}").search
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and long_run(text):
+            return library(path)([text])[0]
+        if not any(t in text for t in added):
+            return np.array(own.encode_ordinary(text), dtype="<i4")
+        ids = []
+        for i, part in enumerate(split(text)):
+            ids += [added[part]] if i % 2 else own.encode_ordinary(part)
+        return np.array(ids, dtype="<i4")
+
+    return lambda texts: [encode(t) for t in texts]
+
+
 def int_lists(blobs: list[bytes]) -> pa.Array:
     """Arrow list<int32> of little-endian int32 blobs, without going through Python ints."""
     ends = np.cumsum([0, *[len(b) // 4 for b in blobs]]).astype(np.int32)

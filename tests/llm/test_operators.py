@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyframe.llm import ann, bpe, components, exact_dedup, license_scan, ngram_join, packing, pii, quality_mil, sharding, token_counts
+from tallyframe.llm import ann, bpe, components, exact_dedup, license_scan, ngram_join, packing, pii, quality_mil, sharding, token_counts, tokens
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG = " ".join(f"w{i % 977}" for i in range(20_000))
@@ -160,6 +160,15 @@ def test_ann(spark):
     assert ann.search(table.where("vec_id < 3"), F.col("id") % 20 == 0).count() == 2
 
 
+def test_token_ids_match_the_library():
+    from tokenizers import Tokenizer
+
+    whole, end = Tokenizer.from_file(JSON), "<|endoftext|>"
+    texts = [f"a {end} b", f"{end}{end} x\n{end}", f"<|endoftext {end[:-1]} {end}>", end, "", " " * 1_000_000, "a" + "\n" * 1_000_000 + "b", " " * 99_999 + "x" + "\t \n" * 40_000 + f"y{end} z"]
+    for text, ids in zip(texts, tokens.encoder(JSON)(texts), strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text[:40]
+
+
 TEXT = "Mr. John Smith met Frau Anna Müller and Dr. Иван Петров. Mail Bob@mail.example.com or bob@mail.example.com, +1 (212) 555-1234, 192.168.1.7, 4111 1111 1111 1111, not 4111111111111112. token = \"a1b2c3d4e5f6a7b8\""
 
 
