@@ -147,6 +147,25 @@ def mapping_upsert(spark, sf_dir):
     return search.merge_mappings(seen(0), seen(1)).withColumn("confidence", F.round("confidence", 6))
 
 
+_HALF = "SELECT user_id, event_type AS source, 'amount' AS target, round(sum(value),2) AS confidence, count(*) AS usage FROM events WHERE"
+#: Events before this moment are the held mappings, all others the seen ones.
+CUT = "2024-01-16"
+
+
+@_query("all_mapping_upsert", f"""SELECT coalesce(a.user_id,b.user_id) AS user_id, coalesce(a.source,b.source) AS source, coalesce(a.target,b.target) AS target,
+ round(CASE WHEN a.usage IS NOT NULL AND b.usage IS NOT NULL THEN (a.confidence+b.confidence)/2 ELSE coalesce(a.confidence,b.confidence) END,6) AS confidence, coalesce(a.usage,0)+coalesce(b.usage,0) AS usage
+ FROM ({_HALF} ts < TIMESTAMP '{CUT}' GROUP BY 1,2) a FULL JOIN ({_HALF} ts IS NULL OR ts >= TIMESTAMP '{CUT}' GROUP BY 1,2) b
+ ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.source IS NOT DISTINCT FROM b.source AND a.target IS NOT DISTINCT FROM b.target""")
+def all_mapping_upsert(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    held = F.coalesce(F.col("ts") < F.lit(CUT).cast("timestamp"), F.lit(False))
+
+    def half(rows):
+        return rows.groupBy("user_id", F.col("event_type").alias("source"), F.lit("amount").alias("target")).agg(F.round(F.sum("value"), 2).alias("confidence"), F.count("*").alias("usage"))
+
+    return search.merge_mappings(half(events.where(held)), half(events.where(~held))).withColumn("confidence", F.round("confidence", 6))
+
+
 @_query("vendor_clean", "SELECT s_suppkey AS id, regexp_replace(s_name, '#', ' ', 'g') AS cleaned FROM supplier")
 def vendor_clean(spark, sf_dir):
     named = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit(", Inc.")).alias("n"))
@@ -329,6 +348,39 @@ def counterfactual_amount(spark, sf_dir):
     return relations.counterfactual_impact(events, F.col("old_amount") * 1.1)
 
 
+#: The chains of every event; the three queries before start from a fiftieth of the events, as their SQL does.
+_ALL_CHAINS = _CHAIN.replace(" WHERE event_id % 50 = 7", "").replace("WITH", "WITH RECURSIVE", 1)
+
+
+def _strong_links(ledger: DataFrame, src: str, dst: str) -> DataFrame:
+    return relationships(ledger).where("confidence_score >= 0.55").select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.col("confidence_score").alias("score"))
+
+
+def _all_chains(ledger: DataFrame) -> DataFrame:
+    return relations.reach(_strong_links(ledger, "source_event_id", "target_event_id"), ledger.select(F.col("event_id").alias("root")), 5)
+
+
+@_query("all_causal_chains", _ALL_CHAINS + " SELECT root, node, depth, round(score,9) AS score FROM chain WHERE depth>0")
+def all_causal_chains(spark, sf_dir):
+    return _all_chains(ledger_events(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@_query("all_root_causes", _ALL_CHAINS.replace("SELECT source_event_id AS src, target_event_id AS dst", "SELECT target_event_id AS src, source_event_id AS dst") + " SELECT root, node, depth, round(score,9) AS score FROM chain WHERE depth>0 AND node NOT IN (SELECT src FROM e)")
+def all_root_causes(spark, sf_dir):
+    ledger = ledger_events(spark, sf_dir)
+    edges = _strong_links(ledger, "target_event_id", "source_event_id")
+    found = relations.reach(edges, ledger.select(F.col("event_id").alias("root")), 5)
+    return relations.unlinked(found, edges, "node", "src").withColumn("score", F.round("score", 9))
+
+
+@_query("all_counterfactual_amounts", _ALL_CHAINS + " SELECT c.root, c.node, round(CAST(b.amount_usd AS DOUBLE)*((CAST(a.amount_usd AS DOUBLE)*1.1 - CAST(a.amount_usd AS DOUBLE))/nullif(CAST(a.amount_usd AS DOUBLE),0)),4) AS impact FROM chain c JOIN ledger_events a ON c.root=a.event_id JOIN ledger_events b ON c.node=b.event_id WHERE depth>0")
+def all_counterfactual_amounts(spark, sf_dir):
+    ledger = ledger_events(spark, sf_dir)
+    amount = F.col("amount_usd").cast("double")
+    events = _all_chains(ledger).join(ledger.select(F.col("event_id").alias("root"), amount.alias("old_amount")), "root").join(ledger.select(F.col("event_id").alias("node"), amount.alias("amount")), "node")
+    return relations.counterfactual_impact(events, F.col("old_amount") * 1.1)
+
+
 @_query("temporal_pattern_stats", f"{ENRICHED_SQL}{PATTERNS_SQL} SELECT * FROM patterns")
 def temporal_pattern_stats(spark, sf_dir):
     return relations.temporal_patterns(_links(spark, sf_dir))
@@ -374,6 +426,11 @@ def shortest_path(spark, sf_dir):
     return graph.shortest_paths(entity_edges(spark, sf_dir).where("(src + dst) % 7 = 1"), 0)
 
 
+@_query("all_shortest_paths", f"""{EDGES.replace("WITH", "WITH RECURSIVE", 1)}, b AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT e.dst, b.hops+1 FROM b JOIN entity_edges e ON b.node=e.src WHERE b.hops<5) SELECT node, min(hops) AS hops FROM b GROUP BY 1""")
+def all_shortest_paths(spark, sf_dir):
+    return graph.shortest_paths(entity_edges(spark, sf_dir), 0)
+
+
 @_query("orphan_events", "SELECT l.doc_id FROM documents l WHERE l.doc_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_events(spark, sf_dir):
     return relations.unlinked(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "doc_id")

@@ -42,6 +42,37 @@ def test_pagerank_sums_to_one(spark):
     assert abs(sum(ranks) - 1) < 1e-4
 
 
+def test_all_queries_leave_no_event_or_edge_out(spark, duck):
+    events = duck.execute("SELECT count(*) FROM events").fetchone()[0]
+    assert sum(r["usage"] for r in QUERIES["all_mapping_upsert"](spark, SF).collect()) == events
+    links = duck.execute(f"WITH {ledger.RELATIONSHIPS_SQL} SELECT source_event_id, target_event_id, confidence_score FROM relationships WHERE confidence_score >= 0.55").fetchall()
+    following = {}
+    for a, b, score in links:
+        following.setdefault(a, []).append((b, score))
+    chains = {}
+    for root in following:
+        reached = {root: (0, 1.0)}
+        for depth in range(1, 6):
+            step = {}
+            for node, (at, score) in reached.items():
+                for b, gain in following.get(node, []) if at == depth - 1 else []:
+                    if b not in reached:
+                        step[b] = max(step.get(b, (depth, 0.0)), (depth, score * gain))
+            reached |= step
+        chains |= {(root, node): found for node, found in reached.items() if found[0]}
+    out = {(r["root"], r["node"]): (r["depth"], r["score"]) for r in QUERIES["all_causal_chains"](spark, SF).collect()}
+    assert out.keys() == chains.keys() and all(out[k][0] == d and abs(out[k][1] - s) < 1e-8 for k, (d, s) in chains.items())
+    assert {(r["root"], r["node"]) for r in QUERIES["all_counterfactual_amounts"](spark, SF).collect()} == chains.keys()
+    ends = {(node, root) for root, node in chains if root not in {b for _, b, _ in links}}
+    assert {(r["root"], r["node"]) for r in QUERIES["all_root_causes"](spark, SF).collect()} == ends
+    edges = duck.execute(f"WITH {ledger.EDGES_SQL} SELECT src, dst FROM entity_edges").fetchall()
+    hops, newest = {0: 0}, {0}
+    for h in range(1, 6):
+        newest = {b for a, b in edges if a in newest} - hops.keys()
+        hops |= dict.fromkeys(newest, h)
+    assert {r["node"]: r["hops"] for r in QUERIES["all_shortest_paths"](spark, SF).collect()} == hops
+
+
 def test_entry_and_registries_agree(spark):
     import __spark_entry__ as entry
 
