@@ -4,8 +4,10 @@ Vectors are cut into small subspaces with 16 centres each. Centres and codes
 minimise a loss that weighs the part of the residual parallel to the vector
 more than the rest, as that part is what changes large inner products. A query
 turns the centres into a table of 256 partial scores for each byte of two
-four-bit codes, scans all codes by table lookups, and its best `shortlist` are
-ranked again by the exact inner product of the original vectors.
+four-bit codes and scans all codes by table lookups. Its best `shortlist` are a
+first guess: their exact inner products give a k-th best score, and every vector
+whose quantised score plus |query| * |residual| reaches it is scored exactly too,
+so the result is exact also where many codes coincide.
 
 Centres are fitted on a bounded sample (`sample` rows with the smallest hash of
 their id); every row is encoded and scanned. Queries and codes meet in blocks.
@@ -28,8 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise
-
 #: Centres of a subspace: a code has four bits.
 CENTRES = 16
 #: Rows that the centres are fitted on, codes in a block, queries in a block, and codes that one task scans for a block of queries.
@@ -89,6 +89,16 @@ class Quantiser:
             codes = np.concatenate([codes, np.zeros((len(codes), 1), codes.dtype)], axis=1)
         return (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)
 
+    def reach(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """For each vector, what a query of length 1 can gain at most over its quantised score; rounding of float32 sums is within."""
+        lost, held = np.zeros(len(x)), np.zeros(len(x))
+        for m, ((a, b), c) in enumerate(zip(self.cuts, self.centres, strict=True)):
+            centre = c[codes[:, m]]
+            lost += ((x[:, a:b] - centre) ** 2).sum(axis=1)
+            held += (centre * centre).sum(axis=1)
+        lost, held = np.sqrt(lost), np.sqrt(held)
+        return np.nextafter((lost + (self.width + 8) * 1.2e-7 * (lost + held)).astype(np.float32), np.float32(np.inf))
+
     def tables(self, queries: np.ndarray) -> list[np.ndarray]:
         """For each byte of packed codes, (256, queries) partial scores."""
         single = [(c @ queries[:, a:b].T).astype(np.float32) for (a, b), c in zip(self.cuts, self.centres, strict=True)]
@@ -135,84 +145,99 @@ def fit_on_sample(vectors: DataFrame, sample: int = SAMPLE, **how) -> Quantiser
 
 
 def code_blocks(vectors: DataFrame, model: Quantiser, block: int = CODE_BLOCK) -> DataFrame:
-    """(ids, codes): packed codes of up to `block` vectors in a row, by rising id."""
+    """(ids, codes, reach, vectors): up to `block` vectors in a row with their packed codes, by rising id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, block):
                 part = batch.slice(at, block)
-                ids = part.column("id").to_numpy()
+                ids, x = part.column("id").to_numpy(), _matrix(part.column("v"), model.width)
                 order = np.argsort(ids, kind="stable")
-                codes = model.pack(model.assign(_matrix(part.column("v"), model.width).astype(np.float64)))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), pa.array([codes[order].tobytes()], pa.binary())], names=["ids", "codes"])
-
-    return vectors.mapInArrow(run, "ids binary, codes binary")
-
-
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest scores; equal ones by smaller id. ids rise."""
-    if len(ids) > k:
-        least = -np.partition(-scores, k - 1)[k - 1]
-        above = np.flatnonzero(scores > least)
-        take = np.concatenate([above, np.flatnonzero(scores == least)[: k - len(above)]])
-        ids, scores = ids[take], scores[take]
-    return ids, scores
-
-
-def shortlists(queries: DataFrame, blocks: DataFrame, model: Quantiser, n_queries: int, n_codes: int, shortlist: int) -> DataFrame:
-    """(query_id, vec_id, near): candidates by quantised score, per block of queries and group of code blocks."""
+                codes = model.assign(x.astype(np.float64))
+                held = ids.astype("<i8"), model.pack(codes), model.reach(x.astype(np.float64), codes).astype("<f4"), x.astype("<f4")
+                yield pa.RecordBatch.from_arrays([pa.array([h[order].tobytes()], pa.binary()) for h in held], names=["ids", "codes", "reach", "vectors"])
+
+    return vectors.mapInArrow(run, "ids binary, codes binary, reach binary, vectors binary")
+
+
+class Best:
+    """The k candidates of largest exact inner product with one query; equal ones by smaller id."""
+
+    def __init__(self, query_id: int, vector: np.ndarray, k: int):
+        self.query_id, self.vector, self.k = query_id, vector, k
+        self.ids, self.scores, self.least = np.zeros(0, np.int64), np.zeros(0), -np.inf
+
+    def score(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        scores = np.einsum("ij,j->i", vectors.astype(np.float64), self.vector)
+        fine = scores >= self.least
+        ids, scores = np.concatenate([self.ids, ids[fine]]), np.concatenate([self.scores, scores[fine]])
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.ids, self.scores = ids[order], scores[order]
+        if len(order) == self.k:
+            self.least = self.scores[-1]
+
+    def scan(self, ids: np.ndarray, near: np.ndarray, most: np.ndarray, vectors: np.ndarray, shortlist: int) -> None:
+        """near: quantised scores; most: what the exact ones can be at most. Scores by `shortlist` first, then all that can still be among the best."""
+        left = np.flatnonzero(~(most < self._floor()) & (ids != self.query_id))
+        if len(left) > shortlist:
+            cut = np.argpartition(near[left], len(left) - shortlist)
+            guess, left = left[cut[-shortlist:]], left[cut[:-shortlist]]
+            self.score(ids[guess], vectors[guess])
+            left = left[~(most[left] < self._floor())]
+        for at in range(0, len(left), CODE_BLOCK):
+            some = left[at : at + CODE_BLOCK]
+            self.score(ids[some], vectors[some])
+
+    def _floor(self) -> np.float32:
+        return np.nextafter(np.float32(self.least), np.float32(-np.inf))
+
+
+def best_in_cells(queries: DataFrame, blocks: DataFrame, model: Quantiser, n_queries: int, n_codes: int, k: int, shortlist: int) -> DataFrame:
+    """(query_id, vec_id, score): each query's k best of each group of code blocks, per block of queries."""
     n_blocks, groups = -(-n_queries // QUERY_BLOCK), -(-n_codes // TASK_CODES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, asked, rows, tables, best = None, [], [], None, {}
+        cell, asked, tables, lengths = None, [], None, None
 
         def found() -> pa.RecordBatch:
-            out = [(q, ids, s) for q, (ids, s) in zip(asked, best.values(), strict=True)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]).astype(np.int64)), pa.array(np.concatenate([i for _, i, _ in out])), pa.array(np.concatenate([s for _, _, s in out]).astype(np.float32))],
-                names=["query_id", "vec_id", "near"],
+                [pa.array(np.repeat([q.query_id for q in asked], [len(q.ids) for q in asked]).astype(np.int64)), pa.array(np.concatenate([q.ids for q in asked])), pa.array(np.concatenate([q.scores for q in asked]))],
+                names=["query_id", "vec_id", "score"],
             )
 
         for batch in batches:
-            for b, g, q, v, ids, codes in zip(*(batch.column(c).to_pylist() for c in ("b", "g", "q", "v", "ids", "codes")), strict=True):
+            for row in range(batch.num_rows):
+                b, g, q, v, ids, codes, reach, vectors = (batch.column(c)[row].as_py() for c in ("b", "g", "q", "v", "ids", "codes", "reach", "vectors"))
                 if (b, g) != cell:
-                    if best and asked:
+                    if asked:
                         yield found()
-                    cell, asked, rows, tables, best = (b, g), [], [], None, {}
+                    cell, asked, tables = (b, g), [], None
                 if q is not None:  # the queries of a cell come first
-                    asked.append(q)
-                    rows.append(v)
+                    asked.append(Best(q, np.array(v, dtype=np.float64), k))
                     continue
                 if not asked:
                     continue
                 if tables is None:
-                    tables = model.tables(np.array(rows, dtype=np.float64))
-                    best = {i: (np.zeros(0, np.int64), np.zeros(0, np.float32)) for i in range(len(asked))}
+                    rows = np.array([a.vector for a in asked])
+                    tables = model.tables(rows)
+                    lengths = np.nextafter(np.sqrt((rows * rows).sum(axis=1)).astype(np.float32), np.float32(np.inf))
                 ids, codes = np.frombuffer(ids, "<i8"), np.frombuffer(codes, np.uint8).reshape(len(ids) // 8, -1)
+                reach, vectors = np.frombuffer(reach, "<f4"), np.frombuffer(vectors, "<f4").reshape(len(ids), -1)
                 score = tables[0][codes[:, 0]]
                 for j in range(1, codes.shape[1]):
                     score += tables[j][codes[:, j]]
                 score = np.ascontiguousarray(score.T)
-                for i, (held, near) in best.items():
-                    line = score[i]
-                    if len(near) >= shortlist:
-                        some = np.flatnonzero(line >= near.min())
-                        new, line = ids[some], line[some]
-                    else:
-                        new = ids
-                    if len(new):
-                        other = new != asked[i]
-                        new, line = np.concatenate([held, new[other]]), np.concatenate([near, line[other]])
-                        order = np.argsort(new, kind="stable")
-                        best[i] = _best(new[order], line[order], shortlist)
-        if best and asked:
+                for a, near, length in zip(asked, score, lengths, strict=True):
+                    a.scan(ids, near, near + length * reach, vectors, shortlist)
+        if asked:
             yield found()
 
     nothing = F.lit(None)
-    ask = queries.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("id").alias("q"), "v", nothing.cast("binary").alias("ids"), nothing.cast("binary").alias("codes"))
-    held = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("g"), nothing.cast("bigint").alias("q"), nothing.cast("array<float>").alias("v"), "ids", "codes")
+    binary = ("ids", "codes", "reach", "vectors")
+    ask = queries.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("id").alias("q"), "v", *(nothing.cast("binary").alias(c) for c in binary))
+    held = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("g"), nothing.cast("bigint").alias("q"), nothing.cast("array<float>").alias("v"), *binary)
     dealt = ask.unionByName(held).repartition("b", "g").sortWithinPartitions("b", "g", F.col("q").asc_nulls_last())
-    return dealt.mapInArrow(run, "query_id bigint, vec_id bigint, near float")
+    return dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
 def search(table: DataFrame, is_query, k: int = 20, shortlist: int = 250, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
@@ -229,25 +254,6 @@ def search(table: DataFrame, is_query, k: int = 20, shortlist: int = 250, key: s
     counts = vectors.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
     if not counts["q"]:
         return vectors.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    near = shortlists(queries, code_blocks(vectors, model), model, counts["q"], counts["n"], shortlist)
-    if counts["n"] > TASK_CODES:  # several tasks each gave a query's best of their codes
-        best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-        near = near.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= shortlist)
-    near = materialise(near.select("query_id", "vec_id"), "shortlists")
-    return rerank(near, vectors, queries, k)
-
-
-def rerank(near: DataFrame, vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact inner products in double precision of each listed pair, and the k best of each query."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                width = len(batch.column("v")[0])
-                score = np.einsum("ij,ij->i", *(_matrix(batch.column(c), width).astype(np.float64) for c in ("v", "w")))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    pairs = near.join(vectors.select(F.col("id").alias("vec_id"), "v"), "vec_id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("w")), "query_id")
-    scored = pairs.select("query_id", "vec_id", "v", "w").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    scored = best_in_cells(queries, code_blocks(vectors, model), model, counts["q"], counts["n"], k, shortlist)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

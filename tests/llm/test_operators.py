@@ -160,6 +160,25 @@ def test_ann(spark):
     assert ann.search(table.where("vec_id < 3"), F.col("id") % 20 == 0).count() == 2
 
 
+def test_ann_within_a_large_cluster(spark):
+    rng = np.random.default_rng(4)
+    n, width = 4500, 64
+    x = rng.normal(size=(n, width))
+    x[::3] = x[0] + rng.normal(size=(n // 3, width)) * 0.005
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(3)
+    got = {}
+    for r in ann.search(table, F.col("id") % 20 == 0, k=20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = {}
+    for q in range(0, n, 20):
+        s = x.astype(np.float64) @ x[q].astype(np.float64)
+        s[q] = -np.inf
+        hits[q] = len(got[q] & set(np.lexsort((np.arange(n), -s))[:20].tolist())) / 20
+    within = np.mean([h for q, h in hits.items() if q % 3 == 0])
+    assert within >= 0.99 and np.mean(list(hits.values())) >= 0.99, (within, np.mean(list(hits.values())))
+
+
 def test_token_ids_match_the_library():
     from tokenizers import Tokenizer
 
