@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import Tables
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,10 +34,12 @@ def _mark(edges: DataFrame):
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(vertex, component): the smallest vertex that each vertex of an edge table (a, b) reaches."""
-    now = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    tables = Tables(edges.sparkSession)
+    now = tables.write(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
     mark = _mark(now)
-    for _ in range(max_rounds):
-        now = materialise(_small_star(_large_star(now)), "edges")
+    for i in range(max_rounds):
+        now = tables.write(_small_star(_large_star(now)), f"edges{i + 1}")
+        tables.drop(f"edges{i}")
         if (after := _mark(now)) == mark:
             break
         mark = after

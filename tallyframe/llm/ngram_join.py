@@ -7,13 +7,19 @@ positional filter (the n-grams before a shared one bound what two sets can
 have in common) and a suffix filter (n-grams counted over cells of their
 hash), and each pair is verified once, on whole sets.
 
+Texts are read and hashed once: a word is a 64-bit BLAKE2 hash of its bytes, an
+n-gram a mix of its words' hashes, a set's name a 128-bit digest. Each task
+writes the n-grams of a set it has not met before, and all later steps read
+that table.
+
 Rarity comes from a sketch of fixed size that counts the n-grams of all
-documents by hash; it decides only the order, so a collision costs time and
+sets by hash; it decides only the order, so a collision costs time and
 never a pair. A prefix n-gram that very many sets share is not expanded into
 all its pairs: its sets are first compared with one pivot each, links are
 contracted into components, and only pairs that still lie in different
-components are compared with each other. Links within a component can thus
-remain unlisted; components and the classes of equal sets are exact.
+components, and whose sizes are close enough, are compared with each other.
+Links within a component can thus remain unlisted; components and the classes
+of equal sets are exact.
 
 Null and empty texts have no n-grams and are linked with nothing, not even
 each other. A text of fewer than n words is one n-gram, its whole sequence.
@@ -24,8 +30,12 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +43,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialise
+from .store import BROADCAST_ROWS, Tables
 from .tokens import slices
 
 #: Slots of the frequency sketch, and slots in one row of it while it is summed.
-SKETCH, SKETCH_ROW = 1 << 22, 1 << 12
+SKETCH, SKETCH_ROW = 1 << 20, 1 << 12
 #: Cells of the suffix filter, one byte each; a full cell is no evidence against a pair.
 CELLS = 256
 #: Sets in a tile when sets of one pivot are compared with each other.
 TILE = 512
-#: Candidate sets up to which their digests are broadcast to select their texts; beyond it they are joined by a shuffle.
-BROADCAST_SETS = 200_000
-#: Set digests that a task remembers so as not to list a set twice.
-REMEMBERED = 300_000
+#: Set digests that a task remembers so as not to write a set twice, word hashes that a worker keeps, and the longest word it keeps.
+REMEMBERED, WORDS_KEPT, LONGEST_KEPT = 100_000, 100_000, 64
+#: Bytes of text hashed at once.
+SLICE = 1 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD, _GRAM = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -75,51 +84,54 @@ class Threshold:
         """Length of a set's prefix."""
         return size - -(-self.percent * size // 100) + 1
 
+    def size_class(self, n: F.Column) -> F.Column:
+        """Sets whose sizes pass the length filter are in one class or in adjacent ones."""
+        width = max(math.log(100 / self.percent) * 1.0001, 1e-9)
+        return F.floor(F.log(n.cast("double")) / width).cast("bigint")
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, the recent ones kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = value
+        return value
+
+
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """One store per worker."""
+    return WordHashes()
+
 
 def gram_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct n-gram hashes of all texts in order, first of each text and the end)."""
-    empty = np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    body = np.frombuffer((b" ".join(texts) + b" ").translate(_LOWER), dtype=np.uint8)
-    space = (body == 32) | ((body >= 9) & (body <= 13))
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    start, stop = edge[0::2], edge[1::2]
-    if not len(start):
-        return empty
-    power = np.empty(len(body), np.uint64)
-    power[0] = 1
-    power[1:] = _BASE
-    np.cumprod(power, out=power)
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    back = np.empty(len(body), np.uint64)
-    back[0] = 1
-    back[1:] = inverse
-    np.cumprod(back, out=back)
-    summed = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * power, out=summed[1:])
-    word = _mix((summed[stop] - summed[start]) * back[start] + (stop - start).astype(np.uint64) * _GRAM)
-    owner = np.searchsorted(np.cumsum(sizes + 1), start, side="right")
-    n_words = np.bincount(owner, minlength=len(texts))
-    first = np.concatenate([[0], np.cumsum(n_words)])
-    gram = np.zeros(len(word), np.uint64)
+    split = [t.translate(_LOWER).split() for t in texts]
+    n_words = np.fromiter(map(len, split), np.int64, len(split))
+    total = int(n_words.sum())
+    word = np.fromiter(map(word_hashes().__getitem__, chain.from_iterable(split)), np.uint64, total)
+    first = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
+    gram = np.zeros(total, np.uint64)
     for i in range(words):
-        shifted = np.zeros(len(word), np.uint64)
-        shifted[: len(word) - i] = word[i:]
+        shifted = np.zeros(total, np.uint64)
+        shifted[: max(0, total - i)] = word[i:]
         gram = (gram ^ shifted) * _WORD + np.uint64(i + 1)
         gram ^= gram >> np.uint64(31)
     gram = _mix(gram)
-    whole = np.arange(len(word)) + words <= first[owner + 1]
-    for d in np.flatnonzero((n_words > 0) & (n_words < words)):  # the whole sequence, unlike any n-gram
-        h = np.uint64(n_words[d])
-        with np.errstate(over="ignore"):
-            for w in word[first[d] : first[d + 1]]:
+    sets = []
+    for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if 0 < b - a < words:  # the whole sequence, unlike any n-gram
+            h = np.full(1, b - a, np.uint64)
+            for w in word[a:b]:
                 h = (h ^ w) * _GRAM + np.uint64(7)
-        gram[first[d]] = h
-        whole[first[d]] = True
-    gram, owner = gram[whole], owner[whole]
-    cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
-    sets = [np.unique(gram[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            sets.append(h)
+        else:
+            sets.append(np.unique(gram[a : max(a, b - words + 1)]))
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
 def _digests(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -132,14 +144,6 @@ def _digests(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [(t or "").encode() for t in batch.column("__text").to_pylist()]
-
-
-def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
-
-
 def _cells(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
     """How many n-grams of each set fall into each cell, a byte each."""
     owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -147,31 +151,50 @@ def _cells(grams: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [c.tobytes() for c in np.minimum(255, counts).reshape(-1, CELLS).astype("u1")]
 
 
-def set_table(docs: DataFrame, rule: Threshold, key: str, text: str) -> DataFrame:
-    """(key, n, d1, d2, cells): size, digest and cell counts of each row's set."""
+def read_sets(docs: DataFrame, rule: Threshold, key: str, text: str) -> DataFrame:
+    """(key, n, d1, d2, cells, grams): size and digest of each row's set; its cell counts and n-grams where the task met it first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 4 << 20):
-            grams, first = gram_sets(_texts(batch), rule.words)
+        seen: set[bytes] = set()
+        for batch in slices(batches, "__text", SLICE):
+            grams, first = gram_sets([(t or "").encode() for t in batch.column("__text").to_pylist()], rule.words)
             digest = _digests(grams, first)
-            columns = [pa.array(np.diff(first)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(_cells(grams, first), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), *columns], names=["key", "n", "d1", "d2", "cells"])
-
-    source = _source(docs, key, text)
-    return source.mapInArrow(run, f"key {source.schema['__key'].dataType.simpleString()}, n bigint, d1 bigint, d2 bigint, cells binary")
-
-
-def rarity(docs: DataFrame, rule: Threshold, text: str) -> np.ndarray:
-    """How often n-grams of each slot occur in all documents, on a logarithmic scale of one byte a slot."""
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            new = np.zeros(len(first) - 1, bool)
+            for d in np.flatnonzero(np.diff(first)).tolist():
+                if (mark := digest[d].tobytes()) not in seen:
+                    seen.add(mark)
+                    new[d] = True
+            cells = [c if fresh else None for c, fresh in zip(_cells(grams, first), new.tolist(), strict=True)]
+            sizes = np.diff(first)
+            ends = np.concatenate([[0], np.cumsum(np.where(new, sizes, 0))]).astype(np.int32)
+            held = pa.array(grams[np.repeat(new, sizes)].view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(ends), held, mask=pa.array(~new))
+            columns = [pa.array(sizes), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1])), pa.array(cells, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), *columns], names=["key", "n", "d1", "d2", "cells", "grams"])
+
+    source = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
+    return source.mapInArrow(run, f"key {source.schema['__key'].dataType.simpleString()}, n bigint, d1 bigint, d2 bigint, cells binary, grams array<bigint>")
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column without nulls, and where each list begins and the last one ends."""
+    offsets = column.offsets.to_numpy()
+    return column.flatten().to_numpy().view(np.uint64), offsets - offsets[0]
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often n-grams of each slot occur in all sets, on a logarithmic scale of one byte a slot."""
     rows = SKETCH // SKETCH_ROW
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SKETCH, np.int64)
-        for batch in slices(batches, "__text", 4 << 20):
-            grams, _ = gram_sets(_texts(batch), rule.words)
-            seen += np.bincount((grams >> np.uint64(20)).astype(np.int64) & SKETCH - 1, minlength=SKETCH)
-        counts = [r.astype("<u4").tobytes() for r in seen.reshape(rows, SKETCH_ROW)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(rows), pa.int32()), pa.array(counts, pa.binary())], names=["row", "counts"])
+        for batch in batches:
+            seen += np.bincount((_flat(batch.column("grams"))[0] >> np.uint64(20)).astype(np.int64) & SKETCH - 1, minlength=SKETCH)
+        some = [i for i, r in enumerate(seen.reshape(rows, SKETCH_ROW)) if r.any()]
+        counts = [seen[i * SKETCH_ROW : (i + 1) * SKETCH_ROW].astype("<u4").tobytes() for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts, pa.binary())], names=["row", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -182,40 +205,30 @@ def rarity(docs: DataFrame, rule: Threshold, text: str) -> np.ndarray:
         scaled = [np.minimum(255, np.round(8 * np.log2(1 + t))).astype(np.uint8).tobytes() for t in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array(scaled, pa.binary())], names=["row", "level"])
 
-    parts = _source(docs, text, text).select("__text").mapInArrow(count, "row int, counts binary").repartition("row")
+    parts = sets.select("grams").mapInArrow(count, "row int, counts binary").repartition("row")
     levels = {r["row"]: bytes(r["level"]) for r in parts.mapInArrow(add, "row int, level binary").collect()}
     return np.frombuffer(b"".join(levels.get(i, bytes(SKETCH_ROW)) for i in range(rows)), np.uint8)
 
 
-def prefix_entries(docs: DataFrame, rule: Threshold, level, text: str) -> DataFrame:
+def prefix_entries(sets: DataFrame, rule: Threshold, level) -> DataFrame:
     """(gram, n, at, d1, d2): the prefix of each set, rarest first. level: broadcast of rarity()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, seen = np.frombuffer(level.value, np.uint8), set()
-        for batch in slices(batches, "__text", 4 << 20):
-            grams, first = gram_sets(_texts(batch), rule.words)
-            digest = _digests(grams, first)
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            out, at, who = [], [], []
-            levels = rare[(grams >> np.uint64(20)).astype(np.int64) & SKETCH - 1]
-            for d, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                if a == b or (mark := digest[d].tobytes()) in seen:
-                    continue
-                seen.add(mark)
-                keep = rule.prefix(int(b - a))
-                order = np.argsort(levels[a:b], kind="stable")[:keep]
-                out.append(grams[a:b][order])
-                at.append(np.arange(keep))
-                who.append(d)
-            if not out:
-                continue
-            owner = np.repeat(who, [len(o) for o in out])
-            sizes = np.diff(first)[owner]
-            columns = [np.concatenate(out).view(np.int64), sizes.astype(np.int32), np.concatenate(at).astype(np.int32), digest[owner, 0], digest[owner, 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "n", "at", "d1", "d2"])
-
-    return _source(docs, text, text).select("__text").mapInArrow(run, "gram bigint, n int, at int, d1 bigint, d2 bigint")
+        rare = np.frombuffer(level.value, np.uint8)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                grams, first = _flat(batch.column("grams"))
+                levels = rare[(grams >> np.uint64(20)).astype(np.int64) & SKETCH - 1]
+                sizes = np.diff(first)
+                kept = np.array([rule.prefix(int(n)) for n in sizes], np.int64)
+                out = [grams[a:b][np.argsort(levels[a:b], kind="stable")[:k]] for a, b, k in zip(first[:-1].tolist(), first[1:].tolist(), kept.tolist(), strict=True)]
+                owner = np.repeat(np.arange(len(sizes)), kept)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(kept) - kept, kept)
+                columns = [pa.array(np.concatenate(out).view(np.int64)), pa.array(sizes[owner].astype(np.int32)), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(pa.array(owner)) for c in ("d1", "d2"))], names=["gram", "n", "at", "d1", "d2"])
+
+    return sets.select("grams", "d1", "d2").mapInArrow(run, "gram bigint, n int, at int, d1 bigint, d2 bigint")
 
 
 def shared_entries(entries: DataFrame, rule: Threshold) -> DataFrame:
@@ -258,22 +271,6 @@ def shared_entries(entries: DataFrame, rule: Threshold) -> DataFrame:
     return listed.groupBy("d1", "d2", "p1", "p2").agg(F.max("near").alias("near"))
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, rule: Threshold, text: str) -> DataFrame:
-    """(d1, d2, grams) of the sets in wanted (d1, d2), one row per set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 4 << 20):
-            grams, first = gram_sets(_texts(batch), rule.words)
-            digest = _digests(grams, first)
-            blobs = [grams[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(blobs, pa.binary())], names=["d1", "d2", "grams"])
-
-    found = _source(docs, text, text).select("__text").mapInArrow(run, "d1 bigint, d2 bigint, grams binary")
-    few = wanted.count() <= BROADCAST_SETS
-    chosen = found.join(F.broadcast(wanted) if few else wanted, ["d1", "d2"], "left_semi")
-    return chosen.groupBy("d1", "d2").agg(F.first("grams").alias("grams"))
-
-
 def _side(sets: DataFrame, columns: list[str], s: str) -> DataFrame:
     return sets.select(F.col("d1").alias(f"{s}1"), F.col("d2").alias(f"{s}2"), *(F.col(c).alias(f"{s}_{c}") for c in columns))
 
@@ -281,6 +278,13 @@ def _side(sets: DataFrame, columns: list[str], s: str) -> DataFrame:
 PAIRS = "a1 bigint, a2 bigint, b1 bigint, b2 bigint"
 
 
+def _cells_pass(rule: Threshold, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether pairs with these cells and sizes pass the length and the suffix filter."""
+    near = 100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)
+    full = np.maximum(a.max(axis=-1), b.max(axis=-1)) == 255
+    return near & (full | (np.minimum(a, b).sum(axis=-1, dtype=np.int64) >= rule.overlap(n + m)))
+
+
 def close_pairs(pairs: DataFrame, light: DataFrame, rule: Threshold) -> DataFrame:
     """The pairs (a1, a2, b1, b2) that pass the length and the suffix filter. light: (d1, d2, n, cells)."""
 
@@ -289,91 +293,93 @@ def close_pairs(pairs: DataFrame, light: DataFrame, rule: Threshold) -> DataFram
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(-1, CELLS) for c in ("a_cells", "b_cells"))
                 n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("a_n", "b_n"))
-                near = 100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)
-                full = np.maximum(a.max(axis=1), b.max(axis=1)) == 255
-                batch = batch.filter(pa.array(near & (full | (np.minimum(a, b).sum(axis=1, dtype=np.int64) >= rule.overlap(n + m)))))
+                batch = batch.filter(pa.array(_cells_pass(rule, a, b, n, m)))
             yield batch.select(["a1", "a2", "b1", "b2"])
 
     joined = pairs.join(_side(light, ["n", "cells"], "b"), ["b1", "b2"]).join(_side(light, ["n", "cells"], "a"), ["a1", "a2"])
     return joined.select("a1", "a2", "b1", "b2", "a_n", "b_n", "a_cells", "b_cells").mapInArrow(run, PAIRS)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, rule: Threshold, text: str) -> DataFrame:
+def verified(sets: DataFrame, pairs: DataFrame, rule: Threshold, tables: Tables, name: str) -> DataFrame:
     """The pairs that reach the threshold on whole sets, each looked at once. pairs: a written table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for step in range(0, batch.num_rows, 500):
-                part = batch.slice(step, 500)
-                for x, y in zip(part.column("a_grams").to_pylist(), part.column("b_grams").to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    at = np.searchsorted(y, x)
-                    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    keep.append(100 * common >= rule.percent * (len(x) + len(y) - common))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a1", "a2", "b1", "b2"])
-
-    wanted = materialise(pairs.select(F.explode(F.array(F.struct(F.col("a1").alias("d1"), F.col("a2").alias("d2")), F.struct(F.col("b1").alias("d1"), F.col("b2").alias("d2")))).alias("d")).select("d.d1", "d.d2").distinct(), "wanted")
-    sets = materialise(whole_sets(docs, wanted, rule, text), "sets")
-    heavy = pairs.join(_side(sets, ["grams"], "b"), ["b1", "b2"]).join(_side(sets, ["grams"], "a"), ["a1", "a2"])
-    return heavy.select("a1", "a2", "b1", "b2", "a_grams", "b_grams").mapInArrow(run, PAIRS)
+    ends = F.explode(F.array(F.struct(F.col("a1").alias("d1"), F.col("a2").alias("d2")), F.struct(F.col("b1").alias("d1"), F.col("b2").alias("d2"))))
+    wanted = tables.write(pairs.select(ends.alias("d")).select("d.d1", "d.d2").distinct(), f"{name}_wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    chosen = sets.select("d1", "d2", "grams").join(F.broadcast(wanted) if few else wanted, ["d1", "d2"], "left_semi")
+    whole = tables.write(chosen.groupBy("d1", "d2").agg(F.first("grams").alias("grams")), f"{name}_sets")
+    common = F.size(F.array_intersect("a_grams", "b_grams"))
+    heavy = pairs.join(_side(whole, ["grams"], "b"), ["b1", "b2"]).join(_side(whole, ["grams"], "a"), ["a1", "a2"])
+    counted = heavy.select("a1", "a2", "b1", "b2", (F.size("a_grams") + F.size("b_grams")).alias("total"), common.alias("common"))
+    links = tables.write(counted.where(100 * F.col("common") >= rule.percent * (F.col("total") - F.col("common"))).select("a1", "a2", "b1", "b2"), name)
+    tables.drop(f"{name}_wanted", f"{name}_sets")
+    return links
 
 
 def crossing_pairs(members: DataFrame, light: DataFrame, rule: Threshold) -> DataFrame:
     """(a1, a2, b1, b2): pairs of one pivot's sets that lie in different components and pass the filters.
 
     members: (p1, p2, d1, d2, c1, c2), without the pivots themselves, whose pairs
-    are decided already. A pivot's sets are dealt over
-    tiles of about TILE rows; each pair of tiles is one group, so no task holds
-    a whole pivot, and pairs that the filters reject are never rows.
+    are decided already. Only sets of one size class or of adjacent ones can be
+    linked, so a pivot's sets meet per class (role 0) with those of the class
+    above (role 1). A class is dealt over tiles of about TILE sets; each pair of
+    tiles is one group, so no task holds a whole pivot, and pairs that the
+    filters reject are never rows.
     """
-    sizes = members.groupBy("p1", "p2").agg(F.count("*").alias("m"), F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high")).where("low != high").select("p1", "p2", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("d1", "d2"), F.col("tiles")).cast("int")
-    dealt = members.join(sizes, ["p1", "p2"]).join(light, ["d1", "d2"]).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    keyed = dealt.select("p1", "p2", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "d1", "d2", "c1", "c2", "n", "cells")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # one group
-            tiles, n = batch.column("tile").to_numpy(), batch.column("n").to_numpy().astype(np.int64)
-            cells = np.frombuffer(b"".join(batch.column("cells").to_pylist()), "u1").reshape(-1, CELLS)
-            ids, comp = (np.stack([batch.column(c).to_numpy() for c in names], axis=1) for names in (("d1", "d2"), ("c1", "c2")))
-            i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
-            left, right = np.flatnonzero(tiles == i), np.flatnonzero(tiles == j)
-            found: list[np.ndarray] = []
-            for x in left:
-                y = right if i != j else right[right > x]
-                y = y[(comp[y] != comp[x]).any(axis=1) & (100 * np.minimum(n[y], n[x]) >= rule.percent * np.maximum(n[y], n[x]))]
-                if len(y):
-                    y = y[np.minimum(cells[y], cells[x]).sum(axis=1, dtype=np.int64) >= np.where(np.maximum(cells[y].max(axis=1), cells[x].max()) == 255, 0, rule.overlap(n[y] + n[x]))]
-                    found.append(np.concatenate([np.repeat(ids[x : x + 1], len(y), axis=0), ids[y]], axis=1))
-            pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in range(4)], names=["a1", "a2", "b1", "b2"])
-
-    def grouped(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(iter(table.combine_chunks().to_batches()))))
-
-    return keyed.groupBy("p1", "p2", "i", "j").applyInArrow(grouped, "a1 bigint, a2 bigint, b1 bigint, b2 bigint")
-
-
-def set_links(docs: DataFrame, light: DataFrame, rule: Threshold, text: str) -> tuple[DataFrame, DataFrame]:
-    """(links, labels): verified pairs of sets that span every component, and (d1, d2, c1, c2) of each linked set.
-
-    light: (d1, d2, n, cells) of every set. A component is named by its smallest digest.
+    classed = members.join(light, ["d1", "d2"]).withColumn("class", rule.size_class(F.col("n")))
+    roles = F.explode(F.array(F.struct(F.col("class").alias("k"), F.lit(0).alias("role")), F.struct((F.col("class") - 1).alias("k"), F.lit(1).alias("role"))))
+    slim = members.join(light.select("d1", "d2", "n"), ["d1", "d2"]).withColumn("class", rule.size_class(F.col("n"))).withColumn("r", roles)
+    sizes = slim.groupBy("p1", "p2", "r.k").agg(F.count_if(F.col("r.role") == 0).alias("m0"), F.count_if(F.col("r.role") == 1).alias("m1"), F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high"))
+    groups = sizes.where("m0 > 0 AND low != high").select("p1", "p2", "k", F.ceil(F.col("m0") / TILE).cast("int").alias("t0"), F.ceil(F.col("m1") / TILE).cast("int").alias("t1"))
+    dealt = classed.withColumn("r", roles).select("*", "r.k", "r.role").drop("r", "class").join(groups, ["p1", "p2", "k"])
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("d1", "d2"), F.when(F.col("role") == 0, F.col("t0")).otherwise(F.col("t1"))).cast("int"))
+    places = F.expr(
+        """CASE WHEN role = 0 THEN concat(
+             transform(sequence(tile, t0 - 1), j -> named_struct('i', tile, 'above', 0, 'j', j, 'side', 0)),
+             transform(slice(sequence(0, tile), 1, tile), i -> named_struct('i', i, 'above', 0, 'j', tile, 'side', 1)),
+             transform(slice(sequence(0, t1), 1, t1), j -> named_struct('i', tile, 'above', 1, 'j', j, 'side', 0)))
+           ELSE transform(slice(sequence(0, t0), 1, t0), i -> named_struct('i', i, 'above', 1, 'j', tile, 'side', 1)) END"""
+    )
+    keyed = dealt.withColumn("at", F.explode(places)).select("p1", "p2", "k", "at.i", "at.above", "at.j", "at.side", "d1", "d2", "c1", "c2", "n", "cells")
+
+    def compare(table: pa.Table) -> pa.Table:  # one group
+        side, n = table.column("side").to_numpy(), table.column("n").to_numpy().astype(np.int64)
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), "u1").reshape(-1, CELLS)
+        ids, comp = (np.stack([table.column(c).to_numpy() for c in names], axis=1) for names in (("d1", "d2"), ("c1", "c2")))
+        own = table.column("above")[0].as_py() == 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()  # a tile with itself
+        left = np.flatnonzero(side == 0)
+        right = left if own else np.flatnonzero(side == 1)
+        found = [np.zeros((0, 4), np.int64)]
+        for x in left.tolist():
+            y = right[right > x] if own else right
+            y = y[(comp[y] != comp[x]).any(axis=1) & (100 * np.minimum(n[y], n[x]) >= rule.percent * np.maximum(n[y], n[x]))]
+            if len(y):
+                y = y[_cells_pass(rule, cells[y], cells[x], n[y], n[x])]
+                found.append(np.concatenate([np.repeat(ids[x : x + 1], len(y), axis=0), ids[y]], axis=1))
+        pairs = np.concatenate(found)
+        return pa.table([np.ascontiguousarray(pairs[:, c]) for c in range(4)], names=["a1", "a2", "b1", "b2"])
+
+    return keyed.groupBy("p1", "p2", "k", "i", "above", "j").applyInArrow(compare, PAIRS)
+
+
+def set_links(sets: DataFrame, light: DataFrame, rule: Threshold, tables: Tables) -> DataFrame:
+    """(d1, d2, c1, c2) of each linked set: its component, named by the smallest digest in it.
+
+    sets: (d1, d2, grams), a set perhaps more than once. light: (d1, d2, n, cells) of every set.
     """
-    level = docs.sparkSession.sparkContext.broadcast(rarity(docs, rule, text).tobytes())
-    shared = materialise(shared_entries(prefix_entries(docs, rule, level, text), rule).where("d1 != p1 OR d2 != p2"), "shared")
+    level = sets.sparkSession.sparkContext.broadcast(rarity(sets).tobytes())
+    shared = tables.write(shared_entries(prefix_entries(sets, rule, level), rule).where("d1 != p1 OR d2 != p2"), "shared")
     star = shared.where("near").select(F.col("p1").alias("a1"), F.col("p2").alias("a2"), F.col("d1").alias("b1"), F.col("d2").alias("b2"))
-    links = materialise(verified(docs, materialise(close_pairs(star, light, rule), "close"), rule, text), "links")
-    labels = materialise(_labels(links), "labels")
+    links = verified(sets, tables.write(close_pairs(star, light, rule), "close"), rule, tables, "links")
+    labels = tables.write(_labels(links), "labels")
     members = shared.select("p1", "p2", "d1", "d2").join(labels, ["d1", "d2"], "left").withColumn("c1", F.coalesce("c1", "d1")).withColumn("c2", F.coalesce("c2", "d2"))
-    apart = materialise(crossing_pairs(members, light, rule).distinct(), "apart")
-    if apart.isEmpty():
-        return links, labels
-    rest = materialise(verified(docs, apart, rule, text), "crossing_links")
-    if rest.isEmpty():
-        return links, labels
-    links = links.unionByName(rest)
-    return links, materialise(_labels(links), "all_labels")
+    apart = tables.write(crossing_pairs(members, light, rule).distinct(), "apart")
+    tables.drop("shared", "close")
+    if not apart.isEmpty():
+        rest = verified(sets, apart, rule, tables, "crossing_links")
+        if not rest.isEmpty():
+            labels = tables.write(_labels(links.unionByName(rest)), "all_labels")
+    tables.drop("apart", "links")
+    return labels
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -383,10 +389,18 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, rule: Threshold = Threshold(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles and component_id, the smallest key that links reach."""
-    rows = materialise(set_table(docs, rule, key, text), "rows")
-    light = materialise(rows.where("n > 0").groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("cells").alias("cells")), "light")
-    _, labels = set_links(docs, light, rule, text)
+    """Per row: key, n_shingles and component_id, the smallest key that links reach.
+
+    The key may be a struct. Joins of rows with their sets leave a set that a
+    large share of rows have to Spark's skew join.
+    """
+    tables = Tables(docs.sparkSession)
+    read = tables.write(read_sets(docs, rule, key, text), "read")
+    sets = read.where("grams IS NOT NULL")
+    rows = tables.write(read.select("key", "n", "d1", "d2"), "rows")
+    light = tables.write(sets.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("cells").alias("cells")), "light")
+    labels = set_links(sets.select("d1", "d2", "grams"), light, rule, tables)
+    tables.drop("read", "light")
     named = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("key").alias("low")).join(labels, ["d1", "d2"], "left")
     named = named.select("d1", "d2", "low", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"))
     least = named.groupBy("c1", "c2").agg(F.min("low").alias("least"))

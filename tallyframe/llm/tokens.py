@@ -91,8 +91,8 @@ def int_lists(blobs: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), dtype="<i4")))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most about max_bytes of `column`."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most about max_bytes of `column`; memory of a batch is given back after it."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -100,6 +100,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
         cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // max_bytes)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(int(a), int(b - a))
+        pa.default_memory_pool().release_unused()
 
 
 def with_length(docs: DataFrame, key: str, text: str, tokenizer: str) -> DataFrame:

@@ -324,6 +324,27 @@ def test_ngram_join(spark, words, percent):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == near(rows, words, percent)
 
 
+def test_ngram_join_tells_long_words_apart(spark):
+    bits = [bin(i).count("1") % 2 for i in range(2048)]  # the Thue-Morse word: equal to its complement under polynomial hashes
+    rows = [(1, "".join("ab"[b] for b in bits)), (2, "".join("ba"[b] for b in bits))]
+    out = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in out} == {(1, 1), (2, 2)}
+
+
+def test_crossing_pairs_of_a_common_prefix(spark):
+    """Sets that share common n-grams with a pivot they are far from, in many size classes and tiles."""
+    rng = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = []
+    for family in range(150):
+        own = [f"x{family}y{i}" for i in range(rng.randrange(3, 9))]
+        rows += [(len(rows), " ".join([common, *own])), (len(rows) + 1, " ".join([common, *own[:-1], f"z{family}"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for rule in (ngram_join.Threshold(3, 90), ngram_join.Threshold(5, 80)):
+        out = ngram_join.near_duplicates(docs, rule).collect()
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == near(rows, rule.words, rule.percent)
+
+
 def test_ngram_join_on_nothing(none):
     assert ngram_join.near_duplicates(none).count() == 0
 
