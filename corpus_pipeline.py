@@ -10,12 +10,12 @@ alone, and rows that repeat both id and text are one document.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import exact_dedup, ngram_join, packing, pii, quality_mil
 from tallyframe.llm.queries import SURROGATE_KEY
-from tallyframe.llm.store import materialise
+from tallyframe.llm.store import materialise, without
 
 #: Documents with a lower score are rejected.
 QUALITY_SCORE = 0.3
@@ -28,21 +28,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("__score") >= QUALITY_SCORE).select(*docs.columns)
 
 
+def _sha() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the largest doc_id."""
-    found = exact_dedup.duplicates(docs)
-    dropped = found.where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    left = docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_anti")
-    repeated = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    """Of documents with equal texts, the one with the largest doc_id; null counts as the empty text.
+
+    Rows that repeat an id and its text are one document. Only ids and digests are shuffled, but for such rows.
+    """
+    found = materialise(exact_dedup.duplicates(docs).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept"), "copies")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (_sha() == F.col("__sha"))
+    repeated = materialise(found.where("kept").groupBy("__id", "__sha").count().where("count > 1").drop("count"), "repeated")
+    gone = materialise(found.where("NOT kept").drop("kept").unionByName(repeated).distinct(), "gone")
+    once = docs.join(repeated, same, "left_semi").withColumn("__sha", _sha()).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    return without(docs, gone, same).unionByName(once)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by similar sets of five-word n-grams, the document with the smallest doc_id."""
-    groups = ngram_join.near_duplicates(docs, ngram_join.Threshold(words=5, percent=80))
-    dropped = groups.where("component_id != doc_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(dropped, docs["doc_id"] == F.col("__id"), "left_anti")
+    """Of each group linked by similar sets of five-word n-grams, the document with the smallest doc_id; null is larger than any.
+
+    Documents that share an id are told apart by their texts.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", _sha().alias("sha"))
+    groups = ngram_join.near_duplicates(docs.select(row.alias("row"), "text"), ngram_join.Threshold(words=5, percent=80), key="row")
+    gone = materialise(groups.where("component_id != row").select(F.col("row.doc_id").alias("__id"), F.col("row.sha").alias("__sha")), "near")
+    return without(docs, gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (_sha() == F.col("__sha")))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
