@@ -13,15 +13,16 @@ Centres are fitted on a bounded sample (`sample` rows with the smallest hash of
 their id); every row is encoded and scanned. Queries and codes meet in blocks.
 
 Vectors that are null or zero, or hold null or non-finite components, or whose
-length is not the most common one of the sample, take no part. Equal scores go
-to the smaller id. Rows that repeat an id are separate candidates, and a query
-never finds a row of its own id. An empty table gives an empty result. Columns
-other than id and vector are not read.
+length is not the most common one of the table (of equally common ones the
+smaller), take no part. Components are scored in double precision, as the table
+has them. Equal scores go to the smaller id. Rows that repeat an id are separate
+queries and separate candidates, told apart by a number given to each row when
+the vectors are written; a query never finds its own row. An empty table gives an
+empty result. Columns other than id and vector are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialise
+from .tokens import small_batches
+
 #: Centres of a subspace: a code has four bits.
 CENTRES = 16
 #: Rows that the centres are fitted on, codes in a block, queries in a block, and codes that one task scans for a block of queries.
-SAMPLE, CODE_BLOCK, QUERY_BLOCK, TASK_CODES = 10_000, 4096, 256, 4_000_000
+SAMPLE, CODE_BLOCK, QUERY_BLOCK, TASK_CODES = 10_000, 4096, 512, 4_000_000
 
 
 @dataclass
@@ -126,26 +130,31 @@ def fit(sample: np.ndarray, subspaces: int | None = None, threshold: float = 0.2
 
 
 def valid_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) of the rows that take part."""
-    v = F.col(f"`{vector}`").cast("array<float>")
+    """(id, row, v) of the rows that take part, but for their length; a component is as the table has it, float or double."""
+    wide = "double" in table.schema[vector].dataType.simpleString()
+    v = F.col(f"`{vector}`").cast("array<double>" if wide else "array<float>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return table.select(F.col(f"`{key}`").cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine)
+    held = table.select(F.col(f"`{key}`").cast("bigint").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine)
+    return held.select("id", F.monotonically_increasing_id().alias("row"), "v")
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def fit_on_sample(vectors: DataFrame, sample: int = SAMPLE, **how) -> Quantiser | None:
-    rows = [r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).collect()]
-    if not rows:
-        return None
-    width = Counter(map(len, rows)).most_common(1)[0][0]
-    return fit(np.array([r for r in rows if len(r) == width], dtype=np.float64), **how)
+def fit_on_sample(vectors: DataFrame, sample: int = SAMPLE, **how) -> Quantiser:
+    """vectors: of one length."""
+    rows = [r["v"] for r in vectors.orderBy(F.xxhash64("id"), "id", "row").limit(sample).collect()]
+    x = np.array(rows, dtype=np.float64)
+    return fit(x[np.abs(x).max(axis=1) < 1e150] if (np.abs(x) < 1e150).any() else x, **how)
+
+
+BLOCKS = ("ids", "rows", "codes", "reach", "vectors")
 
 
 def code_blocks(vectors: DataFrame, model: Quantiser, block: int = CODE_BLOCK) -> DataFrame:
-    """(ids, codes, reach, vectors): up to `block` vectors in a row with their packed codes, by rising id."""
+    """(ids, rows, codes, reach, vectors): up to `block` vectors in a row with their packed codes, by rising id."""
+    number = "<f8" if "double" in vectors.schema["v"].dataType.simpleString() else "<f4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,18 +162,20 @@ def code_blocks(vectors: DataFrame, model: Quantiser, block: int = CODE_BLOCK) -
                 part = batch.slice(at, block)
                 ids, x = part.column("id").to_numpy(), _matrix(part.column("v"), model.width)
                 order = np.argsort(ids, kind="stable")
-                codes = model.assign(x.astype(np.float64))
-                held = ids.astype("<i8"), model.pack(codes), model.reach(x.astype(np.float64), codes).astype("<f4"), x.astype("<f4")
-                yield pa.RecordBatch.from_arrays([pa.array([h[order].tobytes()], pa.binary()) for h in held], names=["ids", "codes", "reach", "vectors"])
+                with np.errstate(over="ignore", invalid="ignore"):  # huge components have no bound and are scored exactly
+                    codes = model.assign(x.astype(np.float64))
+                    reach = model.reach(x.astype(np.float64), codes)
+                held = ids.astype("<i8"), part.column("row").to_numpy().astype("<i8"), model.pack(codes), reach.astype("<f4"), x.astype(number)
+                yield pa.RecordBatch.from_arrays([pa.array([h[order].tobytes()], pa.binary()) for h in held], names=[*BLOCKS])
 
-    return vectors.mapInArrow(run, "ids binary, codes binary, reach binary, vectors binary")
+    return vectors.transform(small_batches).mapInArrow(run, ", ".join(f"{c} binary" for c in BLOCKS))
 
 
 class Best:
     """The k candidates of largest exact inner product with one query; equal ones by smaller id."""
 
-    def __init__(self, query_id: int, vector: np.ndarray, k: int):
-        self.query_id, self.vector, self.k = query_id, vector, k
+    def __init__(self, query_id: int, row: int, vector: np.ndarray, k: int):
+        self.query_id, self.row, self.vector, self.k = query_id, row, vector, k
         self.ids, self.scores, self.least = np.zeros(0, np.int64), np.zeros(0), -np.inf
 
     def score(self, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -176,9 +187,9 @@ class Best:
         if len(order) == self.k:
             self.least = self.scores[-1]
 
-    def scan(self, ids: np.ndarray, near: np.ndarray, most: np.ndarray, vectors: np.ndarray, shortlist: int) -> None:
+    def scan(self, ids: np.ndarray, rows: np.ndarray, near: np.ndarray, most: np.ndarray, vectors: np.ndarray, shortlist: int) -> None:
         """near: quantised scores; most: what the exact ones can be at most. Scores by `shortlist` first, then all that can still be among the best."""
-        left = np.flatnonzero(~(most < self._floor()) & (ids != self.query_id))
+        left = np.flatnonzero(~(most < self._floor()) & (rows != self.row))
         if len(left) > shortlist:
             cut = np.argpartition(near[left], len(left) - shortlist)
             guess, left = left[cut[-shortlist:]], left[cut[:-shortlist]]
@@ -193,7 +204,8 @@ class Best:
 
 
 def best_in_cells(queries: DataFrame, blocks: DataFrame, model: Quantiser, n_queries: int, n_codes: int, k: int, shortlist: int) -> DataFrame:
-    """(query_id, vec_id, score): each query's k best of each group of code blocks, per block of queries."""
+    """(query_id, query_row, vec_id, score): each query's k best of each group of code blocks, per block of queries."""
+    number = "<f8" if "double" in queries.schema["v"].dataType.simpleString() else "<f4"
     n_blocks, groups = -(-n_queries // QUERY_BLOCK), -(-n_codes // TASK_CODES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,43 +213,42 @@ def best_in_cells(queries: DataFrame, blocks: DataFrame, model: Quantiser, n_que
 
         def found() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat([q.query_id for q in asked], [len(q.ids) for q in asked]).astype(np.int64)), pa.array(np.concatenate([q.ids for q in asked])), pa.array(np.concatenate([q.scores for q in asked]))],
-                names=["query_id", "vec_id", "score"],
+                [*(pa.array(np.repeat([getattr(q, name) for q in asked], [len(q.ids) for q in asked]).astype(np.int64)) for name in ("query_id", "row")), pa.array(np.concatenate([q.ids for q in asked])), pa.array(np.concatenate([q.scores for q in asked]))],
+                names=["query_id", "query_row", "vec_id", "score"],
             )
 
         for batch in batches:
             for row in range(batch.num_rows):
-                b, g, q, v, ids, codes, reach, vectors = (batch.column(c)[row].as_py() for c in ("b", "g", "q", "v", "ids", "codes", "reach", "vectors"))
+                b, g, q, own, v, ids, rows, codes, reach, vectors = (batch.column(c)[row].as_py() for c in ("b", "g", "q", "own", "v", *BLOCKS))
                 if (b, g) != cell:
                     if asked:
                         yield found()
                     cell, asked, tables = (b, g), [], None
                 if q is not None:  # the queries of a cell come first
-                    asked.append(Best(q, np.array(v, dtype=np.float64), k))
+                    asked.append(Best(q, own, np.array(v, dtype=np.float64), k))
                     continue
                 if not asked:
                     continue
                 if tables is None:
-                    rows = np.array([a.vector for a in asked])
-                    tables = model.tables(rows)
-                    lengths = np.nextafter(np.sqrt((rows * rows).sum(axis=1)).astype(np.float32), np.float32(np.inf))
-                ids, codes = np.frombuffer(ids, "<i8"), np.frombuffer(codes, np.uint8).reshape(len(ids) // 8, -1)
-                reach, vectors = np.frombuffer(reach, "<f4"), np.frombuffer(vectors, "<f4").reshape(len(ids), -1)
+                    whole = np.array([a.vector for a in asked])
+                    tables = model.tables(whole)
+                    lengths = np.nextafter(np.sqrt((whole * whole).sum(axis=1)).astype(np.float32), np.float32(np.inf))
+                ids, rows, codes = np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<i8"), np.frombuffer(codes, np.uint8).reshape(len(ids) // 8, -1)
+                reach, vectors = np.frombuffer(reach, "<f4"), np.frombuffer(vectors, number).reshape(len(ids), -1)
                 score = tables[0][codes[:, 0]]
                 for j in range(1, codes.shape[1]):
                     score += tables[j][codes[:, j]]
                 score = np.ascontiguousarray(score.T)
                 for a, near, length in zip(asked, score, lengths, strict=True):
-                    a.scan(ids, near, near + length * reach, vectors, shortlist)
+                    a.scan(ids, rows, near, near + length * reach, vectors, shortlist)
         if asked:
             yield found()
 
     nothing = F.lit(None)
-    binary = ("ids", "codes", "reach", "vectors")
-    ask = queries.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("id").alias("q"), "v", *(nothing.cast("binary").alias(c) for c in binary))
-    held = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("g"), nothing.cast("bigint").alias("q"), nothing.cast("array<float>").alias("v"), *binary)
+    ask = queries.select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("id").alias("q"), F.col("row").alias("own"), "v", *(nothing.cast("binary").alias(c) for c in BLOCKS))
+    held = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("g"), nothing.cast("bigint").alias("q"), nothing.cast("bigint").alias("own"), nothing.cast(queries.schema["v"].dataType).alias("v"), *BLOCKS)
     dealt = ask.unionByName(held).repartition("b", "g").sortWithinPartitions("b", "g", F.col("q").asc_nulls_last())
-    return dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    return dealt.transform(small_batches).mapInArrow(run, "query_id bigint, query_row bigint, vec_id bigint, score double")
 
 
 def search(table: DataFrame, is_query, k: int = 20, shortlist: int = 250, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> DataFrame:
@@ -245,15 +256,14 @@ def search(table: DataFrame, is_query, k: int = 20, shortlist: int = 250, key: s
 
     is_query: condition on the column `id`, a row's id as a bigint.
     """
-    vectors = valid_vectors(table, key, vector)
+    vectors = materialise(valid_vectors(table, key, vector), "vectors")
+    nothing = vectors.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
+    lengths = vectors.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"))
+    common = lengths.orderBy(F.desc("n"), "width").first()
+    if common is None or not common["q"]:
+        return nothing
+    vectors = vectors.where(F.size("v") == common["width"])
     model = fit_on_sample(vectors, sample)
-    if model is None:
-        return vectors.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    vectors = vectors.where(F.size("v") == model.width)
-    queries = vectors.where(is_query)
-    counts = vectors.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    if not counts["q"]:
-        return vectors.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    scored = best_in_cells(queries, code_blocks(vectors, model), model, counts["q"], counts["n"], k, shortlist)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scored = best_in_cells(vectors.where(is_query), code_blocks(vectors, model), model, common["q"], common["n"], k, shortlist)
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

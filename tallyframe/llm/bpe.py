@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
-from .tokens import int_lists, slices
+from .tokens import int_lists, slices, small_batches
 
 #: A byte b is written as the character of this code point plus b.
 BYTE_BASE = 0x4E00
@@ -148,7 +148,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias(text))
     schema = source.drop(text).schema.add(ids, ArrayType(IntegerType()))
-    return source.mapInArrow(run, schema)
+    return source.transform(small_batches).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -165,4 +165,4 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.binary())], names=[*keep, out])
 
     source = docs.select(*(F.col(f"`{c}`") for c in keep))
-    return source.mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add(out, BinaryType()))
+    return source.transform(small_batches).mapInArrow(run, docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add(out, BinaryType()))

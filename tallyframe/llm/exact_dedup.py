@@ -6,7 +6,8 @@ key. A digest that the filter has not seen is new. A hit is only a maybe and is
 verified against the bucket's content, so false positives never merge texts.
 When a filter overflows it is rebuilt at twice the size from the stored keys.
 Deleting lowers a digest's live count and takes its fingerprint out of the
-filter with the last live copy.
+filter with the last live copy; an entry whose largest key may be gone is marked
+stale, and refresh_keys() reads it anew.
 
 Rows first pass through a small index of their own partition, so a text that
 fills a third of the corpus reaches its bucket as one row per partition.
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import small_batches
+
 #: Fingerprints in a slot group of the filter, and moves before it counts as full.
 SLOTS, MOVES = 4, 200
 #: Digests that a bucket should hold, and that a partition's own index holds before it is emptied.
@@ -98,14 +101,15 @@ class DigestBucket:
     def _verified(self, digest: bytes) -> list | None:
         return self.content.get(digest) if self.filter.contains(digest) else None
 
-    def insert(self, digest: bytes, live: int, key) -> bool:
+    def insert(self, digest: bytes, live: int, key, stale: bool = False) -> bool:
         """True if the digest is new to the bucket."""
         if (entry := self._verified(digest)) is not None:
             entry[0] += live
-            if entry[1] is None or key is not None and key > entry[1]:
+            entry[2] |= stale
+            if entry[1] is None or key is not None and key >= entry[1]:
                 entry[1] = key
             return False
-        self.content[digest] = [live, key]
+        self.content[digest] = [live, key, stale]
         if not self.filter.insert(digest):
             self._grow()
         return True
@@ -118,18 +122,22 @@ class DigestBucket:
             if all(map(self.filter.insert, self.content)):
                 return
 
-    def delete(self, digest: bytes, live: int = 1) -> bool:
-        """Take out live copies; True if they were there. The largest key is kept as it was."""
-        if (entry := self._verified(digest)) is None or entry[0] < live:
+    def delete(self, digest: bytes, live: int = 1, key=None) -> bool:
+        """Take out so many live copies, or all if there are fewer; True if any was there.
+
+        The entry is stale from then on if its largest key may be among those taken out.
+        """
+        if (entry := self._verified(digest)) is None:
             return False
         entry[0] -= live
-        if not entry[0]:
+        entry[2] |= key is None or entry[1] is not None and key >= entry[1]
+        if entry[0] <= 0:
             self.filter.delete(digest)
             del self.content[digest]
         return True
 
-    def rows(self) -> tuple[list, list, list]:
-        return list(self.content), [e[0] for e in self.content.values()], [e[1] for e in self.content.values()]
+    def rows(self) -> tuple[list, ...]:
+        return list(self.content), *([e[i] for e in self.content.values()] for i in range(3))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -138,13 +146,13 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def _entry_schema(kind: str) -> str:
-    return f"digest binary, live bigint, key {kind}"
+    return f"digest binary, live bigint, key {kind}, stale boolean"
 
 
 def _batch(bucket: DigestBucket, key_type: pa.DataType, extra: tuple = ()) -> pa.RecordBatch:
-    digests, live, keys = bucket.rows()
-    columns = [pa.array(digests, pa.binary()), pa.array(live, pa.int64()), pa.array(keys, key_type)]
-    names = ["digest", "live", "key"]
+    digests, live, keys, stale = bucket.rows()
+    columns = [pa.array(digests, pa.binary()), pa.array(live, pa.int64()), pa.array(keys, key_type), pa.array(stale, pa.bool_())]
+    names = ["digest", "live", "key", "stale"]
     for name, value in extra:
         columns.append(pa.array([value] * len(digests), pa.int32()))
         names.append(name)
@@ -166,7 +174,7 @@ def partial_entries(prints: DataFrame, key: str) -> DataFrame:
         if len(bucket):
             yield _batch(bucket, key_type)
 
-    return prints.select(F.col(f"`{key}`"), "digest").mapInArrow(run, _entry_schema(prints.schema[key].dataType.simpleString()))
+    return prints.select(F.col(f"`{key}`"), "digest").transform(small_batches).mapInArrow(run, _entry_schema(prints.schema[key].dataType.simpleString()))
 
 
 def _bucket_of(buckets: int) -> F.Column:
@@ -179,22 +187,31 @@ def bucket_count(docs: DataFrame, per_bucket: int = BUCKET_DIGESTS) -> int:
 
 
 def build_index(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, digest, live, key): one row per distinct text, its live copies and their largest key."""
+    """(bucket, digest, live, key, stale): one row per distinct text, its live copies and their largest key."""
     entries = partial_entries(fingerprints(docs, key, text), key)
     return merge_entries(entries.withColumn("op", F.lit("+")), buckets)
 
 
 def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index after inserting and deleting rows; deletes of digests that are not live change nothing.
+    """The index after inserting and then deleting rows. Deletes of digests that are not live change nothing.
 
-    Inserts go before deletes. After a delete, a digest's key is still the largest ever inserted.
+    Of a digest, as many copies go as are deleted, or all. Where a deleted key may
+    have been the largest, the entry is stale until refresh_keys().
     """
-    held = index.select("digest", "live", "key", F.lit("+").alias("op"))
+    held = index.select("digest", "live", "key", "stale", F.lit("+").alias("op"))
     new = partial_entries(fingerprints(inserts, key, text), key).withColumn("op", F.lit("+"))
     gone = partial_entries(fingerprints(deletes, key, text), key).withColumn("op", F.lit("-"))
     return merge_entries(held.unionByName(new).unionByName(gone), buckets)
 
 
+def refresh_keys(index: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index with the largest keys of stale entries read anew from docs, the rows that are live."""
+    stale = index.where("stale").select("digest")
+    live = partial_entries(fingerprints(docs, key, text).join(stale, "digest", "left_semi").select(key, "digest"), key)
+    best = live.groupBy("digest").agg(F.max("key").alias("__best"))
+    return index.join(best, "digest", "left").withColumn("key", F.when(F.col("stale"), F.col("__best")).otherwise(F.col("key"))).withColumn("stale", F.lit(False)).drop("__best")
+
+
 def merge_entries(entries: DataFrame, buckets: int) -> DataFrame:
     """Runs "+" and then "-" rows through the filter of their bucket."""
 
@@ -202,21 +219,21 @@ def merge_entries(entries: DataFrame, buckets: int) -> DataFrame:
         now, bucket, key_type = None, DigestBucket(), None
         for batch in batches:
             key_type = batch.schema.field("key").type
-            for b, digest, live, key, op in zip(*(batch.column(c).to_pylist() for c in ("bucket", "digest", "live", "key", "op")), strict=True):
+            for b, digest, live, key, stale, op in zip(*(batch.column(c).to_pylist() for c in ("bucket", "digest", "live", "key", "stale", "op")), strict=True):
                 if b != now:
                     if len(bucket):
                         yield _batch(bucket, key_type, (("bucket", now),))
                     now, bucket = b, DigestBucket()
                 if op == "+":
-                    bucket.insert(digest, live, key)
+                    bucket.insert(digest, live, key, stale)
                 else:
-                    bucket.delete(digest, live)
+                    bucket.delete(digest, live, key)
         if len(bucket):
             yield _batch(bucket, key_type, (("bucket", now),))
 
     kind = entries.schema["key"].dataType.simpleString()
-    dealt = entries.select(_bucket_of(buckets), "digest", "live", "key", "op").repartition("bucket").sortWithinPartitions("bucket", "op")
-    return dealt.mapInArrow(run, f"{_entry_schema(kind)}, bucket int")
+    dealt = entries.select(_bucket_of(buckets), "digest", "live", "key", "stale", "op").repartition("bucket").sortWithinPartitions("bucket", "op")
+    return dealt.transform(small_batches).mapInArrow(run, f"{_entry_schema(kind)}, bucket int")
 
 
 def filter_table(index: DataFrame) -> DataFrame:
@@ -236,7 +253,7 @@ def filter_table(index: DataFrame) -> DataFrame:
             out.append((now, bucket.filter.groups, bucket.filter.cells.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ([], [], []), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "groups", "cells"])
 
-    return index.select("bucket", "digest").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, groups bigint, cells binary")
+    return index.select("bucket", "digest").repartition("bucket").sortWithinPartitions("bucket").transform(small_batches).mapInArrow(run, "bucket int, groups bigint, cells binary")
 
 
 def look_up(index: DataFrame, filters: DataFrame, docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,7 +273,7 @@ def look_up(index: DataFrame, filters: DataFrame, docs: DataFrame, buckets: int,
 
     prints = fingerprints(docs, key, text).select(_bucket_of(buckets), "digest", key)
     both = filters.withColumn("digest", F.lit(None).cast("binary")).unionByName(prints, allowMissingColumns=True)
-    hits = both.repartition("bucket").sortWithinPartitions("bucket", F.col("digest").asc_nulls_first()).mapInArrow(run, prints.select(key, "digest").schema)
+    hits = both.repartition("bucket").sortWithinPartitions("bucket", F.col("digest").asc_nulls_first()).transform(small_batches).mapInArrow(run, prints.select(key, "digest").schema)
     return hits.join(index.select("digest", "live"), "digest").select(key, "live")
 
 

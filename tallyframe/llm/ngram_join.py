@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import BROADCAST_ROWS, Tables
-from .tokens import slices
+from .tokens import slices, small_batches
 
 #: Slots of the frequency sketch, and slots in one row of it while it is summed.
 SKETCH, SKETCH_ROW = 1 << 20, 1 << 12
@@ -175,7 +175,7 @@ def read_sets(docs: DataFrame, rule: Threshold, key: str, text: str) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("__key"), *columns], names=["key", "n", "d1", "d2", "cells", "grams"])
 
     source = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
-    return source.mapInArrow(run, f"key {source.schema['__key'].dataType.simpleString()}, n bigint, d1 bigint, d2 bigint, cells binary, grams array<bigint>")
+    return source.transform(small_batches).mapInArrow(run, f"key {source.schema['__key'].dataType.simpleString()}, n bigint, d1 bigint, d2 bigint, cells binary, grams array<bigint>")
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +205,8 @@ def rarity(sets: DataFrame) -> np.ndarray:
         scaled = [np.minimum(255, np.round(8 * np.log2(1 + t))).astype(np.uint8).tobytes() for t in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array(scaled, pa.binary())], names=["row", "level"])
 
-    parts = sets.select("grams").mapInArrow(count, "row int, counts binary").repartition("row")
-    levels = {r["row"]: bytes(r["level"]) for r in parts.mapInArrow(add, "row int, level binary").collect()}
+    parts = sets.select("grams").transform(small_batches).mapInArrow(count, "row int, counts binary").repartition("row")
+    levels = {r["row"]: bytes(r["level"]) for r in parts.transform(small_batches).mapInArrow(add, "row int, level binary").collect()}
     return np.frombuffer(b"".join(levels.get(i, bytes(SKETCH_ROW)) for i in range(rows)), np.uint8)
 
 
@@ -228,7 +228,7 @@ def prefix_entries(sets: DataFrame, rule: Threshold, level) -> DataFrame:
                 columns = [pa.array(np.concatenate(out).view(np.int64)), pa.array(sizes[owner].astype(np.int32)), pa.array(place.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(pa.array(owner)) for c in ("d1", "d2"))], names=["gram", "n", "at", "d1", "d2"])
 
-    return sets.select("grams", "d1", "d2").mapInArrow(run, "gram bigint, n int, at int, d1 bigint, d2 bigint")
+    return sets.select("grams", "d1", "d2").transform(small_batches).mapInArrow(run, "gram bigint, n int, at int, d1 bigint, d2 bigint")
 
 
 def shared_entries(entries: DataFrame, rule: Threshold) -> DataFrame:
@@ -267,7 +267,7 @@ def shared_entries(entries: DataFrame, rule: Threshold) -> DataFrame:
             yield settle(held, True)
 
     dealt = entries.repartition("gram").sortWithinPartitions("gram", "at", "n", "d1", "d2")
-    listed = dealt.select("gram", "at", "n", "d1", "d2").mapInArrow(run, "d1 bigint, d2 bigint, p1 bigint, p2 bigint, near boolean")
+    listed = dealt.select("gram", "at", "n", "d1", "d2").transform(small_batches).mapInArrow(run, "d1 bigint, d2 bigint, p1 bigint, p2 bigint, near boolean")
     return listed.groupBy("d1", "d2", "p1", "p2").agg(F.max("near").alias("near"))
 
 
@@ -297,7 +297,7 @@ def close_pairs(pairs: DataFrame, light: DataFrame, rule: Threshold) -> DataFram
             yield batch.select(["a1", "a2", "b1", "b2"])
 
     joined = pairs.join(_side(light, ["n", "cells"], "b"), ["b1", "b2"]).join(_side(light, ["n", "cells"], "a"), ["a1", "a2"])
-    return joined.select("a1", "a2", "b1", "b2", "a_n", "b_n", "a_cells", "b_cells").mapInArrow(run, PAIRS)
+    return joined.select("a1", "a2", "b1", "b2", "a_n", "b_n", "a_cells", "b_cells").transform(small_batches).mapInArrow(run, PAIRS)
 
 
 def verified(sets: DataFrame, pairs: DataFrame, rule: Threshold, tables: Tables, name: str) -> DataFrame:

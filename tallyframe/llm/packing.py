@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType
 
 from .ranking import gapless
 from .store import materialise
-from .tokens import encoder, int_lists, slices
+from .tokens import encoder, int_lists, slices, small_batches
 
 #: Parts that number the pieces of each length.
 PARTS = 32
@@ -105,7 +105,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key:
             yield pa.RecordBatch.from_arrays([*columns, *([int_lists(ids)] if keep_ids else [])], names=names)
 
     kind = source.schema[key].dataType.simpleString()
-    return source.mapInArrow(run, f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * keep_ids)
+    return source.transform(small_batches).mapInArrow(run, f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * keep_ids)
 
 
 def place_pieces(pieces: DataFrame, capacity: int, key: str = "doc_id", parts: int = PARTS) -> DataFrame:
@@ -132,7 +132,7 @@ def place_pieces(pieces: DataFrame, capacity: int, key: str = "doc_id", parts: i
                 offset[these] = row[:, 4] + nth % row[:, 2] * length
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=names)
 
-    return numbered.select(*(f"`{c}`" for c in kept), "__number").mapInArrow(run, pieces.schema.add("sequence_id", LongType()).add("offset", LongType()))
+    return numbered.select(*(f"`{c}`" for c in kept), "__number").transform(small_batches).mapInArrow(run, pieces.schema.add("sequence_id", LongType()).add("offset", LongType()))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:

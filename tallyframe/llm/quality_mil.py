@@ -1,13 +1,15 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of a few dozen words. Each passage is encoded
-by a small layer over counts of its characters and words; gated attention,
+by a small layer over counts of its characters and its words, words hashed to
+WORD_SLOTS slots; gated attention,
 learned from document labels alone, weighs the passages; the weighted mean of
 their encodings is scored. Passage features are counted for whole batches of
 documents at once.
 
 The model is fitted on a bounded sample: at most `max_documents` labelled rows
-with the smallest hash of their key. Every row of the scored table is scored
+with the smallest hash of their key, and of these as many as have `max_passages`
+passages together; of rows that repeat a key, one. Every row of the scored table is scored
 over its whole text.
 
 Null and empty texts are one passage without words. Rows that repeat a key are
@@ -24,16 +26,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import slices
+from .store import materialise
+from .tokens import slices, small_batches
 
 #: Words in a passage, size of an encoded passage and of the attention layer.
 PASSAGE_WORDS, ENCODED, ATTENTION = 32, 16, 8
 #: Kinds of bytes that are counted; bytes in none of them are letters in lower case.
 KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"|", b"!?", b".,;:'\"-()", b"#$%&*+/<=>@[\\]^_`{}~", bytes(range(128, 256))]
-FEATURES = len(KINDS) + 6
+#: Slots that words are hashed to.
+WORD_SLOTS = 64
+#: How much less than a plain feature a slot counts at first, as there are many of them.
+SLOT_DAMPING = 15.0
+FEATURES = len(KINDS) + 6 + WORD_SLOTS
+#: Features besides the slots.
+PLAIN = FEATURES - WORD_SLOTS
 
 
 def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,14 +79,16 @@ def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     head = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)[start]).view("<u8")[:, 0]
     head &= np.where(length < 8, (np.uint64(1) << (8 * np.minimum(length, 7)).astype(np.uint64)) - np.uint64(1), np.uint64(2**64 - 1))
     same = np.concatenate([[False], (head[1:] == head[:-1]) & (length[1:] == length[:-1]) & (owner[1:] == owner[:-1])])
+    slot = ((head ^ length.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)).astype(np.int64) % WORD_SLOTS
     last = kinds[stop - 1]
     share = np.maximum(words, 1)
-    out[:, -6] = np.bincount(passage, weights=same, minlength=total) / share
-    out[:, -5] = np.bincount(passage, weights=length, minlength=total) / share / 10
-    out[:, -4] = np.bincount(passage, weights=length == 1, minlength=total) / share
-    out[:, -3] = np.bincount(passage, weights=(last == 5) | (last == 3), minlength=total) / share
-    out[:, -2] = np.bincount(passage, weights=length > 20, minlength=total) / share
-    out[:, -1] = np.log1p(words) / 4
+    out[:, PLAIN - 6] = np.bincount(passage, weights=same, minlength=total) / share
+    out[:, PLAIN - 5] = np.bincount(passage, weights=length, minlength=total) / share / 10
+    out[:, PLAIN - 4] = np.bincount(passage, weights=length == 1, minlength=total) / share
+    out[:, PLAIN - 3] = np.bincount(passage, weights=(last == 5) | (last == 3), minlength=total) / share
+    out[:, PLAIN - 2] = np.bincount(passage, weights=length > 20, minlength=total) / share
+    out[:, PLAIN - 1] = np.log1p(words) / 4
+    out[:, PLAIN:] = np.bincount(passage * WORD_SLOTS + slot, minlength=total * WORD_SLOTS).reshape(total, WORD_SLOTS) / share[:, None]
     return out.astype(np.float32), first
 
 
@@ -137,8 +148,10 @@ class AttentionModel:
 
 def fit(bags: list[np.ndarray], label: np.ndarray, epochs: int = 40, batch: int = 64, rate: float = 0.01, seed: int = 7) -> AttentionModel:
     """Adam on the log loss, one shuffled pass over the bags per epoch."""
-    stacked = np.concatenate(bags).astype(np.float64) if bags else np.zeros((1, FEATURES))
-    model = AttentionModel(stacked.mean(axis=0), stacked.std(axis=0) + 1e-3, prior=float(np.mean(label)) if len(label) else 0.5)
+    stacked = np.concatenate(bags) if bags else np.zeros((1, FEATURES), np.float32)
+    spread = stacked.std(axis=0, dtype=np.float64) + 1e-3
+    spread[PLAIN:] *= SLOT_DAMPING
+    model = AttentionModel(stacked.mean(axis=0, dtype=np.float64), spread, prior=float(np.mean(label)) if len(label) else 0.5)
     if len(set(label.tolist())) < 2:
         return model
     rng = np.random.default_rng(seed)
@@ -161,8 +174,8 @@ def fit(bags: list[np.ndarray], label: np.ndarray, epochs: int = 40, batch: int
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_documents: int, key: str, text: str, label: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Passage features and labels of at most max_documents documents, those with the smallest hash of their key."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_passages: int, key: str, text: str, label: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """Passage features and labels of a sample bounded in documents and in passages, those with the smallest hash of their key."""
     known = labels.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{label}`").alias("__label")).dropna()
     chosen = known.groupBy("__key").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__key"), "__key").limit(max_documents)
     rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text")).join(F.broadcast(chosen), "__key")
@@ -174,13 +187,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_documents: int, key:
             yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__label").cast(pa.int64()), pa.array(blobs, pa.binary())], names=["key", "label", "features"])
 
     kind = rows.schema["__key"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"key {kind}, label bigint, features binary").toPandas()
-    found = found.drop_duplicates("key").sort_values("key")
-    return [np.frombuffer(f, np.float32).reshape(-1, FEATURES) for f in found["features"]], found["label"].to_numpy(dtype=np.float64)
+    read = rows.transform(small_batches).mapInArrow(run, f"key {kind}, label bigint, features binary")
+    found = materialise(read.groupBy("key", "label").agg(F.min("features").alias("features")), "bags")
+    size = F.octet_length("features") / (4 * FEATURES)
+    before = Window.orderBy(F.xxhash64("key"), "key")  # max_documents rows at most
+    within = found.select("key", "label", size.alias("n")).withColumn("sum", F.sum("n").over(before)).where(F.col("sum") <= max_passages)
+    bags = found.join(F.broadcast(within.select("key")), "key", "left_semi").toPandas().sort_values("key")
+    return [np.frombuffer(f, np.float32).reshape(-1, FEATURES) for f in bags["features"]], bags["label"].to_numpy(dtype=np.float64)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_documents: int = 8000, key: str = "doc_id", text: str = "text", label: str = "quality") -> AttentionModel:
-    bags, marks = labelled_sample(docs, labels, max_documents, key, text, label)
+def train(docs: DataFrame, labels: DataFrame, max_documents: int = 8000, max_passages: int = 200_000, key: str = "doc_id", text: str = "text", label: str = "quality") -> AttentionModel:
+    bags, marks = labelled_sample(docs, labels, max_documents, max_passages, key, text, label)
     return fit(bags, marks)
 
 
@@ -194,7 +211,7 @@ def score(docs: DataFrame, model: AttentionModel, text: str = "text", out: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(model.score(features, first))], names=[*kept, out])
 
     source = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in kept))
-    return source.mapInArrow(run, source.withColumn(out, F.lit(0.0)).schema)
+    return source.transform(small_batches).mapInArrow(run, source.withColumn(out, F.lit(0.0)).schema)
 
 
 def held_out(key: str = "doc_id", folds: int = 5) -> F.Column:

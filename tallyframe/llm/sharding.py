@@ -7,13 +7,15 @@ count below n, so appending a shard moves only the keys that go into it.
 Everything is built-in column arithmetic. Spark's checked 64-bit products
 raise on overflow, so the generator's state is kept as two 32-bit halves.
 
-A null key counts as key 0. A null text has size 8 and the CRC of no bytes.
+A null key counts as key 0, and a key that is no integer is hashed to one. A null text has size 8 and the CRC of no bytes.
 Rows that repeat a key share its shard and get slots of their own. An empty
 table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,21 +56,24 @@ def jump_shard(key: Column, shards: int) -> Column:
         moved = F.struct(high.alias("high"), low.alias("low"), state["jump"].alias("at"), after.alias("jump"))
         return F.when(state["jump"] < shards, moved).otherwise(state)
 
+    steps = min(shards + 1, 40 + 16 * math.ceil(math.log(shards + 1)))  # a key jumps about log(shards) times
     start = F.struct(F.shiftrightunsigned(key, 32).alias("high"), key.bitwiseAND(MASK).alias("low"), F.lit(-1).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("jump"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards + 1)), start, step)["at"].cast("int")
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    return end["at"].cast("int") if steps == shards + 1 else F.when(end["jump"] < shards, F.raise_error(F.lit("too many jumps"))).otherwise(end["at"]).cast("int")
 
 
 def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", parts: int = PARTS) -> DataFrame:
     """Per row: the key, size, text_crc32, law, shard, slot and grown_shard (with one shard more)."""
     column = F.col(f"`{key}`")
+    number = column if dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") else F.when(column.isNotNull(), F.xxhash64(column))
     content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     placed = docs.select(
         column.alias(key),
         (F.octet_length(content) + 8).cast("bigint").alias("size"),
         F.crc32(content.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        jump_shard(column, shards).alias("shard"),
-        jump_shard(column, shards + 1).alias("grown_shard"),
+        jump_shard(number, shards).alias("shard"),
+        jump_shard(number, shards + 1).alias("grown_shard"),
     )
     numbered = gapless(placed, ["shard"], F.xxhash64(F.col(f"`{key}`")), parts, [f"`{key}`", "text_crc32"], "slot")
     return numbered.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -1,9 +1,10 @@
 """Exact length histogram of a corpus, and every total that follows from it.
 
 Documents are aggregated by encoded length; suffix sums over the histogram
-answer totals, quantiles and truncated totals for every context limit. Only
-histogram rows meet in one place; their number is bounded by the longest
-document, and the sums run over blocks of lengths so no single task holds all.
+answer totals, quantiles and truncated totals for every context limit. Texts are
+encoded once, into a written histogram with a row per length that occurs. Suffix
+sums run within blocks of BLOCK lengths; one task orders the blocks' totals, of
+which there are as many as the longest document has tokens, divided by BLOCK.
 
 Null text has no tokens, an empty table gives an empty histogram, and repeated
 rows count each time. Extra columns are not read.
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import materialise
 from .tokens import with_length
 
 #: Lengths in one block of the suffix sums.
@@ -34,7 +36,7 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
     truncated_total: tokens left if every document is cut to L tokens;
     quantile: share of documents of at most L tokens.
     """
-    held = histogram.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / block).alias("block"))
+    held = materialise(histogram, "histogram").select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / block).alias("block"))
     blocks = held.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

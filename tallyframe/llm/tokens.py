@@ -91,7 +91,19 @@ def int_lists(blobs: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(blobs), dtype="<i4")))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes in an Arrow batch between Spark and Python; Spark's own bound of 64 MB counts twice in each running task.
+BATCH_BYTES, SPARK_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session hands batches of about 4 MB to Python unless it has set a bound of its own."""
+    conf = df.sparkSession.conf
+    if str(conf.get(BATCH_BYTES)).rstrip("bB") == str(SPARK_BATCH_BYTES):
+        conf.set(BATCH_BYTES, 4 << 20)
+    return df
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about max_bytes of `column`; memory of a batch is given back after it."""
     for batch in batches:
         if not batch.num_rows:
