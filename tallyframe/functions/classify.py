@@ -54,23 +54,29 @@ def transaction_semantics(category: Column, amount: Column) -> Column:
         .when(amount != 0, "expense")
         .otherwise("unknown")
     )
-    direction = F.when(kind == "income", "inflow").when(kind.isin("expense", "refund"), "outflow").otherwise("internal")
-    signed = F.when(direction == "inflow", F.abs(amount)).when(direction == "outflow", -F.abs(amount)).otherwise(F.lit(0).cast("decimal(15,2)"))
+    direction = F.when(kind == "income", "credit").when(kind.isin("expense", "refund"), "debit").otherwise("neutral")
+    signed = F.when(direction == "credit", F.abs(amount)).when(direction == "debit", -F.abs(amount)).otherwise(F.lit(0).cast("decimal(15,2)"))
     return F.struct(kind.alias("transaction_type"), direction.alias("direction"), signed.alias("amount_signed"), kind.isin("income", "expense", "refund").alias("affects_cash"))
 
 
 def semantics_errors(kind: Column, direction: Column, signed: Column, affects_cash: Column) -> Column:
-    """Rules that a transaction's fields break, as an array."""
+    """Rules that a transaction's fields break, as an array; a missing field breaks none."""
     checks = [
-        F.when((kind == "income") & (direction != "inflow"), "income_not_inflow"),
-        F.when((kind == "expense") & (direction != "outflow"), "expense_not_outflow"),
-        F.when((direction == "inflow") & (signed < 0), "inflow_negative"),
-        F.when((direction == "outflow") & (signed > 0), "outflow_positive"),
-        F.when((kind == "transfer") & affects_cash, "transfer_affects_cash"),
+        F.when((kind == "income") & (direction != "credit"), "Income must have credit direction"),
+        F.when((kind == "income") & (signed < 0), "Income must have positive signed amount"),
+        F.when((kind == "expense") & (direction != "debit"), "Expense must have debit direction"),
+        F.when((kind == "expense") & (signed > 0), "Expense must have negative signed amount"),
+        F.when((kind == "transfer") & (direction != "neutral"), "Transfer must have neutral direction"),
+        F.when((kind == "transfer") & affects_cash, "Transfer should not affect cash (affects_cash = false)"),
     ]
     return F.array_compact(F.array(*checks))
 
 
+def semantics_verdict(errors: Column) -> Column:
+    """struct(is_valid, errors, severity)."""
+    return F.struct((F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), F.when(F.size(errors) > 0, "error").otherwise("none").alias("severity"))
+
+
 def data_mode(n: Column) -> Column:
     return F.when(n == 0, "NO_DATA").when(n < 50, "LIMITED").otherwise("RICH")
 

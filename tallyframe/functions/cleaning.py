@@ -6,20 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Business suffixes, in the order in which each is stripped once.
-BUSINESS_SUFFIXES = ["inc", "corp", "llc", "ltd", "co", "company", "pvt", "private", "limited", "corporation", "incorporated"]
+BUSINESS_SUFFIXES = ["inc", "inc.", "llc", "ltd", "ltd.", "corp", "corp.", "co", "co.", "company", "incorporated", "limited", "corporation", "limited liability company"]
 # Units of a currency in US dollars.
-USD_RATES = {"USD": 1.0, "EUR": 1.08, "GBP": 1.27, "INR": 0.012, "JPY": 0.0067, "CAD": 0.74, "AUD": 0.65, "CHF": 1.13, "CNY": 0.14}
+USD_RATES = {
+    "EUR": 1.09, "GBP": 1.27, "INR": 0.012, "JPY": 0.0067, "CNY": 0.14, "AUD": 0.65, "CAD": 0.73, "CHF": 1.16, "SGD": 0.75, "HKD": 0.13,
+    "NZD": 0.60, "SEK": 0.096, "NOK": 0.093, "MXN": 0.058, "BRL": 0.20, "ZAR": 0.055, "RUB": 0.011, "KRW": 0.00076, "TRY": 0.029, "AED": 0.27,
+}
 SQL_INJECTION = r"(?i)(union\s+select|drop\s+table|insert\s+into|delete\s+from|update\s+\w+\s+set|;\s*--|'\s*or\s*'?1'?\s*=\s*'?1|exec\s*\()"
 PATH_TRAVERSAL = r"(?i)(\.\./|\.\.\\|%2e%2e|^/|^[a-z]:\\)"
 
 
 def clean_vendor(name: Column) -> Column:
-    """Trimmed, business suffixes stripped, punctuation to spaces, in title case; the raw name if nothing is left."""
-    out = F.trim(name)
-    for suffix in BUSINESS_SUFFIXES:
-        out = F.regexp_replace(out, rf"(?i)[\s,.]+{suffix}\.?$", "")
-    out = F.initcap(F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}\s]", " "), r"\s+", " ")))
-    return F.when(out == "", name).otherwise(out)
+    """Trimmed, each suffix stripped once from the end, punctuation to spaces, in title case; the raw name if nothing is left."""
+    stripped = lambda n, suffix: F.when(F.endswith(F.lower(n), suffix), F.trim(F.left(n, F.length(n) - F.length(suffix)))).otherwise(n)
+    out = F.aggregate(F.array(*map(F.lit, BUSINESS_SUFFIXES)), F.trim(name), stripped)
+    plain = F.lower(F.trim(F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}\s]", " "), r"\s+", " ")))
+    titled = F.array_join(F.transform(F.split(plain, r"(?<=\p{N})(?=\p{L})"), F.initcap), "")  # a letter after a digit is a capital, too
+    return F.when(titled == "", name).otherwise(titled)
 
 
 def parse_amount(raw: Column) -> Column:

@@ -8,29 +8,56 @@ from pyspark.sql import functions as F
 from .lineage_cut import cut
 
 
-def cross_document_links(ledger: DataFrame, source: str, target: str, amount_within: float, days_within: int) -> DataFrame:
-    """Pairs of one user, of the two document types, close in amount and in days.
+def _top(pairs: DataFrame, key: str, limit: int) -> DataFrame:
+    """The `limit` pairs of each key with the largest confidence; of equal ones, by ids."""
+    best = Window.partitionBy(key).orderBy(F.desc("confidence"), "source_event_id", "target_event_id")
+    return pairs.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= limit).drop("__n")
 
-    A range join as an equi join: days are cut into bands as wide as the
-    tolerance, and the target side is copied to its two neighbour bands.
-    """
-    day = F.datediff(F.to_date("source_ts"), F.lit("1970-01-01").cast("date"))
-    width, cents = days_within + 1, F.floor(F.col("amount_usd").cast("double") / (amount_within + 1)).cast("bigint")
-    held = ledger.select("user_id", "event_id", "document_type", "amount_usd", day.alias("day"), F.floor(day / width).cast("bigint").alias("band"), cents.alias("step"))
-    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    a = held.where(F.col("document_type") == source).select("user_id", "band", "step", F.col("event_id").alias("source_event_id"), F.col("amount_usd").alias("a"), F.col("day").alias("d"))
-    b = held.where(F.col("document_type") == target).withColumn("band", around("band")).withColumn("step", around("step")).select("user_id", "band", "step", F.col("event_id").alias("target_event_id"), F.col("amount_usd").alias("b"), F.col("day").alias("e"))
-    close = (F.abs(F.col("a") - F.col("b")) <= amount_within) & (F.abs(F.col("d") - F.col("e")) <= days_within)
-    return a.join(b, ["user_id", "band", "step"]).where(close).select("user_id", "source_event_id", "target_event_id", F.abs(F.col("a") - F.col("b")).cast("double").alias("amount_gap"), F.abs(F.col("d") - F.col("e")).alias("day_gap"))
 
+def cross_document_links(ledger: DataFrame, source: str, target: str, amount_within: float, days_within: int, limit: int = 1000) -> DataFrame:
+    """Per user, the `limit` best pairs of the two document types, close in amount and in time.
 
-def within_file_links(ledger: DataFrame) -> DataFrame:
-    """Ordered pairs of one file whose categories differ or whose amounts differ by less than 1, with a confidence."""
-    a = ledger.select("file_id", F.col("event_id").alias("source_event_id"), F.col("category").alias("c1"), F.col("amount_usd").alias("a1"))
-    b = ledger.select("file_id", F.col("event_id").alias("target_event_id"), F.col("category").alias("c2"), F.col("amount_usd").alias("a2"))
-    near, differ = F.abs(F.col("a1") - F.col("a2")) < 1, F.col("c1") != F.col("c2")
-    pairs = a.join(b, "file_id").where((F.col("source_event_id") != F.col("target_event_id")) & (near | differ))
-    return pairs.select("file_id", "source_event_id", "target_event_id", F.when(near & differ, 0.8).when(differ, 0.7).otherwise(0.6).alias("confidence"))
+    Confidence .4 for the amount, .3 for the date, .3 for the same vendor. A range
+    join as an equi join: days and amounts are cut into bands as wide as the
+    tolerances, and the target side is copied to its neighbour bands.
+    """
+    second = F.unix_seconds(F.col("source_ts").cast("timestamp"))
+    width, step = (days_within + 1) * 86400, F.floor(F.col("amount_usd").cast("double") / (amount_within + 1)).cast("bigint")
+    held = ledger.select("user_id", "event_id", "document_type", "amount_usd", "vendor_standard", second.alias("at"), F.floor(second / width).cast("bigint").alias("band"), step.alias("step"))
+    around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
+    a = held.where(F.col("document_type") == source).select("user_id", "band", "step", F.col("event_id").alias("source_event_id"), F.col("amount_usd").alias("a"), F.col("at").alias("d"), F.col("vendor_standard").alias("v"))
+    b = held.where(F.col("document_type") == target).withColumn("band", around("band")).withColumn("step", around("step")).select("user_id", "band", "step", F.col("event_id").alias("target_event_id"), F.col("amount_usd").alias("b"), F.col("at").alias("e"), F.col("vendor_standard").alias("w"))
+    amount_gap, gap = F.abs(F.col("a") - F.col("b")), F.abs(F.col("d") - F.col("e")) / 86400
+    same_vendor = F.coalesce(F.col("v") == F.col("w"), F.lit(False))
+    pairs = a.join(b, ["user_id", "band", "step"]).where((amount_gap <= amount_within) & (gap <= days_within) & (F.col("source_event_id") != F.col("target_event_id")))
+    confidence = F.lit(0.7) + F.when(same_vendor, 0.3).otherwise(0.0)  # amount and date match in every pair
+    return _top(pairs.select("user_id", "source_event_id", "target_event_id", F.round(confidence, 2).alias("confidence"), same_vendor.alias("entity_match"), amount_gap.cast("double").alias("amount_gap"), F.round(gap, 6).alias("day_gap")), "user_id", limit)
+
+
+def within_file_links(ledger: DataFrame, limit: int = 1000) -> DataFrame:
+    """Per file, the `limit` best ordered pairs of one user: revenue with expense .7, else the same vendor .8, else amounts less than 1 apart .6, else other categories .5.
+
+    All pairs between two groups of one file, vendor and category have the same
+    confidence, but for near amounts. So only the first limit + 1 events of each
+    group can be among the best pairs, and near amounts are joined by bands: no
+    file is compared with itself as a whole.
+    """
+    columns = ["user_id", "file_id", "event_id", "category", "vendor_standard", "amount_usd"]
+    first = Window.partitionBy("user_id", "file_id", "vendor_standard", "category").orderBy("event_id")
+    few = ledger.select(*columns).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= limit + 1).drop("__n")
+    band = F.floor(F.col("amount_usd")).cast("bigint")
+    a, b = few.alias("a"), few.alias("b")
+    one, other = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    vendor, differ = F.coalesce(one("vendor_standard") == other("vendor_standard"), F.lit(False)), F.coalesce(one("category") != other("category"), F.lit(False))
+    near = F.coalesce(F.abs(one("amount_usd") - other("amount_usd")) < 1, F.lit(False))
+    confidence = F.when((one("category") == "revenue") & (other("category") == "expense"), 0.7).when(vendor, 0.8).when(near, 0.6).otherwise(0.5)
+    out = [one("file_id").alias("file_id"), one("event_id").alias("source_event_id"), other("event_id").alias("target_event_id"), confidence.alias("confidence")]
+    same_file = (one("user_id") == other("user_id")) & (one("file_id") == other("file_id")) & (one("event_id") != other("event_id"))
+    grouped = a.join(b, same_file & (differ | vendor)).select(*out)
+    whole = ledger.select(*columns, band.alias("band"))
+    a, b = whole.alias("a"), whole.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("b")
+    by_amount = a.join(b, same_file & (one("band") == other("band")) & near).select(*out)
+    return _top(grouped.unionByName(by_amount).distinct(), "file_id", limit)
 
 
 def enriched(relationships: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -64,15 +91,19 @@ def bradford_hill(relationships: DataFrame, ledger: DataFrame) -> DataFrame:
     """Six criteria per relationship and their mean."""
     end = lambda side: ledger.select(F.col("event_id").alias(f"{side}_event_id"), F.col("amount_usd").cast("double").alias(f"{side}_amount"), F.to_date("source_ts").alias(f"{side}_day"), F.col("document_type").alias(f"{side}_type"))
     by_type = relationships.groupBy("user_id", "relationship_type").agg(F.count_if(F.col("confidence_score") >= 0.7).alias("similar"))
-    fan_out = relationships.groupBy("source_event_id").agg(F.count("*").alias("edges"))
-    x = relationships.join(end("source"), "source_event_id").join(end("target"), "target_event_id").join(by_type, ["user_id", "relationship_type"]).join(fan_out, "source_event_id")
+    outs = relationships.groupBy("user_id", "source_event_id").agg(F.count("*").alias("outs"))
+    ins = relationships.groupBy("user_id", "target_event_id").agg(F.count("*").alias("ins"))
+    both = relationships.groupBy("user_id", "source_event_id", "target_event_id").agg(F.count("*").alias("both"))
+    x = relationships.join(end("source"), "source_event_id").join(end("target"), "target_event_id").join(by_type, ["user_id", "relationship_type"])
+    x = x.join(outs, ["user_id", "source_event_id"]).join(ins, ["user_id", "target_event_id"]).join(both, ["user_id", "source_event_id", "target_event_id"])
+    edges, causality = F.col("outs") + F.col("ins") - F.col("both"), F.col("temporal_causality")  # links of the same user with this source or this target
     days = F.datediff("target_day", "source_day")
     temporal = F.when(days > 0, F.least(F.lit(1.0), days / 90)).otherwise(0.0)
     consistency = F.least(F.lit(1.0), F.col("similar") / 10)
-    specificity = F.when(F.col("edges") == 1, 1.0).when(F.col("edges") <= 3, 0.7).otherwise(0.3)
-    dose = F.when(F.col("source_amount") > 0, 1 - F.abs(F.col("source_amount") - F.col("target_amount")) / F.greatest("source_amount", "target_amount")).otherwise(0.0)
-    plausible = F.when((F.col("source_type") == "invoice") & (F.col("target_type") == "payment"), 1.0).when(F.col("source_type") == F.col("target_type"), 0.3).otherwise(0.5)
-    scores = {"temporal": temporal, "strength": F.col("confidence_score"), "consistency": consistency, "specificity": specificity, "dose": dose, "plausibility": plausible}
+    specificity = F.when(edges == 1, 1.0).when(edges <= 3, 0.7).otherwise(0.3)
+    dose = F.when(F.col("source_amount") > 0, F.greatest(F.lit(0.0), 1 - F.abs(F.col("source_amount") - F.col("target_amount")) / F.greatest("source_amount", "target_amount"))).otherwise(0.0)
+    plausible = F.when(causality == "source_causes_target", 1.0).when(causality == "bidirectional", 0.8).when(causality == "target_causes_source", 0.3).otherwise(0.5)
+    scores = {"temporal": temporal, "strength": F.coalesce("confidence_score", F.lit(0.0)), "consistency": consistency, "specificity": specificity, "dose": dose, "plausibility": plausible}
     mean = sum(scores.values(), F.lit(0.0)) / 6
     return x.select("relationship_id", *(F.round(v, 6).alias(k) for k, v in scores.items()), F.round(mean, 6).alias("causal_score"))
 

@@ -46,8 +46,8 @@ def accuracy_stats(ledger: DataFrame) -> DataFrame:
     low = F.col("confidence_score") < 0.7
     return ledger.select("user_id", "confidence_score", s.alias("s")).groupBy("user_id").agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("s.direction") == "inflow").alias("inflows"),
-        F.count_if(F.col("s.direction") == "outflow").alias("outflows"),
+        F.count_if(F.col("s.direction") == "credit").alias("inflows"),
+        F.count_if(F.col("s.direction") == "debit").alias("outflows"),
         F.count_if("s.affects_cash").alias("cash_events"),
         F.count_if(low).alias("for_review"),
         F.count_if(F.col("confidence_score") < 0.5).alias("high_priority"),

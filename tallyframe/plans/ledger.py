@@ -178,7 +178,7 @@ def amount_normalize(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), cleaning.parse_amount(raw).alias("amount"))
 
 
-@_query("transaction_semantics", f"""{LEDGER} SELECT event_id, CASE category WHEN 'revenue' THEN 'income' ELSE category END AS transaction_type, CASE category WHEN 'revenue' THEN 'inflow' WHEN 'expense' THEN 'outflow' ELSE 'internal' END AS direction,
+@_query("transaction_semantics", f"""{LEDGER} SELECT event_id, CASE category WHEN 'revenue' THEN 'income' ELSE category END AS transaction_type, CASE category WHEN 'revenue' THEN 'credit' WHEN 'expense' THEN 'debit' ELSE 'neutral' END AS direction,
  CAST({SIGNED_SQL} AS DOUBLE) AS amount_signed, category <> 'transfer' AS affects_cash, 0 AS n_errors FROM ledger_events""")
 def transaction_semantics(spark, sf_dir):
     s = classify.transaction_semantics(F.col("category"), F.col("amount_usd"))
@@ -187,6 +187,21 @@ def transaction_semantics(spark, sf_dir):
     return rows.select("event_id", "transaction_type", "direction", F.col("amount_signed").cast("double").alias("amount_signed"), "affects_cash", F.size(errors).alias("n_errors"))
 
 
+@_query("semantics_verdicts", """WITH x AS (SELECT o_orderkey AS event_id, CASE o_orderkey % 3 WHEN 0 THEN 'income' WHEN 1 THEN 'expense' ELSE 'transfer' END AS t, CASE o_orderkey % 4 WHEN 0 THEN 'credit' WHEN 1 THEN 'debit' WHEN 2 THEN 'neutral' END AS d, CASE WHEN o_orderkey % 5 < 2 THEN -o_totalprice ELSE o_totalprice END AS a, o_orderkey % 7 < 3 AS c FROM orders),
+ e AS (SELECT event_id, list_filter([CASE WHEN t='income' AND d<>'credit' THEN 'Income must have credit direction' END, CASE WHEN t='income' AND a<0 THEN 'Income must have positive signed amount' END, CASE WHEN t='expense' AND d<>'debit' THEN 'Expense must have debit direction' END, CASE WHEN t='expense' AND a>0 THEN 'Expense must have negative signed amount' END,
+  CASE WHEN t='transfer' AND d<>'neutral' THEN 'Transfer must have neutral direction' END, CASE WHEN t='transfer' AND c<>false THEN 'Transfer should not affect cash (affects_cash = false)' END], lambda m: m IS NOT NULL) AS errors FROM x)
+ SELECT event_id, len(errors)=0 AS is_valid, array_to_string(errors, ';') AS errors, CASE WHEN len(errors)>0 THEN 'error' ELSE 'none' END AS severity FROM e""")
+def semantics_verdicts(spark, sf_dir):
+    """Rules on fields that often disagree."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 3 == 0, "income").when(k % 3 == 1, "expense").otherwise("transfer")
+    direction = F.when(k % 4 == 0, "credit").when(k % 4 == 1, "debit").when(k % 4 == 2, "neutral")
+    signed = F.when(k % 5 < 2, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
+    verdict = classify.semantics_verdict(classify.semantics_errors(kind, direction, signed, k % 7 < 3))
+    rows = table(spark, sf_dir, "orders").select(k.alias("event_id"), verdict.alias("v")).select("event_id", "v.*")
+    return rows.withColumn("errors", F.array_join("errors", ";"))
+
+
 @_query("row_hash", "SELECT l_orderkey, l_linenumber, sha256(concat_ws('||', l_orderkey, l_linenumber, CASE WHEN l_returnflag < 'zz' THEN lower(p) END)) AS hash FROM (SELECT l_orderkey, l_linenumber, l_returnflag, 'row' || l_partkey AS p FROM lineitem)")
 def row_hash(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
@@ -279,14 +294,18 @@ def exact_identifier_match(spark, sf_dir):
     return entities.exact_identifier_match(events, known, ["email", "phone"]).select("event_id", "entity_id", "method")
 
 
-@_query("cross_document_links", f"""{LEDGER} SELECT a.user_id, a.event_id AS source_event_id, b.event_id AS target_event_id, CAST(abs(a.amount_usd-b.amount_usd) AS DOUBLE) AS amount_gap, CAST(abs(date_diff('day',CAST(a.source_ts AS DATE),CAST(b.source_ts AS DATE))) AS INTEGER) AS day_gap
- FROM ledger_events a JOIN ledger_events b ON a.user_id=b.user_id AND a.document_type='invoice' AND b.document_type='payment' AND abs(a.amount_usd-b.amount_usd)<=500 AND abs(date_diff('day',CAST(a.source_ts AS DATE),CAST(b.source_ts AS DATE)))<=30""")
+@_query("cross_document_links", f"""{LEDGER}, p AS (SELECT a.user_id, a.event_id AS source_event_id, b.event_id AS target_event_id, round(0.7 + CASE WHEN a.vendor_standard=b.vendor_standard THEN 0.3 ELSE 0.0 END, 2)::DOUBLE AS confidence, coalesce(a.vendor_standard=b.vendor_standard, false) AS entity_match,
+  CAST(abs(a.amount_usd-b.amount_usd) AS DOUBLE) AS amount_gap, round(abs(epoch(a.source_ts) - epoch(b.source_ts)) / 86400, 6)::DOUBLE AS day_gap
+ FROM ledger_events a JOIN ledger_events b ON a.user_id=b.user_id AND a.event_id<>b.event_id AND a.document_type='invoice' AND b.document_type='payment' AND abs(a.amount_usd-b.amount_usd)<=500 AND abs(epoch(a.source_ts) - epoch(b.source_ts)) / 86400<=30)
+ SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY confidence DESC, source_event_id, target_event_id) <= 1000""")
 def cross_document_links(spark, sf_dir):
     return relations.cross_document_links(ledger_events(spark, sf_dir), "invoice", "payment", 500, 30)
 
 
-@_query("within_file_links", f"""{LEDGER} SELECT a.file_id, a.event_id AS source_event_id, b.event_id AS target_event_id, CASE WHEN abs(a.amount_usd-b.amount_usd)<1 AND a.category<>b.category THEN 0.8 WHEN a.category<>b.category THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence
- FROM ledger_events a JOIN ledger_events b ON a.file_id=b.file_id AND a.event_id<>b.event_id AND (a.category<>b.category OR abs(a.amount_usd-b.amount_usd)<1)""")
+@_query("within_file_links", f"""{LEDGER}, p AS (SELECT a.file_id, a.event_id AS source_event_id, b.event_id AS target_event_id,
+  CASE WHEN a.category='revenue' AND b.category='expense' THEN 0.7 WHEN a.vendor_standard=b.vendor_standard THEN 0.8 WHEN abs(a.amount_usd-b.amount_usd)<1 THEN 0.6 ELSE 0.5 END::DOUBLE AS confidence
+ FROM ledger_events a JOIN ledger_events b ON a.user_id=b.user_id AND a.file_id=b.file_id AND a.event_id<>b.event_id AND (a.category<>b.category OR a.vendor_standard=b.vendor_standard OR abs(a.amount_usd-b.amount_usd)<1))
+ SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY confidence DESC, source_event_id, target_event_id) <= 1000""")
 def within_file_links(spark, sf_dir):
     return relations.within_file_links(ledger_events(spark, sf_dir))
 
@@ -306,12 +325,13 @@ def relationship_degrees(spark, sf_dir):
     return relations.degrees(relationships(ledger_events(spark, sf_dir)))
 
 
-@_query("bradford_hill_scores", f"""{RELATED}, s AS (SELECT user_id, relationship_type, count(*) FILTER (confidence_score>=0.7) AS alike FROM relationships GROUP BY 1,2), f AS (SELECT source_event_id, count(*) AS edges FROM relationships GROUP BY 1),
+@_query("bradford_hill_scores", f"""{RELATED}, s AS (SELECT user_id, relationship_type, count(*) FILTER (confidence_score>=0.7) AS alike FROM relationships GROUP BY 1,2),
  x AS (SELECT r.relationship_id, CASE WHEN d>0 THEN least(1.0, d/90) ELSE 0.0 END AS temporal, r.confidence_score AS strength, least(1.0, alike/10) AS consistency, CASE WHEN edges=1 THEN 1.0 WHEN edges<=3 THEN 0.7 ELSE 0.3 END::DOUBLE AS specificity,
-  CASE WHEN a.amount_usd>0 THEN 1-abs(CAST(a.amount_usd AS DOUBLE)-CAST(b.amount_usd AS DOUBLE))/greatest(CAST(a.amount_usd AS DOUBLE),CAST(b.amount_usd AS DOUBLE)) ELSE 0.0 END AS dose,
-  CASE WHEN a.document_type='invoice' AND b.document_type='payment' THEN 1.0 WHEN a.document_type=b.document_type THEN 0.3 ELSE 0.5 END::DOUBLE AS plausibility
- FROM relationships r JOIN ledger_events a ON r.source_event_id=a.event_id JOIN ledger_events b ON r.target_event_id=b.event_id JOIN s ON r.user_id=s.user_id AND r.relationship_type=s.relationship_type JOIN f ON f.source_event_id=r.source_event_id, LATERAL (SELECT date_diff('day',CAST(a.source_ts AS DATE),CAST(b.source_ts AS DATE)) AS d))
- SELECT relationship_id, round(temporal::DOUBLE,6) AS temporal, round(strength,6) AS strength, round(consistency::DOUBLE,6) AS consistency, specificity, round(dose,6) AS dose, plausibility, round((temporal+strength+consistency+specificity+dose+plausibility)/6,6) AS causal_score FROM x""")
+  CASE WHEN a.amount_usd>0 THEN greatest(0.0, 1-abs(CAST(a.amount_usd AS DOUBLE)-CAST(b.amount_usd AS DOUBLE))/greatest(CAST(a.amount_usd AS DOUBLE),CAST(b.amount_usd AS DOUBLE))) ELSE 0.0 END AS dose,
+  CASE r.temporal_causality WHEN 'source_causes_target' THEN 1.0 WHEN 'bidirectional' THEN 0.8 WHEN 'target_causes_source' THEN 0.3 ELSE 0.5 END::DOUBLE AS plausibility
+ FROM relationships r JOIN ledger_events a ON r.source_event_id=a.event_id JOIN ledger_events b ON r.target_event_id=b.event_id JOIN s ON r.user_id=s.user_id AND r.relationship_type=s.relationship_type
+ JOIN (SELECT q.relationship_id, (SELECT count(*) FROM relationships z WHERE z.user_id=q.user_id AND z.source_event_id=q.source_event_id) + (SELECT count(*) FROM relationships z WHERE z.user_id=q.user_id AND z.target_event_id=q.target_event_id AND z.source_event_id<>q.source_event_id) AS edges FROM relationships q) f ON f.relationship_id=r.relationship_id, LATERAL (SELECT date_diff('day',CAST(a.source_ts AS DATE),CAST(b.source_ts AS DATE)) AS d))
+ SELECT relationship_id, round(temporal::DOUBLE,6) AS temporal, round(strength,6) AS strength, round(consistency::DOUBLE,6) AS consistency, specificity, round(dose::DOUBLE,6) AS dose, plausibility, round((temporal+strength+consistency+specificity+dose+plausibility)/6,6) AS causal_score FROM x""")
 def bradford_hill_scores(spark, sf_dir):
     ledger = ledger_events(spark, sf_dir)
     return relations.bradford_hill(relationships(ledger), ledger)
@@ -540,3 +560,11 @@ def field_meanings(spark, sf_dir):
 def document_entropy_bands(spark, sf_dir):
     bits = F.round(classify.shannon_entropy(F.substring("url", 1, 60)), 1)
     return table(spark, sf_dir, "pages").groupBy(bits.alias("bits_per_char")).agg(F.count("*").alias("n"))
+
+
+# These names now stand for the queries over every event and edge.
+for _name, _whole in {"causal_chain": "all_causal_chains", "root_causes": "all_root_causes", "counterfactual_amount": "all_counterfactual_amounts", "shortest_path": "all_shortest_paths", "mapping_upsert": "all_mapping_upsert"}.items():
+    QUERIES[_name] = QUERIES[_whole]
+    SQL.pop(_name, None)
+    if _whole in SQL:
+        SQL[_name] = SQL[_whole]

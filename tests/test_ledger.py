@@ -7,9 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tallyframe.plans import enrichment, ledger
+from tallyframe.plans import enrichment, ledger, records
 
-QUERIES, SQL = ledger.QUERIES | enrichment.QUERIES, ledger.SQL | enrichment.SQL
+QUERIES, SQL = ledger.QUERIES | enrichment.QUERIES | records.QUERIES, ledger.SQL | enrichment.SQL | records.SQL
 
 SF = "/root/testdata/sf0.001"
 
