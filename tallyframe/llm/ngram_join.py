@@ -47,7 +47,7 @@ from .store import BROADCAST_ROWS, Tables
 from .tokens import slices, small_batches
 
 #: Slots of the frequency sketch, and slots in one row of it while it is summed.
-SKETCH, SKETCH_ROW = 1 << 20, 1 << 12
+SKETCH, SKETCH_ROW = 1 << 22, 1 << 12
 #: Cells of the suffix filter, one byte each; a full cell is no evidence against a pair.
 CELLS = 256
 #: Sets in a tile when sets of one pivot are compared with each other.
@@ -189,9 +189,10 @@ def rarity(sets: DataFrame) -> np.ndarray:
     rows = SKETCH // SKETCH_ROW
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SKETCH, np.int64)
+        seen = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            seen += np.bincount((_flat(batch.column("grams"))[0] >> np.uint64(20)).astype(np.int64) & SKETCH - 1, minlength=SKETCH)
+            slots, n = np.unique((_flat(batch.column("grams"))[0] >> np.uint64(20)).astype(np.uint32) & np.uint32(SKETCH - 1), return_counts=True)
+            seen[slots] += n.astype(np.uint32)
         some = [i for i, r in enumerate(seen.reshape(rows, SKETCH_ROW)) if r.any()]
         counts = [seen[i * SKETCH_ROW : (i + 1) * SKETCH_ROW].astype("<u4").tobytes() for i in some]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts, pa.binary())], names=["row", "counts"])
@@ -315,7 +316,7 @@ def verified(sets: DataFrame, pairs: DataFrame, rule: Threshold, tables: Tables,
     return links
 
 
-def crossing_pairs(members: DataFrame, light: DataFrame, rule: Threshold) -> DataFrame:
+def crossing_pairs(members: DataFrame, light: DataFrame, rule: Threshold, tables: Tables) -> DataFrame:
     """(a1, a2, b1, b2): pairs of one pivot's sets that lie in different components and pass the filters.
 
     members: (p1, p2, d1, d2, c1, c2), without the pivots themselves, whose pairs
@@ -325,12 +326,16 @@ def crossing_pairs(members: DataFrame, light: DataFrame, rule: Threshold) -> Dat
     tiles is one group, so no task holds a whole pivot, and pairs that the
     filters reject are never rows.
     """
-    classed = members.join(light, ["d1", "d2"]).withColumn("class", rule.size_class(F.col("n")))
-    roles = F.explode(F.array(F.struct(F.col("class").alias("k"), F.lit(0).alias("role")), F.struct((F.col("class") - 1).alias("k"), F.lit(1).alias("role"))))
-    slim = members.join(light.select("d1", "d2", "n"), ["d1", "d2"]).withColumn("class", rule.size_class(F.col("n"))).withColumn("r", roles)
-    sizes = slim.groupBy("p1", "p2", "r.k").agg(F.count_if(F.col("r.role") == 0).alias("m0"), F.count_if(F.col("r.role") == 1).alias("m1"), F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high"))
-    groups = sizes.where("m0 > 0 AND low != high").select("p1", "p2", "k", F.ceil(F.col("m0") / TILE).cast("int").alias("t0"), F.ceil(F.col("m1") / TILE).cast("int").alias("t1"))
-    dealt = classed.withColumn("r", roles).select("*", "r.k", "r.role").drop("r", "class").join(groups, ["p1", "p2", "k"])
+    sized = tables.write(members.join(light.select("d1", "d2", "n"), ["d1", "d2"]).withColumn("class", rule.size_class(F.col("n"))), "sized")
+    named = F.struct("c1", "c2")
+    per_class = sized.groupBy("p1", "p2", "class").agg(F.count("*").alias("m"), F.min(named).alias("low"), F.max(named).alias("high"))
+    above = per_class.select("p1", "p2", (F.col("class") - 1).alias("class"), F.col("m").alias("m1"), F.col("low").alias("low1"), F.col("high").alias("high1"))
+    apart = (F.col("low") != F.col("high")) | (F.col("m1") > 0) & ((F.col("low") != F.col("low1")) | (F.col("high") != F.col("high1")))
+    tiles = lambda m: F.ceil(F.coalesce(m, F.lit(0)) / TILE).cast("int")
+    groups = per_class.join(above, ["p1", "p2", "class"], "left").where(apart).select("p1", "p2", F.col("class").alias("k"), tiles(F.col("m")).alias("t0"), tiles(F.col("m1")).alias("t1"))
+    own = sized.withColumn("k", F.col("class")).withColumn("role", F.lit(0)).join(groups, ["p1", "p2", "k"])
+    below = sized.withColumn("k", F.col("class") - 1).withColumn("role", F.lit(1)).join(groups, ["p1", "p2", "k"])
+    dealt = own.unionByName(below).drop("class", "n").join(light, ["d1", "d2"])
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("d1", "d2"), F.when(F.col("role") == 0, F.col("t0")).otherwise(F.col("t1"))).cast("int"))
     places = F.expr(
         """CASE WHEN role = 0 THEN concat(
@@ -372,8 +377,8 @@ def set_links(sets: DataFrame, light: DataFrame, rule: Threshold, tables: Tables
     links = verified(sets, tables.write(close_pairs(star, light, rule), "close"), rule, tables, "links")
     labels = tables.write(_labels(links), "labels")
     members = shared.select("p1", "p2", "d1", "d2").join(labels, ["d1", "d2"], "left").withColumn("c1", F.coalesce("c1", "d1")).withColumn("c2", F.coalesce("c2", "d2"))
-    apart = tables.write(crossing_pairs(members, light, rule).distinct(), "apart")
-    tables.drop("shared", "close")
+    apart = tables.write(crossing_pairs(members, light, rule, tables).distinct(), "apart")
+    tables.drop("shared", "close", "sized")
     if not apart.isEmpty():
         rest = verified(sets, apart, rule, tables, "crossing_links")
         if not rest.isEmpty():

@@ -45,6 +45,7 @@ class Tables:
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[name])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark._jvm.System.gc()  # lets Spark's cleaner remove shuffle files that no plan holds any more
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
