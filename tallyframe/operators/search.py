@@ -32,6 +32,12 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
     return vectors.select(key, F.round(cosine(F.col(vector), q), 9).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
 
 
+def nearest_to(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """nearest() to the vector of `query`, a table of one row, which is broadcast."""
+    joined = vectors.join(F.broadcast(query.select(F.col(vector).alias("__q"))))
+    return joined.select(key, F.round(cosine(F.col(vector), F.col("__q")), 9).alias("similarity")).orderBy(F.desc("similarity"), key).limit(k)
+
+
 def merge_mappings(held: DataFrame, seen: DataFrame) -> DataFrame:
     """Upsert of (user_id, source, target, confidence, usage): confidences averaged, usages added; nulls in keys match nulls."""
     a, b = held.alias("a"), seen.alias("b")

@@ -129,8 +129,7 @@ def chat_history_latest(spark, sf_dir):
  SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], e::DOUBLE[])/(sqrt(list_dot_product(embedding::DOUBLE[],embedding::DOUBLE[]))*sqrt(list_dot_product(e::DOUBLE[],e::DOUBLE[]))),9) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 20""")
 def embedding_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    query = vectors.orderBy("vec_id").limit(1).first()["embedding"]
-    return search.nearest(vectors, query, 20)
+    return search.nearest_to(vectors, vectors.orderBy("vec_id").limit(1), 20)
 
 
 @_query("mapping_upsert", """SELECT coalesce(a.user_id,b.user_id) AS user_id, coalesce(a.source,b.source) AS source, coalesce(a.target,b.target) AS target,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import records as ops
-from ..operators import relations
+from ..operators import checks, relations
 from ..sources.adapters import LEDGER_SQL, RELATIONSHIPS_SQL, entity_edges, ledger_events, relationships, table
 from ..sources.adapters import EDGES_SQL
 from ..sources.records import ctes, view
@@ -363,3 +363,85 @@ def entity_cascade(spark, sf_dir):
     known = c.where("c_custkey % 2 = 0").select(key.alias("entity_id"), (key % 25).alias("user_id"), name.alias("name"), mail("m").alias("email"))
     said = F.when(key % 4 == 0, F.concat(F.lit(" "), F.upper(name))).when(key % 4 == 1, F.concat(name, F.lit(" ltd"))).when(key % 4 == 2, name).otherwise(F.concat(F.lit("nobody "), key.cast("string")))
     return ops.resolve_entities(c.select(key.alias("id"), (key % 25).alias("user_id"), said.alias("name"), mail("M").alias("email")), known)
+
+
+# ---- checks
+
+@_query("provenance_hashes", "SELECT o_orderkey AS event_id, sha256(concat(o_orderstatus, '||', coalesce(CAST(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey END AS VARCHAR), ''), '||', CASE WHEN o_orderkey % 3 = 0 THEN '{}' ELSE concat('{\"p\":\"', o_orderpriority, '\"}') END)) AS hash FROM orders")
+def provenance_hashes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    payload = F.when(k % 3 != 0, F.concat(F.lit('{"p":"'), "o_orderpriority", F.lit('"}')))
+    return table(spark, sf_dir, "orders").select(k.alias("event_id"), checks.provenance_hash(F.col("o_orderstatus"), F.when(k % 5 > 0, k), payload).alias("hash"))
+
+
+@_query("tampered_rows", "SELECT o_orderkey AS event_id, o_orderkey % 50 <> 0 AS intact FROM orders")
+def tampered_rows(spark, sf_dir):
+    """Stored hashes against recomputed ones; every fiftieth row was changed after it was stored."""
+    k, stored, now = F.col("o_orderkey"), F.col("o_totalprice").cast("string"), F.when(F.col("o_orderkey") % 50 == 0, F.lit("changed")).otherwise(F.col("o_totalprice").cast("string"))
+    of = lambda payload: checks.provenance_hash(F.col("o_orderpriority"), k, payload)
+    return table(spark, sf_dir, "orders").select(k.alias("event_id"), (of(stored) == of(now)).alias("intact"))
+
+
+@_query("known_hashes", "SELECT c_custkey AS id, EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey % 25 = c.c_custkey % 25 AND sha256(CAST(o.o_orderkey % 900 AS VARCHAR)) = sha256(CAST(c.c_custkey AS VARCHAR))) AS known FROM customer c")
+def known_hashes(spark, sf_dir):
+    digest = lambda c: F.sha2(c.cast("string"), 256).alias("file_hash")
+    held = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("user_id"), digest(F.col("o_orderkey") % 900))
+    asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 25).alias("user_id"), digest(F.col("c_custkey")))
+    return checks.known_hashes(asked, held).select("id", "known")
+
+
+@_query("duplicate_candidates", "SELECT file_hash, id FROM (SELECT sha256(CAST(o_orderkey % 900 AS VARCHAR)) AS file_hash, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderkey % 900 ORDER BY o_orderdate DESC, o_orderkey) AS n FROM orders) WHERE n <= 10")
+def duplicate_candidates(spark, sf_dir):
+    """The ten newest records of each hash."""
+    from ..operators.search import latest_per_key
+
+    held = table(spark, sf_dir, "orders").withColumn("file_hash", F.sha2((F.col("o_orderkey") % 900).cast("string"), 256))
+    return latest_per_key(held, "file_hash", [F.desc("o_orderdate"), F.col("o_orderkey")], 10).select("file_hash", F.col("o_orderkey").alias("id"))
+
+
+@_query("platform_id_verdicts", """WITH x AS (SELECT o_orderkey AS event_id, CASE o_orderkey % 4 WHEN 0 THEN 'quickbooks' WHEN 1 THEN 'stripe' WHEN 2 THEN 'razorpay' ELSE 'other' END AS p,
+  CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'INV-' || o_orderkey WHEN 3 THEN 'ch_' || lpad(CAST(o_orderkey AS VARCHAR), 16, '0') WHEN 4 THEN 'pay_' || lpad(CAST(o_orderkey AS VARCHAR), 14, 'a') WHEN 5 THEN repeat('x', 60) ELSE CAST(o_orderkey AS VARCHAR) END AS v FROM orders)
+ SELECT event_id, CASE WHEN v IS NULL OR trim(v) = '' OR length(trim(v)) > 50 THEN false WHEN p = 'quickbooks' THEN regexp_matches(v, '^(TXN-?|INV-?|VEN-?|CUST-?|BILL-?|PAY-?|ACC-?|CLASS-?|ITEM-?|JE-?)?[0-9]{1,8}$') WHEN p = 'stripe' THEN regexp_matches(v, '^(ch_|pi_|cus_|in_)[a-zA-Z0-9]{14,24}$') WHEN p = 'razorpay' THEN regexp_matches(v, '^(pay_|order_|rfnd_|setl_)[a-zA-Z0-9]{14}$') ELSE true END AS is_valid,
+  CASE WHEN v IS NULL OR trim(v) = '' THEN 'basic_check' WHEN length(trim(v)) > 50 THEN 'length_check' WHEN p = 'quickbooks' AND NOT regexp_matches(v, '^(TXN-?|INV-?|VEN-?|CUST-?|BILL-?|PAY-?|ACC-?|CLASS-?|ITEM-?|JE-?)?[0-9]{1,8}$') OR p = 'stripe' AND NOT regexp_matches(v, '^(ch_|pi_|cus_|in_)[a-zA-Z0-9]{14,24}$') OR p = 'razorpay' AND NOT regexp_matches(v, '^(pay_|order_|rfnd_|setl_)[a-zA-Z0-9]{14}$') THEN 'platform_specific' ELSE 'format_check' END AS validation_method FROM x""")
+def platform_id_verdicts(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    platform = F.when(k % 4 == 0, "quickbooks").when(k % 4 == 1, "stripe").when(k % 4 == 2, "razorpay").otherwise("other")
+    made = [F.lit("  "), F.concat(F.lit("INV-"), text), F.concat(F.lit("ch_"), F.lpad(text, 16, "0")), F.concat(F.lit("pay_"), F.lpad(text, 14, "a")), F.repeat(F.lit("x"), 60)]
+    value = F.when(k % 7 == 6, text)
+    for i, v in enumerate(made):
+        value = F.when(k % 7 == i + 1, v).otherwise(value)
+    verdict = checks.platform_id_verdict(value, platform)
+    return table(spark, sf_dir, "orders").select(k.alias("event_id"), verdict.alias("v")).select("event_id", "v.is_valid", "v.validation_method")
+
+
+@_query("scheduler_limits", """SELECT s.event_type AS provider, strftime(s.minute, '%Y-%m-%d %H:%M') AS minute, s.n AS sent, coalesce(f.n, 0) AS failed, greatest(1, 5 - coalesce(f.n, 0)) AS "limit", s.n < greatest(1, 5 - coalesce(f.n, 0)) AS allowed
+ FROM (SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2) s LEFT JOIN (SELECT event_type, date_trunc('minute', ts) AS minute, count(*) AS n FROM events WHERE value < 10 GROUP BY 1, 2) f USING (event_type, minute)""")
+def scheduler_limits(spark, sf_dir):
+    """Events stand for dispatches; those of a value below 10 failed."""
+    sent = table(spark, sf_dir, "events").withColumnRenamed("event_type", "provider")
+    found = checks.dispatches_within_limit(sent, sent.where("value < 10"))
+    return found.select("provider", F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "sent", "failed", "limit", "allowed")
+
+
+@_query("lineage_steps", """SELECT event_id, step_number, step_name, operation FROM (SELECT event_id, 1 AS step_number, 'ingestion' AS step_name, 'read' AS operation FROM events UNION ALL SELECT event_id, 2, event_type, 'classify' FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_id, 3, 'enrichment', 'join' FROM events WHERE event_id % 3 = 2)""")
+def lineage_steps(spark, sf_dir):
+    step = lambda name, operation: F.concat(F.lit('{"step":"'), name, F.lit(f'","operation":"{operation}"}}'))
+    k = F.col("event_id")
+    path = F.concat(F.lit("["), F.concat_ws(",", step(F.lit("ingestion"), "read"), F.when(k % 3 > 0, step(F.col("event_type"), "classify")), F.when(k % 3 == 2, step(F.lit("enrichment"), "join"))), F.lit("]"))
+    return checks.lineage_steps(table(spark, sf_dir, "events").select("event_id", path.alias("lineage_path")))
+
+
+@_query("events_without_old_orphans", f"WITH {ctes('records')} SELECT event_id FROM records r WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = r.file_id AND c.c_acctbal > 0) OR created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR")
+def events_without_old_orphans(spark, sf_dir):
+    """Files of customers without a positive balance are the ones that are gone."""
+    files = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("file_id"))
+    return checks.without_orphans(view(spark, sf_dir, "records"), files, _as_of()).select("event_id")
+
+
+@_query("causal_graph_edges", f"WITH {_HILL} SELECT source_event_id AS src, target_event_id AS dst, causal_score FROM (SELECT source_event_id, target_event_id, {_HILL_SCORES} FROM hill) WHERE causal_score >= 0.7")
+def causal_graph_edges(spark, sf_dir):
+    ledger = ledger_events(spark, sf_dir)
+    links = relationships(ledger)
+    scored = relations.bradford_hill(links, ledger).where("causal_score >= 0.7").join(links.select("relationship_id", "source_event_id", "target_event_id"), "relationship_id")
+    return scored.select(F.col("source_event_id").alias("src"), F.col("target_event_id").alias("dst"), "causal_score")
