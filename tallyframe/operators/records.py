@@ -25,6 +25,11 @@ def _has(column: str, part: str | None) -> Column | None:
     return None if part is None else F.contains(F.lower(column), F.lit(part.lower()))
 
 
+def _mean(value: Column, digits: int = 3) -> Column:
+    """Mean of values of up to six decimals, summed exactly, so that the order of rows cannot turn a rounding."""
+    return F.round(F.sum(value.cast("decimal(18,6)")).cast("double") / F.count(value), digits)
+
+
 def by_document_type(records: DataFrame, user=None, document_type: str | None = None, min_confidence: float = 0.0) -> DataFrame:
     return _filtered(records, _equals("user_id", user), _equals("document_type", document_type), F.coalesce("document_confidence", F.lit(0.0)) >= min_confidence)
 
@@ -142,7 +147,7 @@ def semantic_stats(links: DataFrame) -> DataFrame:
         n.alias("total_relationships"),
         F.count("semantic_description").alias("with_semantics"),
         F.round(100.0 * F.count("semantic_description") / n, 2).alias("semantic_coverage_percent"),
-        F.round(F.avg("confidence_score"), 3).alias("avg_confidence"),
+        _mean(F.col("confidence_score")).alias("avg_confidence"),
         F.count_if(F.col("temporal_causality").isin("source_causes_target", "target_causes_source", "bidirectional")).alias("causal_relationships"),
         F.count_if(F.col("temporal_causality") == "correlation_only").alias("correlation_only"),
     )
@@ -238,7 +243,7 @@ def causal_stats(scored: DataFrame, causal_from: float = 0.7) -> DataFrame:
     """Per user, over scores of Bradford Hill's criteria with temporal_causality."""
     x = scored.withColumn("causal", F.col("causal_score") >= causal_from).withColumn("direction", causal_direction(F.col("temporal"), F.col("temporal_causality")))
     causal = F.col("causal")
-    stats = x.groupBy("user_id").agg(F.count("*").alias("total_relationships"), F.count_if(causal).alias("causal_relationships"), F.round(100.0 * F.count_if(causal) / F.count("*"), 2).alias("causal_percentage"), F.round(F.avg("causal_score"), 3).alias("avg_causal_score"), *(F.round(F.avg(F.when(causal, F.col(c))), 3).alias(f"avg_{c}") for c in ("temporal", "strength", "consistency", "specificity", "dose", "plausibility")))
+    stats = x.groupBy("user_id").agg(F.count("*").alias("total_relationships"), F.count_if(causal).alias("causal_relationships"), F.round(100.0 * F.count_if(causal) / F.count("*"), 2).alias("causal_percentage"), _mean(F.col("causal_score")).alias("avg_causal_score"), *(_mean(F.when(causal, F.col(c))).alias(f"avg_{c}") for c in ("temporal", "strength", "consistency", "specificity", "dose", "plausibility")))
     return stats.join(counted(x.where(causal), ["user_id"], "direction", "directions"), "user_id", "left")
 
 

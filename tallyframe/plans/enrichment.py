@@ -115,8 +115,9 @@ def relationship_statistics(spark, sf_dir):
 @_query("vectors_above_threshold", """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id=(SELECT min(vec_id) FROM embeddings)), s AS (SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], e::DOUBLE[])/(sqrt(list_dot_product(embedding::DOUBLE[],embedding::DOUBLE[]))*sqrt(list_dot_product(e::DOUBLE[],e::DOUBLE[]))),6) AS similarity FROM embeddings, q) SELECT * FROM s WHERE similarity >= 0.3""")
 def vectors_above_threshold(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
-    q = F.array(*(F.lit(float(x)) for x in vectors.orderBy("vec_id").limit(1).first()["embedding"]))
-    return vectors.select("vec_id", F.round(similarity.cosine(F.col("embedding"), q), 6).alias("similarity")).where("similarity >= 0.3")
+    query = vectors.orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
+    joined = vectors.join(F.broadcast(query))
+    return joined.select("vec_id", F.round(similarity.cosine(F.col("embedding"), F.col("q")), 6).alias("similarity")).where("similarity >= 0.3")
 
 
 @_query("best_field_mapping", """SELECT user_id, event_type AS source, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END, value DESC, event_id) AS n FROM events) WHERE n = 1""")

@@ -164,6 +164,10 @@ def _counted(source: str, value: str, name: str) -> str:
     return f"(SELECT user_id, string_agg(v || ':' || n, ',' ORDER BY v || ':' || n) AS {name} FROM (SELECT user_id, {value} AS v, count(*) AS n FROM {source} WHERE {value} IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"
 
 
+def _mean(value: str) -> str:
+    return f"round(CAST(sum(CAST({value} AS DECIMAL(18,6))) AS DOUBLE) / count({value}), 3)"
+
+
 @_query("enrichment_stats", f"""WITH {ctes('records')}, s AS (SELECT user_id, count(*) AS total_events, count(*) FILTER (amount_usd <> amount_original) AS events_with_currency_conversion, count(*) FILTER (vendor_standard <> vendor_raw) AS events_with_vendor_standardization, count(platform_id) AS events_with_platform_ids,
  CAST(coalesce(sum(amount_usd), 0) AS DOUBLE) AS total_amount_usd, round(avg(vendor_confidence), 6) AS vendor_standardization_accuracy, round(avg(exchange_rate), 6) AS avg_exchange_rate FROM records GROUP BY 1)
  SELECT s.*, currency_breakdown FROM s LEFT JOIN {_counted('records', 'currency', 'currency_breakdown')} c USING (user_id)""")
@@ -208,7 +212,7 @@ def entity_resolution_stats(spark, sf_dir):
     return ops.resolution_stats(view(spark, sf_dir, "entity_table"), view(spark, sf_dir, "matches"))
 
 
-@_query("semantic_relationship_stats", f"""{_LINKED}, s AS (SELECT user_id, count(*) AS total_relationships, count(semantic_description) AS with_semantics, round(100.0 * count(semantic_description) / count(*), 2)::DOUBLE AS semantic_coverage_percent, round(avg(confidence_score), 3) AS avg_confidence,
+@_query("semantic_relationship_stats", f"""{_LINKED}, s AS (SELECT user_id, count(*) AS total_relationships, count(semantic_description) AS with_semantics, round(100.0 * count(semantic_description) / count(*), 2)::DOUBLE AS semantic_coverage_percent, {_mean('confidence_score')} AS avg_confidence,
  count(*) FILTER (temporal_causality IN ('source_causes_target','target_causes_source','bidirectional')) AS causal_relationships, count(*) FILTER (temporal_causality = 'correlation_only') AS correlation_only FROM linked GROUP BY 1)
  SELECT s.*, causality_distribution, logic_distribution FROM s LEFT JOIN {_counted('linked', 'temporal_causality', 'causality_distribution')} a USING (user_id) LEFT JOIN {_counted('linked', 'business_logic', 'logic_distribution')} b USING (user_id)""")
 def semantic_relationship_stats(spark, sf_dir):
@@ -318,7 +322,7 @@ def causal_analysis(spark, sf_dir):
 
 
 @_query("causal_graph_stats", f"""WITH {_HILL}, s AS (SELECT user_id, temporal_causality, {_HILL_SCORES} FROM hill), d AS (SELECT *, causal_score >= 0.7 AS causal, CASE WHEN temporal < 0.7 THEN 'none' WHEN temporal_causality = 'target_causes_source' THEN 'target_to_source' WHEN temporal_causality = 'bidirectional' THEN 'bidirectional' ELSE 'source_to_target' END AS direction FROM s)
- SELECT t.*, directions FROM (SELECT user_id, count(*) AS total_relationships, count(*) FILTER (causal) AS causal_relationships, round(100.0 * count(*) FILTER (causal) / count(*), 2)::DOUBLE AS causal_percentage, round(avg(causal_score), 3) AS avg_causal_score, {', '.join(f'round(avg({c}) FILTER (causal), 3) AS avg_{c}' for c in ('temporal', 'strength', 'consistency', 'specificity', 'dose', 'plausibility'))} FROM d GROUP BY 1) t
+ SELECT t.*, directions FROM (SELECT user_id, count(*) AS total_relationships, count(*) FILTER (causal) AS causal_relationships, round(100.0 * count(*) FILTER (causal) / count(*), 2)::DOUBLE AS causal_percentage, {_mean('causal_score')} AS avg_causal_score, {', '.join(f"{_mean(f'CASE WHEN causal THEN {c} END')} AS avg_{c}" for c in ('temporal', 'strength', 'consistency', 'specificity', 'dose', 'plausibility'))} FROM d GROUP BY 1) t
  LEFT JOIN {_counted('(SELECT * FROM d WHERE causal)', 'direction', 'directions')} c USING (user_id)""")
 def causal_graph_stats(spark, sf_dir):
     return ops.causal_stats(_scored(spark, sf_dir))
