@@ -328,12 +328,11 @@ def causal_graph_stats(spark, sf_dir):
     return ops.causal_stats(_scored(spark, sf_dir))
 
 
-@_query("graph_paths", f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT src, dst, CAST(n_lines % 10 AS DOUBLE) / 10 AS causal, CAST(n_lines % 7 AS DOUBLE) / 7 AS confidence FROM entity_edges WHERE n_lines % 4 = 0),
+@_query("graph_paths", f"""WITH RECURSIVE {EDGES_SQL}, e AS (SELECT src, dst, CAST(n_lines % 10 AS DOUBLE) / 10 AS causal, CAST(n_lines % 7 AS DOUBLE) / 7 AS confidence FROM entity_edges),
  p AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS hops, [CAST(0 AS BIGINT)] AS path, 0.0::DOUBLE AS causal, 0.0::DOUBLE AS confidence UNION ALL SELECT e.dst, p.hops + 1, list_append(p.path, e.dst), p.causal + e.causal, p.confidence + e.confidence FROM p JOIN e ON p.node = e.src WHERE p.hops < 3 AND NOT list_contains(p.path, e.dst)),
  r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, path) AS n FROM p WHERE hops > 0) SELECT node, hops, array_to_string(path, '>') AS path, round(causal, 6) AS causal_sum, round(confidence / hops, 6) AS avg_confidence FROM r WHERE n = 1""")
 def graph_paths(spark, sf_dir):
-    """Over the edges of the entity graph that stand for a multiple of four lines, the kind of edge asked for here."""
-    edges = entity_edges(spark, sf_dir).where("n_lines % 4 = 0").select("src", "dst", ((F.col("n_lines") % 10).cast("double") / 10).alias("causal"), ((F.col("n_lines") % 7).cast("double") / 7).alias("confidence"))
+    edges = entity_edges(spark, sf_dir).select("src", "dst", ((F.col("n_lines") % 10).cast("double") / 10).alias("causal"), ((F.col("n_lines") % 7).cast("double") / 7).alias("confidence"))
     return ops.best_paths(edges, 0, 3).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
@@ -351,7 +350,7 @@ def duplicate_cascade(spark, sf_dir):
     return ops.duplicate_cascade(files, 0.6)
 
 
-@_query("entity_cascade", """WITH g(x) AS (SELECT 1), k AS (SELECT c_custkey AS entity_id, c_custkey % 25 AS user_id, c_name AS name, CASE WHEN c_custkey % 6 = 0 THEN 'm' || c_custkey || '@x.org' END AS email FROM customer WHERE c_custkey % 2 = 0),
+@_query("entity_cascade", """WITH g(x) AS (SELECT 1), k AS (SELECT c_custkey AS entity_id, c_custkey % 25 AS user_id, c_name AS name, CASE WHEN c_custkey % 6 = 0 THEN 'm' || c_custkey || '@x.org' END AS email FROM customer),
  m AS (SELECT c_custkey AS id, c_custkey % 25 AS user_id, CASE c_custkey % 4 WHEN 0 THEN ' ' || upper(c_name) WHEN 1 THEN c_name || ' ltd' WHEN 2 THEN c_name ELSE 'nobody ' || c_custkey END AS name, CASE WHEN c_custkey % 6 = 0 THEN 'M' || c_custkey || '@x.org' END AS email FROM customer),
  mm AS (SELECT m.*, lower(trim(name)) AS folded, (SELECT min(entity_id) FROM k WHERE k.user_id=m.user_id AND lower(k.email)=lower(m.email)) AS by_mail, (SELECT min(entity_id) FROM k WHERE k.user_id=m.user_id AND lower(trim(k.name))=lower(trim(m.name))) AS by_name FROM m),
  t AS (SELECT mm.id, k.entity_id, list_distinct(list_transform(range(1, greatest(length(folded)-2,1)+1), lambda i: substring(folded, i, 3))) AS a, list_distinct(list_transform(range(1, greatest(length(k.name)-2,1)+1), lambda i: substring(lower(trim(k.name)), i, 3))) AS b FROM mm JOIN k ON k.user_id=mm.user_id WHERE by_mail IS NULL AND by_name IS NULL),
@@ -360,11 +359,11 @@ def duplicate_cascade(spark, sf_dir):
  SELECT mm.id, coalesce(by_mail, by_name, v.entity_id) AS entity_id, CASE WHEN by_mail IS NOT NULL THEN 'email' WHEN by_name IS NOT NULL THEN 'exact_name' WHEN v.entity_id IS NOT NULL THEN 'fuzzy_name' ELSE 'new' END AS method,
  CASE WHEN by_mail IS NOT NULL THEN 0.95 WHEN by_name IS NOT NULL THEN 1.0 ELSE coalesce(round(s, 6), 0.0) END::DOUBLE AS confidence, round(1 - CASE WHEN by_mail IS NOT NULL THEN 0.95 WHEN by_name IS NOT NULL THEN 1.0 ELSE coalesce(round(s, 6), 0.0) END, 6)::DOUBLE AS entropy FROM mm LEFT JOIN v USING (id)""")
 def entity_cascade(spark, sf_dir):
-    """Mentions of all customers, some misspelt or unknown, against those with an even key: the known half of this example."""
+    """Mentions of all customers, some misspelt or unknown, against all of them."""
     c = table(spark, sf_dir, "customer")
     key, name = F.col("c_custkey"), F.col("c_name")
     mail = lambda first: F.when(key % 6 == 0, F.concat(F.lit(first), key.cast("string"), F.lit("@x.org")))
-    known = c.where("c_custkey % 2 = 0").select(key.alias("entity_id"), (key % 25).alias("user_id"), name.alias("name"), mail("m").alias("email"))
+    known = c.select(key.alias("entity_id"), (key % 25).alias("user_id"), name.alias("name"), mail("m").alias("email"))
     said = F.when(key % 4 == 0, F.concat(F.lit(" "), F.upper(name))).when(key % 4 == 1, F.concat(name, F.lit(" ltd"))).when(key % 4 == 2, name).otherwise(F.concat(F.lit("nobody "), key.cast("string")))
     return ops.resolve_entities(c.select(key.alias("id"), (key % 25).alias("user_id"), said.alias("name"), mail("M").alias("email")), known)
 
