@@ -47,6 +47,14 @@ VIEWS = {
       CAST(o_orderkey % 100 AS DOUBLE) / 100 AS confidence FROM {orders}""",
     "entity_table": """SELECT c_custkey AS entity_id, c_custkey % 25 AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'employee' WHEN 1 THEN 'vendor' WHEN 2 THEN 'customer' ELSE 'project' END AS entity_type,
       c_name AS canonical_name, lower(replace(c_name, '#', ' ')) AS alias, CAST('2024-01-01' AS DATE) + CAST(c_custkey % 300 AS INT) AS last_seen FROM {customer}""",
+    "memos": """SELECT o_orderkey AS event_id, CASE o_orderkey % 8 WHEN 0 THEN 'Monthly SALARY run' WHEN 1 THEN 'Payment received, thanks' WHEN 2 THEN 'electricity bill' WHEN 3 THEN 'wages' WHEN 4 THEN 'nan' WHEN 5 THEN 'card fee 2' WHEN 6 THEN 'costs of sales' END AS memo, o_orderpriority AS priority FROM {orders}""",
+    "told": """SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 0 THEN 'Source to target' WHEN 1 THEN ' bidirectional ' WHEN 2 THEN 'two way street' WHEN 3 THEN 'Correlation' WHEN 4 THEN NULL WHEN 5 THEN '' WHEN 6 THEN 'by chance' WHEN 7 THEN 'reverse_causality' ELSE 'correlation_only' END AS told FROM {orders}""",
+    "pattern_bodies": """SELECT s_suppkey AS id, CASE s_suppkey % 8 WHEN 0 THEN '{"pattern_type":"a","confidence_score":0.5,"detection_method":"m","pattern_data":{"n":1}}' WHEN 1 THEN '{"pattern_type":"a","confidence_score":1,"detection_method":"m"}' WHEN 2 THEN '{"pattern_type":"a","confidence_score":"0.5","detection_method":"m","pattern_data":{}}'
+ WHEN 3 THEN '{"pattern_type":"a","confidence_score":1.5,"detection_method":"m","pattern_data":{}}' WHEN 4 THEN '{"pattern_type":"a","confidence_score":0,"detection_method":"m","pattern_data":[]}' WHEN 5 THEN '{"pattern_type":null,"confidence_score":0.1,"detection_method":"m","pattern_data":{}}' WHEN 6 THEN '{"pattern_type":"a","confidence_score":1,"detection_method":"m","pattern_data":{"k":[1]}}' END AS body FROM {supplier}""",
+    "cells": """SELECT o_custkey AS file_id, CASE o_orderkey % 13 WHEN 0 THEN 'see #REF!' WHEN 1 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END * CAST(o_orderkey % 3 AS INT) AS amount FROM {orders}""",
+    "headers": """SELECT CAST(s_nationkey AS BIGINT) AS file_id, CASE s_suppkey % 7 WHEN 0 THEN ' Net_Revenue' WHEN 1 THEN 'total_assets' WHEN 2 THEN 'operating_cash_flow' WHEN 3 THEN 'Gross_Profit' WHEN 4 THEN 'cash' WHEN 5 THEN 'nan' ELSE s_name END AS name FROM {supplier}""",
+    "named_files": """SELECT p_partkey AS file_id, CAST(p_size AS BIGINT) AS user_id, p_name AS file_hash, 'processed' AS status FROM {part}""",
+    "decisions": """SELECT p_partkey AS file_id, CAST(p_size AS BIGINT) AS user_id, p_name AS file_hash, CASE p_partkey % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'skip' ELSE 'delta_merge' END AS decision FROM {part}""",
 }
 
 

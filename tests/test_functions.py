@@ -2,7 +2,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyframe.functions import classify, cleaning, similarity
+from tallyframe.functions import classify, cleaning, rows, similarity
+from tallyframe.operators import rows as row_ops
 from tallyframe.sources import files
 from tallyframe.streaming import rates
 
@@ -59,3 +60,26 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(60)
     assert spark.table("once").count() == 2
     assert {r["user_id"]: r["limited"] for r in rates.rate_windows(events, "user_id", "ts", "1 minute", 1).collect()} == {1: True, 2: False}
+
+
+def test_rows(spark):
+    assert one(spark, rows.row_class(F.lit("Employee of the month"), F.lit(None)))[:2] == ("payroll_expense", "payroll")
+    assert one(spark, rows.row_class(F.lit(None), F.lit(7)))[1:] == ("other", "general", 0.6)
+    assert one(spark, rows.fallback_row_class(F.lit("wages"), F.lit("nan")))["category"] == "other"
+    assert one(spark, rows.fallback_row_class(F.lit("nan"), F.lit("a fee, paid")))["category"] == "expense"
+    assert [one(spark, rows.temporal_causality(F.lit(v))) for v in ("Two Way", "no causality at all", "", None, "target_causes_source")] == ["bidirectional", "correlation_only", "unknown", "unknown", "target_causes_source"]
+    assert one(spark, rows.pattern_is_valid(F.lit("{"))) is None and one(spark, rows.pattern_is_valid(F.lit("[1]"))) is False
+    assert one(spark, rows.sheet_type(F.array(F.lit("Cash"), F.lit("Income"), F.lit(None), F.lit("x"))))[:2] == ("profit_loss", 1 / 3)
+    assert one(spark, rows.sheet_type(F.array().cast("array<string>")))[:2] == ("unknown", 0.0)
+    assert one(spark, rows.character_entropy(F.lit("aabb"))) == 1.0 and one(spark, rows.character_entropy(F.lit("\u00e9\U0001f600"))) == 1.0 and one(spark, rows.character_entropy(F.lit(""))) is None
+    full = {k: F.lit(1.0) for k in rows.WEIGHTS}
+    assert [round(one(spark, rows.weighted_score(F.lit(t), **full)), 9) for t in ("payroll_to_bank", "invoice_to_payment", None)] == [1.2, 1.2, 1.0]
+
+
+def test_sheet_anomalies_and_decisions(spark):
+    cells = spark.createDataFrame([(1, "x", 1), (1, "x", 1), (1, "#NUM!", -1), (1, None, None), (2, "y", 0)], "f int, s string, a int")
+    assert sorted(tuple(r) for r in row_ops.sheet_anomalies(cells, "f", ["a"]).collect()) == [(1, 1, 2, 1, 1), (2, 0, 0, 0, 0)]
+    assert row_ops.sheet_anomalies(cells.where("f = 3"), "f", ["a"]).count() == 0
+    files = spark.createDataFrame([(1, 1, "h", "new"), (2, 1, "h", "new"), (3, 2, "h", "new"), (4, 1, None, "new")], "file_id int, user_id int, file_hash string, status string")
+    asked = spark.createDataFrame([(2, 1, "h", "replace"), (3, 2, "h", "skip"), (4, 1, None, "replace")], "file_id int, user_id int, file_hash string, decision string")
+    assert {r["file_id"]: r["status"] for r in row_ops.decided(files, asked).collect()} == {1: "replaced", 2: "new", 3: "new", 4: "new"}

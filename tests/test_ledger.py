@@ -7,9 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tallyframe.plans import enrichment, ledger, records
+from tallyframe.plans import enrichment, ledger, records, rows
 
-QUERIES, SQL = ledger.QUERIES | enrichment.QUERIES | records.QUERIES, ledger.SQL | enrichment.SQL | records.SQL
+QUERIES, SQL = ledger.QUERIES | enrichment.QUERIES | records.QUERIES | rows.QUERIES, ledger.SQL | enrichment.SQL | records.SQL | rows.SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,13 @@ def test_entry_and_registries_agree(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["user_id", "month", "income", "expense", "net", "n_events"]
+
+
+def test_minhash_pairs_hold_every_close_name(spark, duck):
+    names = duck.execute("SELECT DISTINCT p_brand, p_name FROM part").fetchall()
+    grams = lambda name: {f"  {w} "[i : i + 3] for w in name.lower().split() for i in range(len(w) + 1)}
+    alike = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    found = {(r["p_brand"], r["name"], r["other"]): r["exact"] for r in QUERIES["minhash_pairs"](spark, SF).collect()}
+    assert found and all(abs(alike(a, b) - exact) < 1e-4 for (_, a, b), exact in found.items())
+    close = {(p, a, b) for p, a in names for q, b in names if p == q and a < b and alike(a, b) >= 0.8}
+    assert close <= found.keys()
