@@ -83,15 +83,6 @@ def relationship_scores(spark, sf_dir):
     return joined.select("relationship_id", F.round(score, 6).alias("score"))
 
 
-@_query("minhash_pairs")
-def minhash_pairs(spark, sf_dir):
-    """Each part with the next one of its brand: estimated and exact similarity of their names' trigrams."""
-    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", similarity.trigrams(F.col("p_name")).alias("t"))
-    signed = parts.withColumn("s", rules.minhash(F.col("t")))
-    other = signed.select("p_brand", (F.col("p_partkey") - 25).alias("p_partkey"), F.col("t").alias("t2"), F.col("s").alias("s2"))
-    return signed.join(other, ["p_brand", "p_partkey"]).select("p_partkey", F.round(rules.minhash_similarity(F.col("s"), F.col("s2")), 4).alias("estimate"), F.round(similarity.jaccard(F.col("t"), F.col("t2")), 4).alias("exact"))
-
-
 @_query("resolution_statistics", """SELECT event_type AS method, count(*) AS n, round(avg(value),6) AS avg_value, count(*) FILTER (value > 50) AS hits, round(count(*) FILTER (value > 50)/nullif(count(*),0),6) AS hit_rate FROM events GROUP BY 1""")
 def resolution_statistics(spark, sf_dir):
     hits = F.count_if(F.col("value") > 50)

@@ -487,12 +487,6 @@ def lineage_path(spark, sf_dir):
     return ledger.select("event_id", lineage.show(path).alias("path"), lineage.integrity(h, h).alias("verdict"))
 
 
-@_query("token_jaccard_names", """SELECT p_brand, count(*) AS n, max(p_name) AS last_name FROM part GROUP BY 1""")
-def token_jaccard_names(spark, sf_dir):
-    same = similarity.jaccard(cleaning.tokens(F.col("p_name")), cleaning.tokens(F.col("p_name"))) == 1.0
-    return table(spark, sf_dir, "part").where(same).groupBy("p_brand").agg(F.count("*").alias("n"), F.max("p_name").alias("last_name"))
-
-
 @_query("orphans_with_reason", """SELECT l_orderkey, l_linenumber, CASE WHEN o.k IS NULL THEN 'no_o_orderkey' ELSE 'no_s_suppkey' END AS reason FROM lineitem LEFT JOIN (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 11 <> 3) o ON l_orderkey=o.k LEFT JOIN (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 5 <> 1) s ON l_suppkey=s.k WHERE o.k IS NULL OR s.k IS NULL""")
 def orphans_with_reason(spark, sf_dir):
     lines, orders, suppliers = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "supplier"))
@@ -555,12 +549,6 @@ def field_meanings(spark, sf_dir):
     return listed.groupBy(classify.field_meaning(F.col("name")).alias("meaning")).agg(F.count("*").cast("int").alias("n_columns"))
 
 
-@_query("document_entropy_bands")
-def document_entropy_bands(spark, sf_dir):
-    bits = F.round(classify.shannon_entropy(F.substring("url", 1, 60)), 1)
-    return table(spark, sf_dir, "pages").groupBy(bits.alias("bits_per_char")).agg(F.count("*").alias("n"))
-
-
 # These names now stand for the queries over every event and edge.
 for _name, _whole in {"causal_chain": "all_causal_chains", "root_causes": "all_root_causes", "counterfactual_amount": "all_counterfactual_amounts", "shortest_path": "all_shortest_paths", "mapping_upsert": "all_mapping_upsert"}.items():
     QUERIES[_name] = QUERIES[_whole]
