@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, license_scan, ngram_join, packing, pii, quality_mil, sharding, token_counts
+from . import ann, bpe, decontamination, exact_dedup, license_scan, merkle, ngram_join, packing, periodic, pii, quality_mil, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +82,61 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir), ngram_join.Threshold(words=3, percent=90))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", decontamination.UPPER, decontamination.UPPER.lower())
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf(*map(F.col, fields[:-1]), lowered))
+    found = merkle.manifest(docs, fields, carry={"tampered": tampered})
+    folded = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    proof = F.array_join(F.transform("proof", lambda run: F.concat(run["left"], run["right"])), "")
+    return folded.select("doc_id", "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.occurrences(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("bigint").alias("n_words"),
+        decontamination.covered(F.col("spans")).alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.col("items").cast("array<string>")), ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text of documents, of which a tenth, by the CRC of the id, is made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")
+    docs = docs.select("doc_id", "text", F.expr("crc32(cast(cast(doc_id AS string) AS binary)) div 10").alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    docs = docs.withColumn("n", F.when(F.size("words") > 0, F.size("words")))
+    docs = docs.withColumn("a", (F.col("g") % F.col("n")).cast("int")).withColumn("left", F.col("n") - F.col("a"))
+    docs = docs.withColumn("p", F.expr("cast(1 + left div (3 + g % 8) AS int)"))
+    period = F.slice("words", F.col("a") + 1, F.col("p"))
+    repeated = F.slice(F.flatten(F.array_repeat(period, F.expr("cast((left + p - 1) div p AS int)"))), 1, F.col("left"))
+    periodic = F.array_join(F.concat(F.slice("words", 1, F.col("a")), repeated), " ")
+    return docs.select("doc_id", F.when(F.col("n").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.collapse_runs(with_periods(documents(spark, sf_dir)))
+    none = F.struct(*(F.lit(None).cast("bigint").alias(c) for c in ("start", "length", "period")))
+    greater = lambda best, run: F.when(best["start"].isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run).otherwise(best)
+    listed = F.transform("runs", lambda run: F.concat(run["start"].cast("string"), F.lit(","), run["length"].cast("string"), F.lit(","), run["period"].cast("string"), F.lit("\n")))
+    found = found.withColumn("best", F.aggregate("runs", none, greater))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_mil": op2_quality_mil,
@@ -93,6 +148,9 @@ QUERIES: dict[str, Query] = {
     "op8_jump_shards": op8_jump_shards,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_join": op10_ngram_join,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_decontamination": op12_decontamination,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 SQL: dict[str, str] = {
@@ -100,4 +158,17 @@ SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_decontamination": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        windows AS (SELECT DISTINCT item_id, l, array_to_string(w[k:k + l - 1], ' ') AS g
+                    FROM (SELECT item_id, w, least(len(w), 10) AS l, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM i WHERE len(w) > 0)),
+        lengths AS (SELECT DISTINCT l FROM windows),
+        places AS (SELECT r, k, l, array_to_string(w[k:k + l - 1], ' ') AS g FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM d, lengths WHERE len(w) >= l)),
+        hits AS (SELECT DISTINCT r, k, places.l, item_id FROM places JOIN windows ON places.l = windows.l AND places.g = windows.g),
+        covered AS (SELECT r, count(DISTINCT at) AS n FROM (SELECT r, unnest(range(k, k + l)) AS at FROM hits) GROUP BY r),
+        listed AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT cast(item_id AS VARCHAR), ',' ORDER BY cast(item_id AS VARCHAR)) AS ids FROM hits GROUP BY r)
+        SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(covered.n, 0) AS BIGINT) AS n_hit, cast(coalesce(listed.n, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, covered.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)""",
 }
