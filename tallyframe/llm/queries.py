@@ -166,7 +166,7 @@ SQL: dict[str, str] = {
         lengths AS (SELECT DISTINCT l FROM windows),
         places AS (SELECT r, k, l, array_to_string(w[k:k + l - 1], ' ') AS g FROM (SELECT r, w, l, unnest(range(1, len(w) - l + 2)) AS k FROM d, lengths WHERE len(w) >= l)),
         hits AS (SELECT DISTINCT r, k, places.l, item_id FROM places JOIN windows ON places.l = windows.l AND places.g = windows.g),
-        covered AS (SELECT r, count(DISTINCT at) AS n FROM (SELECT r, unnest(range(k, k + l)) AS at FROM hits) GROUP BY r),
+        covered AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(k, k + l)) AS place FROM hits) GROUP BY r),
         listed AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT cast(item_id AS VARCHAR), ',' ORDER BY cast(item_id AS VARCHAR)) AS ids FROM hits GROUP BY r)
         SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, cast(coalesce(covered.n, 0) AS BIGINT) AS n_hit, cast(coalesce(listed.n, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, covered.n IS NOT NULL AS contaminated
