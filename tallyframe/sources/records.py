@@ -54,6 +54,11 @@ VIEWS = {
     "cells": """SELECT o_custkey AS file_id, CASE o_orderkey % 13 WHEN 0 THEN 'see #REF!' WHEN 1 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END * CAST(o_orderkey % 3 AS INT) AS amount FROM {orders}""",
     "headers": """SELECT CAST(s_nationkey AS BIGINT) AS file_id, CASE s_suppkey % 7 WHEN 0 THEN ' Net_Revenue' WHEN 1 THEN 'total_assets' WHEN 2 THEN 'operating_cash_flow' WHEN 3 THEN 'Gross_Profit' WHEN 4 THEN 'cash' WHEN 5 THEN 'nan' ELSE s_name END AS name FROM {supplier}""",
     "named_files": """SELECT p_partkey AS file_id, CAST(p_size AS BIGINT) AS user_id, p_name AS file_hash, 'processed' AS status FROM {part}""",
+    "payloads": """SELECT o_orderkey AS id, o_custkey % 25 AS user_id, CASE o_orderkey % 12 WHEN 0 THEN concat('Stripe payment ch_', CAST(o_orderkey AS STRING), ' for customer_id ', CAST(o_custkey AS STRING))
+      WHEN 1 THEN concat('QB invoice INV-', CAST(o_orderkey AS STRING), ' via QuickBooks.com') WHEN 2 THEN concat('razorpay payout pay_', CAST(o_orderkey AS STRING), ' order_9') WHEN 3 THEN 'Amazon order, amazon.com marketplace'
+      WHEN 4 THEN 'AWS billing: ec2 and s3 usage' WHEN 5 THEN 'wire, no words' WHEN 6 THEN 'Xero invoice, then a Wave invoice' WHEN 7 THEN 'gusto payroll and adp payroll, contact_id' WHEN 8 THEN NULL WHEN 9 THEN ''
+      WHEN 10 THEN 'Shopify store order paid by PayPal payment, payment_id and transaction_id' ELSE concat('Hospital bill for patient, insurance claim and tax refund 1040 of employee ', CAST(o_orderkey AS STRING)) END AS memo,
+      CASE o_custkey % 4 WHEN 0 THEN 'id,Charge_ID,amount' WHEN 1 THEN 'invoice_id,customer_id,total' WHEN 2 THEN 'order_id,payment_id' ELSE NULL END AS field_names FROM {orders}""",
     "decisions": """SELECT p_partkey AS file_id, CAST(p_size AS BIGINT) AS user_id, p_name AS file_hash, CASE p_partkey % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'skip' ELSE 'delta_merge' END AS decision FROM {part}""",
 }
 
