@@ -29,9 +29,10 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
 from .store import Tables
 
 #: Nodes of a run, levels of a block, and nodes of a block.
@@ -132,23 +133,6 @@ def _block_paths(nodes: pa.Table, upper: pa.Table) -> pa.Table:
     return nodes
 
 
-def _numbered(rows: DataFrame, order: list[str], tables: Tables, name: str) -> DataFrame:
-    """rows with idx, its place within its `tree` in the order, and n, the rows of the tree. `order` must begin with "tree".
-
-    Rows are dealt by ranges of the whole order, so a tree may span any number of
-    tasks. Parts are counted, and each part's share of a tree starts after those
-    before it.
-    """
-    placed = tables.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), f"{name}_sorted")
-    placed = placed.withColumn("part", F.shiftright("at", 33))
-    counts = placed.groupBy("part", "tree").agg(F.min("at").alias("first"), F.count("*").alias("rows"))
-    whole = Window.partitionBy("tree")
-    before = F.coalesce(F.sum("rows").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = tables.write(counts.select(F.col("part").alias("its_part"), F.col("tree").alias("its_tree"), (before - F.col("first")).alias("shift"), F.sum("rows").over(whole).alias("n")), f"{name}_starts")
-    same = (F.col("part") == F.col("its_part")) & F.col("tree").eqNullSafe(F.col("its_tree"))
-    return placed.join(starts, same).withColumn("idx", F.col("at") + F.col("shift")).drop("at", "part", "its_part", "its_tree", "shift")
-
-
 def _climb(nodes: DataFrame, tables: Tables, name: str) -> tuple[list[DataFrame], DataFrame]:
     """The tables of nodes that the blocks of one another are made of, and (tree, digest) of the roots."""
     levels, roots = [nodes.withColumn("block", F.expr(f"idx div {BLOCK}"))], []
@@ -190,10 +174,10 @@ def manifest(docs: DataFrame, fields: list[str], tree: str = "lang", key: str =
     made = [c.alias(f"c{i}") for i, c in enumerate(carry.values())]
     rows = docs.select(docs[tree].alias("value"), docs[key].alias("key"), leaf(*(docs[f] for f in fields)).alias("digest"), F.monotonically_increasing_id().alias("tie"), *made)
     rows = tables.write(rows, "rows")  # fixes the order of ties
-    leaves = _numbered(rows.withColumnRenamed("value", "tree"), ["tree", "key", "digest", "tie"], tables, "leaves")
+    leaves = numbered(rows.withColumnRenamed("value", "tree"), ["tree"], ["key", "digest", "tie"], tables, "leaves", "idx", "n")
 
     values = leaves.where("idx = 0").select(F.lit(0).alias("tree"), F.col("tree").alias("value"))
-    trees = tables.write(_numbered(values, ["tree", "value"], tables, "trees").select(F.col("idx").alias("id"), "value", "n"), "trees")
+    trees = tables.write(numbered(values, ["tree"], ["value"], tables, "trees", "idx", "n").select(F.col("idx").alias("id"), "value", "n"), "trees")
     leaves = leaves.join(trees.select("id", "value"), F.col("tree").eqNullSafe(F.col("value"))).drop("tree", "value", "tie").withColumnRenamed("id", "tree")
     leaves = tables.write(leaves, "leaves")
     tables.drop("rows", "leaves_sorted", "leaves_starts")

@@ -23,13 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .ranking import gapless
-from .store import materialise
+from .ranking import numbered
+from .store import Tables, materialise
 from .tokens import encoder, int_lists, slices, small_batches
 
-#: Parts that number the pieces of each length.
-PARTS = 32
-
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
     """The multiset of lengths, within counts, whose sum is closest to room from below.
@@ -108,15 +105,14 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key:
     return source.transform(small_batches).mapInArrow(run, f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * keep_ids)
 
 
-def place_pieces(pieces: DataFrame, capacity: int, key: str = "doc_id", parts: int = PARTS) -> DataFrame:
+def place_pieces(pieces: DataFrame, capacity: int, key: str = "doc_id", parts: int | None = None) -> DataFrame:
     """pieces with sequence_id and offset. `pieces` is read twice and should be a written table."""
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_windows(histogram, capacity)
     by_length: dict[int, np.ndarray] = {}
     for length in histogram:
         by_length[length] = np.array([r[1:] for r in plan if r[0] == length], dtype=np.int64)
-    spread = F.xxhash64(F.col(f"`{key}`"), F.col("start"))
-    numbered = gapless(pieces, ["length"], spread, parts, [f"`{key}`", "start", "ids_crc32"], "__number")
+    ordered = numbered(pieces.withColumn("__tie", F.monotonically_increasing_id()), ["length"], [key, "start", "ids_crc32", "__tie"], Tables(pieces.sparkSession), "pieces", "__number", parts=parts)
     kept = pieces.columns
     names = [*kept, "sequence_id", "offset"]
 
@@ -132,7 +128,7 @@ def place_pieces(pieces: DataFrame, capacity: int, key: str = "doc_id", parts: i
                 offset[these] = row[:, 4] + nth % row[:, 2] * length
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sequence), pa.array(offset)], names=names)
 
-    return numbered.select(*(f"`{c}`" for c in kept), "__number").transform(small_batches).mapInArrow(run, pieces.schema.add("sequence_id", LongType()).add("offset", LongType()))
+    return ordered.select(*(f"`{c}`" for c in kept), "__number").transform(small_batches).mapInArrow(run, pieces.schema.add("sequence_id", LongType()).add("offset", LongType()))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:

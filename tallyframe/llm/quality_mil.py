@@ -175,7 +175,11 @@ def fit(bags: list[np.ndarray], label: np.ndarray, epochs: int = 40, batch: int
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_passages: int, key: str, text: str, label: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Passage features and labels of a sample bounded in documents and in passages, those with the smallest hash of their key."""
+    """Passage features and labels of a sample bounded in documents and in passages, those with the smallest hash of their key.
+
+    Documents of more than a twentieth of max_passages come after all others, the
+    shortest first, so that one of them cannot take the room of the rest.
+    """
     known = labels.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{label}`").alias("__label")).dropna()
     chosen = known.groupBy("__key").agg(F.max("__label").alias("__label")).orderBy(F.xxhash64("__key"), "__key").limit(max_documents)
     rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text")).join(F.broadcast(chosen), "__key")
@@ -190,8 +194,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_documents: int, max_
     read = rows.transform(small_batches).mapInArrow(run, f"key {kind}, label bigint, features binary")
     found = materialise(read.groupBy("key", "label").agg(F.min("features").alias("features")), "bags")
     size = F.octet_length("features") / (4 * FEATURES)
-    before = Window.orderBy(F.xxhash64("key"), "key")  # max_documents rows at most
-    within = found.select("key", "label", size.alias("n")).withColumn("sum", F.sum("n").over(before)).where(F.col("sum") <= max_passages)
+    long = F.greatest(F.col("n") - max_passages / 20, F.lit(0.0))
+    before = Window.orderBy(long, F.xxhash64("key"), "key").rowsBetween(Window.unboundedPreceding, 0)  # max_documents rows at most
+    within = found.select("key", size.alias("n")).withColumn("sum", F.sum("n").over(before)).where(F.col("sum") <= max_passages)
     bags = found.join(F.broadcast(within.select("key")), "key", "left_semi").toPandas().sort_values("key")
     return [np.frombuffer(f, np.float32).reshape(-1, FEATURES) for f in bags["features"]], bags["label"].to_numpy(dtype=np.float64)
 

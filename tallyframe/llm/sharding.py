@@ -19,14 +19,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import gapless
+from .ranking import numbered
+from .store import Tables
 
 #: Multiplier of the generator in Lamping and Veach's paper, as 32-bit halves.
 MULTIPLIER = 2862933555777941757
 MULT_HIGH, MULT_LOW = divmod(MULTIPLIER, 1 << 32)
 MASK = (1 << 32) - 1
-#: Parts that number each shard's slots.
-PARTS = 32
 
 
 def _low_product(a: Column, b: int) -> Column:
@@ -62,7 +61,7 @@ def jump_shard(key: Column, shards: int) -> Column:
     return end["at"].cast("int") if steps == shards + 1 else F.when(end["jump"] < shards, F.raise_error(F.lit("too many jumps"))).otherwise(end["at"]).cast("int")
 
 
-def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", parts: int = PARTS) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
     """Per row: the key, size, text_crc32, law, shard, slot and grown_shard (with one shard more)."""
     column = F.col(f"`{key}`")
     number = column if dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint") else F.when(column.isNotNull(), F.xxhash64(column))
@@ -75,5 +74,7 @@ def assign_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
         jump_shard(number, shards).alias("shard"),
         jump_shard(number, shards + 1).alias("grown_shard"),
     )
-    numbered = gapless(placed, ["shard"], F.xxhash64(F.col(f"`{key}`")), parts, [f"`{key}`", "text_crc32"], "slot")
-    return numbered.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    tables = Tables(docs.sparkSession)
+    rows = tables.write(placed.withColumn("__tie", F.monotonically_increasing_id()), "rows")
+    slots = numbered(rows, ["shard"], [key, "text_crc32", "__tie"], tables, "slots", "slot", parts=parts)
+    return slots.select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -252,3 +252,20 @@ def test_collapse_of_odd_rows(odd, none):  # noqa: F811
     out = periodic.collapse_runs(odd).collect()
     assert Counter((r["doc_id"], r["collapsed"]) for r in out) == Counter((k, " ".join(collapsed(split(t), plain_runs(split(t)) if len(split(t)) < 1000 else [(0, 20_000, 977)]))) for k, t in ODD)
     assert periodic.collapse_runs(none).count() == 0
+
+
+def test_numbers_of_a_hot_group_and_of_equal_rows_are_dealt(spark):
+    """One group with nine tenths of the rows, and rows that agree in all but the tie, spread over the tasks; numbers are gapless."""
+    from tallyframe.llm.ranking import numbered
+    from tallyframe.llm.store import Tables, materialise
+
+    rows = spark.range(6000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).alias("g"), F.lit(None).cast("bigint").alias("key"))
+    rows = materialise(rows.withColumn("tie", F.monotonically_increasing_id()), "rows")
+    tables = Tables(spark)
+    out = numbered(rows, ["g"], ["key", "tie"], tables, "x", "k", "n", parts=8).collect()
+    found = {}
+    for r in out:
+        found.setdefault(r["g"], []).append((r["k"], r["n"]))
+    assert len(out) == 6000 and all(sorted(v) == [(i, len(v)) for i in range(len(v))] for v in found.values())
+    sizes = [r["count"] for r in spark.read.parquet(tables.paths["x_sorted"]).groupBy(F.shiftright("__at", 33).alias("task")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 6000 / 8

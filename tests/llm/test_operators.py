@@ -100,6 +100,17 @@ def test_quality(spark, odd, none):
     assert next(r["quality_score"] for r in quality_mil.score(odd, model, out="quality_score").collect()) is not None
 
 
+def test_long_document_leaves_room_for_the_others(spark):
+    """Whatever its place in the order of hashes, a document that fills or exceeds the sample shuts no other out."""
+    short = [(i, "one two three " * 12) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id bigint, quality int")
+    for words, taken in ((64_000, 40), (32 * 30, 41)):
+        for place in range(0, 41, 8):
+            docs = spark.createDataFrame([*((i if i < place else i + 1, t) for i, t in short), (place, "word " * words)], "doc_id bigint, text string")
+            bags, marks = quality_mil.labelled_sample(docs, labels, 100, 150, "doc_id", "text", "quality")
+            assert len(bags) == len(marks) == taken and sum(map(len, bags)) <= 150
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     bags, label = [rng.normal(size=(n, quality_mil.FEATURES)) for n in (1, 4, 2)], np.array([0.0, 1.0, 1.0])
