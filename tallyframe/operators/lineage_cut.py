@@ -1,15 +1,39 @@
-"""Cutting the lineage of iterated plans."""
+"""Cutting the lineage of iterated plans, and tables that later steps read."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. A local session that names none gets a temporary one; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tallyframe-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own within the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written as Parquet and read back: a lost executor repeats only what reads it."""
+    spark, path, schema = df.sparkSession, own_folder(df.sparkSession, name), df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df from a reliable checkpoint in the session's shared folder; a temporary folder only where none is set."""
+    """df from a reliable checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import cleaning, edits
 from ..functions.catalogs import DOCUMENT_TYPES, PLATFORMS, Label
-from ..operators import keywords
-from ..sources.adapters import table
+from ..operators import keywords, lsh_index
+from ..operators.lineage_cut import own_folder
+from ..sources.adapters import RELATIONSHIPS_SQL, ledger_events, relationships, table
 from ..sources.records import ctes, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,3 +144,80 @@ def payload_document_types(spark, sf_dir):
 def text_document_types(spark, sf_dir):
     """Document types of all whole texts."""
     return _classified(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# The longest common subsequence of two short strings, by rows of the plain table: each value is the running maximum of what ends there.
+_VENDOR_SQL = f"""WITH RECURSIVE {ctes("records")}, names AS (SELECT DISTINCT vendor_raw AS raw, ({{clean}}) AS clean FROM records),
+ sorted AS (SELECT raw, clean, array_to_string(list_sort(string_split(lower(raw), ' ')), ' ') AS a, array_to_string(list_sort(string_split(lower(clean), ' ')), ' ') AS b FROM names),
+ lcs(raw, i, r) AS (SELECT raw, 0, [0 FOR k IN range(0, length(b) + 1)] FROM sorted
+  UNION ALL SELECT raw, i + 1, [0] || [list_max(t[1:k]) FOR k IN range(1, length(b) + 1)] FROM (SELECT s.raw, i, b, [greatest(r[k + 1], r[k] + CASE WHEN a[i + 1] = b[k] THEN 1 ELSE 0 END) FOR k IN range(1, length(b) + 1)] AS t FROM lcs JOIN sorted s USING (raw) WHERE i < length(a))),
+ whole AS (SELECT raw, r[len(r)] AS common FROM lcs JOIN sorted USING (raw) WHERE i = length(a))
+ SELECT event_id, vendor_raw, clean AS vendor_standard, round(least(0.95, 0.7 + 0.25 * 2 * common / (length(a) + length(b))), 9) AS confidence FROM records JOIN sorted ON vendor_raw = raw JOIN whole USING (raw)""".replace(
+    "{clean}", "trim(regexp_replace(CASE WHEN ends_with(lower(vendor_raw), ' inc.') THEN left(vendor_raw, length(vendor_raw) - 5) ELSE vendor_raw END, '[^A-Za-z0-9 ]', ' ', 'g'))"
+)
+
+
+@_query("vendor_standards", _VENDOR_SQL)
+def vendor_standards(spark, sf_dir):
+    """The standard name of each event's vendor, with a confidence from the edit ratio of raw and cleaned names; each distinct name is compared once."""
+    rows = view(spark, sf_dir, "records").select("event_id", "vendor_raw")
+    names = rows.select("vendor_raw").distinct().withColumn("s", cleaning.standard_vendor(F.col("vendor_raw")))
+    return rows.join(names, "vendor_raw").select("event_id", "vendor_raw", "s.vendor_standard", F.round("s.confidence", 9).alias("confidence"))
+
+
+@_query("relationship_id_scores")
+def relationship_id_scores(spark, sf_dir):
+    """How alike the identifiers of both ends of each relationship are: 1 if they share one, else the best partial ratio."""
+    own = view(spark, sf_dir, "records").select("event_id", F.array_compact(F.array("platform_id", F.concat(F.lit("INV-"), F.col("event_id").cast("string")), "employee")).alias("ids"))
+    links = relationships(ledger_events(spark, sf_dir)).select("relationship_id", "source_event_id", "target_event_id")
+    both = links.join(own.toDF("source_event_id", "ours"), "source_event_id").join(own.toDF("target_event_id", "theirs"), "target_event_id")
+    return both.select("relationship_id", F.round(edits.id_score(F.col("ours"), F.col("theirs")), 9).alias("id_score"))
+
+
+def _file_index(spark, sf_dir) -> tuple[lsh_index.LshIndex, DataFrame]:
+    """All documents as files of the users named by their languages, indexed in a folder of its own."""
+    files = table(spark, sf_dir, "documents").select(F.col("lang").alias("user"), "doc_id", "text", F.concat_ws(" ", "source", F.lit("part"), (F.col("doc_id") % 7).cast("string")).alias("file_name"))
+    index = lsh_index.LshIndex(spark, own_folder(spark, "lsh-index"))
+    index.insert(files, "user", "doc_id", "text")
+    return index, files
+
+
+@_query("stored_lsh_matches")
+def stored_lsh_matches(spark, sf_dir):
+    """Every hundredth document against a stored index of all: entries of the same user that are alike by .8 or more."""
+    index, files = _file_index(spark, sf_dir)
+    found = index.query(files.where("doc_id % 100 = 0"), "user", "doc_id", "text")
+    return found.select("user", F.col("query").alias("doc_id"), F.col("key").alias("other"), F.round("similarity", 6).alias("similarity"))
+
+
+@_query("near_duplicate_files")
+def near_duplicate_files(spark, sf_dir):
+    """The best match of every hundredth file, and a confidence of .7 and up to .3 for the likeness of the file names."""
+    index, files = _file_index(spark, sf_dir)
+    found = index.query(files.where("doc_id % 100 = 0"), "user", "doc_id", "text")
+    best = found.groupBy("user", "query").agg(F.min_by(F.struct("key", "similarity"), F.struct(-F.col("similarity"), "key")).alias("b")).select("user", F.col("query").alias("doc_id"), F.col("b.key").alias("other"), "b.similarity")
+    named = best.join(files.select("doc_id", "file_name"), "doc_id").join(files.select(F.col("doc_id").alias("other"), F.col("file_name").alias("other_name")), "other")
+    return named.select("doc_id", "other", F.round("similarity", 6).alias("similarity"), F.round(0.7 + 0.3 * edits.token_set_ratio(F.col("file_name"), F.col("other_name")) / 100, 9).alias("confidence"))
+
+
+@_query("near_duplicate_rows")
+def near_duplicate_rows(spark, sf_dir):
+    """Events whose payload is that of an earlier event of their user, word for word or by .85 of its words: the first such event, and how they agree."""
+    rows = view(spark, sf_dir, "payloads").where("memo <> ''").select("user_id", "id", "memo")
+    firsts = rows.groupBy("user_id", F.sha2("memo", 256).alias("hash")).agg(F.min("id").alias("first"))
+    exact = rows.withColumn("hash", F.sha2("memo", 256)).join(firsts, ["user_id", "hash"]).where("first < id").select("user_id", "id", F.col("first").alias("duplicate_of"), F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
+    near = lsh_index.similar_pairs(rows, ["user_id"], "id", "memo", 0.85)
+    best = near.groupBy("user_id", F.col("second").alias("id")).agg(F.min_by(F.struct("first", "similarity"), F.struct(-F.col("similarity"), "first")).alias("b"))
+    other = best.join(exact, ["user_id", "id"], "left_anti").select("user_id", "id", F.col("b.first").alias("duplicate_of"), F.lit("near").alias("kind"), F.col("b.similarity").alias("similarity"))
+    return exact.unionByName(other).withColumn("similarity", F.round("similarity", 6))
+
+
+@_query("unique_relationships", f"""WITH {RELATIONSHIPS_SQL.strip()}, {ctes("linked")} SELECT relationship_id, relationship_type, semantic_description FROM linked
+ QUALIFY row_number() OVER (PARTITION BY relationship_type, semantic_description ORDER BY relationship_id) = 1""")
+def unique_relationships(spark, sf_dir):
+    """Relationships without those that repeat an earlier one's ends and type, or .85 of the words of its type and description."""
+    links = view(spark, sf_dir, "linked")
+    once = links.groupBy("source_event_id", "target_event_id", "relationship_type").agg(F.min_by(F.struct("relationship_id", "semantic_description"), "relationship_id").alias("earliest")).select("relationship_type", "earliest.*")
+    told = once.withColumn("told", F.concat_ws(" ", "relationship_type", "semantic_description")).withColumn("all", F.lit(0))
+    gone = lsh_index.dropped_by_first(lsh_index.similar_pairs(told, ["all"], "relationship_id", "told", 0.85))
+    return once.join(gone, F.col("relationship_id") == F.col("key"), "left_anti").select("relationship_id", "relationship_type", "semantic_description")
