@@ -7,9 +7,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tallyframe.plans import detection, enrichment, ledger, records, rows
+from tallyframe.plans import algorithms, detection, enrichment, ledger, records, rows
 
-QUERIES, SQL = ledger.QUERIES | enrichment.QUERIES | records.QUERIES | rows.QUERIES | detection.QUERIES, ledger.SQL | enrichment.SQL | records.SQL | rows.SQL | detection.SQL
+QUERIES, SQL = ledger.QUERIES | enrichment.QUERIES | records.QUERIES | rows.QUERIES | detection.QUERIES | algorithms.QUERIES, ledger.SQL | enrichment.SQL | records.SQL | rows.SQL | detection.SQL | algorithms.SQL
 
 SF = "/root/testdata/sf0.001"
 
