@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import profiles
+from ..operators import centrality, communities, components, profiles
+from ..operators.lineage_cut import written
 from ..operators.timeseries import daily_series
-from ..sources.adapters import EDGES_SQL, LEDGER_SQL, entity_edges, ledger_events, table
+from ..sources.adapters import EDGES_SQL, LEDGER_SQL, RELATIONSHIPS_SQL, entity_edges, ledger_events, relationships
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -82,3 +83,71 @@ def regime_segments(spark, sf_dir):
     found = profiles.regime_changes(series, "platform", "at", "value", 7)
     dated = found.join(series.select("platform", "at", "day"), ["platform", "at"])
     return dated.select("platform", "day", "rank", *(F.round(c, 6).alias(c) for c in ("crossing", "mean_before", "sd_before", "mean_after", "sd_after", "magnitude")))
+
+
+def heavy_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade between entities that weighs more than the mean."""
+    edges = entity_edges(spark, sf_dir)
+    return edges.join(edges.agg(F.avg("n_lines").alias("mean"))).where("n_lines > mean").drop("mean")
+
+
+_HEAVY_SQL = f"{EDGES_SQL.strip()}, heavy AS (SELECT src, dst, n_lines FROM entity_edges WHERE n_lines > (SELECT avg(n_lines) FROM entity_edges)), graph AS (SELECT src, dst FROM heavy WHERE src <> dst), nodes AS (SELECT src AS node FROM graph UNION SELECT dst FROM graph)"
+#: Longest shortest path that the SQL follows; 25 entities of which half are linked are much closer.
+_DEEPEST = 8
+_LEVELS_SQL = ", ".join(
+    ["l0 AS (SELECT node AS s, node AS t, CAST(1 AS DOUBLE) AS paths FROM nodes)"]
+    + [
+        f"l{d} AS (SELECT s, dst AS t, sum(paths) AS paths FROM l{d - 1} JOIN graph ON t = src WHERE NOT EXISTS (FROM ({' UNION ALL '.join(f'SELECT s, t FROM l{k}' for k in range(d))}) seen WHERE seen.s = l{d - 1}.s AND seen.t = dst) GROUP BY 1, 2)"
+        for d in range(1, _DEEPEST + 1)
+    ]
+)
+
+
+@_query("entity_centrality", f"""WITH {_HEAVY_SQL}, {_LEVELS_SQL}, far AS ({" UNION ALL ".join(f"SELECT s, t, {d} AS d, paths FROM l{d}" for d in range(_DEEPEST + 1))}),
+ between AS (SELECT a.t AS node, sum(a.paths * b.paths / c.paths) AS b FROM far a JOIN far b ON a.t = b.s JOIN far c ON a.s = c.s AND b.t = c.t WHERE a.d > 0 AND b.d > 0 AND a.d + b.d = c.d GROUP BY 1),
+ close AS (SELECT s AS node, count(*) AS reached, sum(d) AS hops FROM far WHERE d > 0 GROUP BY 1)
+ SELECT node, round(coalesce(b, 0), 6) AS betweenness, round(reached / hops, 9) AS closeness, coalesce(reached, 0) AS reached FROM nodes LEFT JOIN between USING (node) LEFT JOIN close USING (node)""")
+def entity_centrality(spark, sf_dir):
+    """Betweenness and closeness of entities along their heavier trade."""
+    found = centrality.centrality(heavy_edges(spark, sf_dir))
+    return found.select("node", F.round("betweenness", 6).alias("betweenness"), F.round("closeness", 9).alias("closeness"), "reached")
+
+
+@_query("entity_louvain")
+def entity_louvain(spark, sf_dir):
+    """Communities of entities by the modularity of their trade."""
+    return communities.louvain(entity_edges(spark, sf_dir).select("src", "dst", F.col("n_lines").cast("double").alias("weight")))
+
+
+@_query("entity_graph_summary", f"""WITH {_HEAVY_SQL}, n AS (SELECT count(*) AS n_edges FROM heavy), v AS (SELECT count(*) AS n_nodes FROM (SELECT src FROM heavy UNION SELECT dst FROM heavy)),
+ reach AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM heavy), ends AS (SELECT a, b FROM reach UNION SELECT b, a FROM reach UNION SELECT a, a FROM reach UNION SELECT b, b FROM reach),
+ r2 AS (SELECT DISTINCT x.a, y.b FROM ends x JOIN ends y ON x.b = y.a), r4 AS (SELECT DISTINCT x.a, y.b FROM r2 x JOIN r2 y ON x.b = y.a), r8 AS (SELECT DISTINCT x.a, y.b FROM r4 x JOIN r4 y ON x.b = y.a), r16 AS (SELECT DISTINCT x.a, y.b FROM r8 x JOIN r8 y ON x.b = y.a), r32 AS (SELECT DISTINCT x.a, y.b FROM r16 x JOIN r16 y ON x.b = y.a),
+ c AS (SELECT component, count(*) AS k FROM (SELECT a, min(b) AS component FROM r32 GROUP BY 1) GROUP BY 1)
+ SELECT n_nodes, n_edges, round(2 * n_edges / n_nodes, 6) AS avg_degree, round(n_edges / (n_nodes * (n_nodes - 1)), 6) AS density, (SELECT count(*) FROM c) AS n_components, (SELECT max(k) FROM c) AS largest_component FROM n, v""")
+def entity_graph_summary(spark, sf_dir):
+    """Nodes, edges, degree, density and weak components of the heavier trade."""
+    return components.graph_summary(heavy_edges(spark, sf_dir))
+
+
+def _linked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relationships(ledger_events(spark, sf_dir)).select(F.col("relationship_id").alias("id"), F.col("source_event_id").alias("src"), F.col("target_event_id").alias("dst"), F.lit(0).alias("changed_at"))
+
+
+@_query("event_components", f"WITH {RELATIONSHIPS_SQL.strip()}, n AS (SELECT event_id, min(event_id) OVER (PARTITION BY file_id) AS component, count(*) OVER (PARTITION BY file_id) AS k FROM ledger_events) SELECT event_id, component FROM n WHERE k > 1")
+def event_components(spark, sf_dir):
+    """Events that relationships connect, each with the smallest of its component."""
+    return components.weak_components(_linked_events(spark, sf_dir)).select(F.col("node").alias("event_id"), "component")
+
+
+@_query("mended_event_components", f"""WITH {RELATIONSHIPS_SQL.strip()}, links AS (SELECT source_event_id AS a, target_event_id AS b FROM relationships WHERE relationship_id % 7 <> 0),
+ chain AS (SELECT event_id, file_id, row_number() OVER w AS k, coalesce(lag(event_id) OVER w IN (SELECT a FROM links), false) AS joined, event_id IN (SELECT a FROM links) AS goes_on FROM ledger_events WINDOW w AS (PARTITION BY file_id ORDER BY source_ts, event_id)),
+ parts AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY k) AS part FROM chain WHERE joined OR goes_on)
+ SELECT event_id, min(event_id) OVER (PARTITION BY file_id, part) AS component FROM parts""")
+def mended_event_components(spark, sf_dir):
+    """Components after changes: relationships but every third are known first, then those are added and every seventh of all goes; only touched components are built again."""
+    links = written(_linked_events(spark, sf_dir), "links")
+    known, later = links.where("id % 3 <> 0"), links.where("id % 3 = 0 AND id % 7 <> 0").withColumn("gone", F.lit(False))
+    changes = later.unionByName(links.where("id % 7 = 0").withColumn("gone", F.lit(True))).withColumn("changed_at", F.lit(1))
+    before = written(components.weak_components(known), "before")
+    after = written(components.apply_changes(known, changes), "after")
+    return components.mend_components(before, after, components.touched_nodes(known, changes)).select(F.col("node").alias("event_id"), "component")
