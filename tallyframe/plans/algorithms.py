@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import centrality, communities, components, profiles
+from ..operators import asof, centrality, communities, components, profiles
 from ..operators.lineage_cut import written
 from ..operators.timeseries import daily_series
 from ..sources.adapters import EDGES_SQL, LEDGER_SQL, RELATIONSHIPS_SQL, entity_edges, ledger_events, relationships
+from ..sources.records import ctes, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,3 +152,11 @@ def mended_event_components(spark, sf_dir):
     before = written(components.weak_components(known), "before")
     after = written(components.apply_changes(known, changes), "after")
     return components.mend_components(before, after, components.touched_nodes(known, changes)).select(F.col("node").alias("event_id"), "component")
+
+
+@_query("amounts_at_dated_rates", f"""WITH {ctes("dated_amounts", "dated_rates")} SELECT event_id, a.currency, a.day, amount, rate, r.day AS rate_day, round(CAST(amount AS DOUBLE) * rate, 4) AS amount_usd
+ FROM dated_amounts a ASOF LEFT JOIN dated_rates r ON a.currency = r.currency AND a.day >= r.day""")
+def amounts_at_dated_rates(spark, sf_dir):
+    """Amounts at their currency's latest rate of that day or before; nine tenths are of one currency, and one has no rates."""
+    found = asof.asof_join(view(spark, sf_dir, "dated_amounts"), view(spark, sf_dir, "dated_rates"), "currency", "day", "rate", out="rate", out_at="rate_day")
+    return found.withColumn("amount_usd", F.round(F.col("amount").cast("double") * F.col("rate"), 4))

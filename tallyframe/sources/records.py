@@ -59,6 +59,10 @@ VIEWS = {
       WHEN 4 THEN 'AWS billing: ec2 and s3 usage' WHEN 5 THEN 'wire, no words' WHEN 6 THEN 'Xero invoice, then a Wave invoice' WHEN 7 THEN 'gusto payroll and adp payroll, contact_id' WHEN 8 THEN NULL WHEN 9 THEN ''
       WHEN 10 THEN 'Shopify store order paid by PayPal payment, payment_id and transaction_id' ELSE concat('Hospital bill for patient, insurance claim and tax refund 1040 of employee ', CAST(o_orderkey AS STRING)) END AS memo,
       CASE o_custkey % 4 WHEN 0 THEN 'id,Charge_ID,amount' WHEN 1 THEN 'invoice_id,customer_id,total' WHEN 2 THEN 'order_id,payment_id' ELSE NULL END AS field_names FROM {orders}""",
+    "dated_amounts": """SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 10 < 9 THEN 'EUR' WHEN o_orderkey % 30 = 9 THEN 'GBP' WHEN o_orderkey % 30 = 19 THEN 'INR' ELSE 'XXX' END AS currency,
+      CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(15,2)) AS amount FROM {orders}""",
+    "dated_rates": """SELECT CASE o_custkey % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' ELSE 'INR' END AS currency, CAST(o_orderdate AS DATE) AS day, CAST(0.5 + CAST(max(o_orderkey) % 1000 AS DOUBLE) / 1000 AS DOUBLE) AS rate
+      FROM {orders} WHERE o_orderkey % 4 = 0 GROUP BY 1, 2""",
     "decisions": """SELECT p_partkey AS file_id, CAST(p_size AS BIGINT) AS user_id, p_name AS file_hash, CASE p_partkey % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'skip' ELSE 'delta_merge' END AS decision FROM {part}""",
 }
 
