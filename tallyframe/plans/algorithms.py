@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import asof, centrality, communities, components, profiles
-from ..operators.lineage_cut import written
+from ..operators.lineage_cut import own_folder, written
 from ..operators.timeseries import daily_series
 from ..sources.adapters import EDGES_SQL, LEDGER_SQL, RELATIONSHIPS_SQL, entity_edges, ledger_events, relationships
 from ..sources.records import ctes, view
+from ..streaming import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,3 +161,52 @@ def amounts_at_dated_rates(spark, sf_dir):
     """Amounts at their currency's latest rate of that day or before; nine tenths are of one currency, and one has no rates."""
     found = asof.asof_join(view(spark, sf_dir, "dated_amounts"), view(spark, sf_dir, "dated_rates"), "currency", "day", "rate", out="rate", out_at="rate_day")
     return found.withColumn("amount_usd", F.round(F.col("amount").cast("double") * F.col("rate"), 4))
+
+
+_ENRICHED = {"relationships": "instances", "causal": "causal_rows", "temporal": "temporal_rows", "patterns": "pattern_rows", "cross_platform": "cross_rows", "predicted": "predicted_rows", "causes": "cause_rows"}
+
+
+@_query("enriched_view_after_batches", f"""WITH {RELATIONSHIPS_SQL.strip()}, {ctes(*_ENRICHED.values())}
+ SELECT r.id, r.user_id, r.source_event_id, r.target_event_id, r.relationship_type, r.pattern_id, r.confidence_score, coalesce(c.causal_score, 0.0) AS causal_strength, coalesce(c.causal_direction, 'none') AS causal_direction,
+  t.id AS temporal_pattern_id, coalesce(t.confidence_score, 0.0) AS recurrence_score, coalesce('Every ' || CAST(avg_days_between AS VARCHAR) || ' days', 'none') AS recurrence_frequency, coalesce(seasonal_period_days, 0) AS seasonal_pattern_id, coalesce(seasonal_amplitude, 0.0) AS seasonal_strength,
+  p.id AS pattern_id_enriched, coalesce(p.relationship_type, '') AS pattern_name, x.id AS cross_platform_id, coalesce(source_platform, '') AS platform_sources, d.id AS predicted_relationship_id, coalesce(d.confidence_score, 0.0) AS prediction_confidence, coalesce(prediction_reasoning, '') AS prediction_reason,
+  a.id AS root_cause_id, coalesce(root_cause_description, '') AS root_cause_analysis
+ FROM instances r LEFT JOIN causal_rows c ON r.id = c.relationship_id AND r.user_id = c.user_id LEFT JOIN temporal_rows t ON r.relationship_type = t.relationship_type AND r.user_id = t.user_id LEFT JOIN pattern_rows p ON r.pattern_id = p.id AND r.user_id = p.user_id
+ LEFT JOIN cross_rows x ON r.source_event_id = x.source_event_id AND r.target_event_id = x.target_event_id AND r.user_id = x.user_id LEFT JOIN predicted_rows d ON r.source_event_id = d.source_event_id AND r.user_id = d.user_id AND d.status IN ('pending', 'fulfilled')
+ LEFT JOIN cause_rows a ON r.source_event_id = a.problem_event_id AND r.user_id = a.user_id""")
+def enriched_view_after_batches(spark, sf_dir):
+    """The stored view of relationships and six tables around them: built without some rows and with stale ones, then mended by two batches of changed keys."""
+    final = {name: written(view(spark, sf_dir, source), name) for name, source in _ENRICHED.items()}
+    links = final["relationships"]
+    late, stale = links.where("id % 8 = 3"), links.where("id % 6 = 1")
+    early = links.where("id % 8 <> 3").withColumn("confidence_score", F.when(F.col("id") % 6 == 1, 0.0).otherwise(F.col("confidence_score")))
+    steps = [
+        final | {"relationships": early, "causal": final["causal"].where("relationship_id % 2 = 0"), "predicted": final["predicted"].limit(0), "patterns": final["patterns"].where("id <> 2")},
+        final | {"predicted": final["predicted"].limit(0)},
+        final,
+    ]
+    now = {"tables": steps[0]}
+    kept = views.EnrichedView(spark, own_folder(spark, "enriched-view"), lambda: now["tables"])
+    kept.build()
+    told = [views.changed_keys("relationships", late.unionByName(stale)), views.changed_keys("causal", final["causal"].where("relationship_id % 2 <> 0")), views.changed_keys("patterns", final["patterns"].where("id = 2"))]
+    now["tables"] = steps[1]
+    kept.merge(told[0].unionByName(told[1]).unionByName(told[2]), 1)
+    now["tables"] = steps[2]
+    kept.merge(views.changed_keys("predicted", final["predicted"]), 2)
+    return kept.current()
+
+
+@_query("refreshed_dashboard_metrics", f"WITH {LEDGER_SQL} SELECT user_id, count(*) AS n_events, CAST(sum(amount_usd) AS DOUBLE) AS amount, count(DISTINCT vendor_standard) AS n_vendors, max(source_ts) AS last_event FROM ledger_events GROUP BY 1")
+def refreshed_dashboard_metrics(spark, sf_dir):
+    """A table of metrics by user: made from two thirds of the events, then again for the users that got more."""
+    events = written(ledger_events(spark, sf_dir), "events")
+    now = {"rows": events.where("event_id % 3 <> 0")}
+
+    def metrics(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("user_id").agg(F.count("*").alias("n_events"), F.sum("amount_usd").cast("double").alias("amount"), F.countDistinct("vendor_standard").alias("n_vendors"), F.max("source_ts").alias("last_event"))
+
+    kept = views.MetricsView(spark, own_folder(spark, "metrics"), lambda: now["rows"], metrics)
+    kept.refresh()
+    now["rows"] = events
+    kept.refresh(1, events.where("event_id % 3 = 0"))
+    return kept.current()

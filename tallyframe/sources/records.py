@@ -63,6 +63,16 @@ VIEWS = {
       CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(15,2)) AS amount FROM {orders}""",
     "dated_rates": """SELECT CASE o_custkey % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' ELSE 'INR' END AS currency, CAST(o_orderdate AS DATE) AS day, CAST(0.5 + CAST(max(o_orderkey) % 1000 AS DOUBLE) / 1000 AS DOUBLE) AS rate
       FROM {orders} WHERE o_orderkey % 4 = 0 GROUP BY 1, 2""",
+    # the tables around relationships, from which the enriched view is joined
+    "instances": """SELECT relationship_id AS id, user_id, source_event_id, target_event_id, relationship_type, confidence_score, relationship_id % 7 AS pattern_id FROM {relationships}""",
+    "causal_rows": """SELECT relationship_id, user_id, CAST(relationship_id % 100 AS DOUBLE) / 100 AS causal_score, temporal_causality AS causal_direction FROM {relationships} WHERE relationship_id % 3 = 0""",
+    "temporal_rows": """SELECT min(relationship_id) AS id, user_id, relationship_type, CAST(count(*) % 10 AS DOUBLE) / 10 AS confidence_score, CAST(CAST(count(*) % 300 AS DOUBLE) / 10 AS DECIMAL(10,1)) AS avg_days_between,
+      CAST(count(*) % 30 AS INT) AS seasonal_period_days, CAST(count(*) % 8 AS DOUBLE) AS seasonal_amplitude FROM {relationships} WHERE user_id % 4 <> 0 GROUP BY user_id, relationship_type""",
+    "pattern_rows": """SELECT DISTINCT relationship_id % 7 AS id, user_id, concat('pattern of ', CAST(relationship_id % 7 AS STRING)) AS relationship_type FROM {relationships} WHERE relationship_id % 7 < 5""",
+    "cross_rows": """SELECT relationship_id + 1000000 AS id, user_id, source_event_id, target_event_id, concat('platform ', CAST(relationship_id % 5 AS STRING)) AS source_platform FROM {relationships} WHERE relationship_id % 4 = 0""",
+    "predicted_rows": """SELECT relationship_id + 2000000 AS id, user_id, source_event_id, CASE relationship_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'fulfilled' ELSE 'expired' END AS status, CAST(0.25 AS DOUBLE) AS confidence_score, 'due' AS prediction_reasoning FROM {relationships} WHERE relationship_id % 5 < 2
+      UNION ALL SELECT relationship_id + 3000000, user_id, source_event_id, 'pending', CAST(0.75 AS DOUBLE), 'late' FROM {relationships} WHERE relationship_id % 10 = 0""",
+    "cause_rows": """SELECT relationship_id + 4000000 AS id, user_id, source_event_id AS problem_event_id, concat('cause of ', CAST(relationship_id AS STRING)) AS root_cause_description FROM {relationships} WHERE relationship_id % 9 = 0""",
     "decisions": """SELECT p_partkey AS file_id, CAST(p_size AS BIGINT) AS user_id, p_name AS file_hash, CASE p_partkey % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'skip' ELSE 'delta_merge' END AS decision FROM {part}""",
 }
 
