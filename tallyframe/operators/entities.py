@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.phonetics import phonetic_codes
 from ..functions.similarity import name_similarity, trigrams
 
 
@@ -51,3 +52,29 @@ def event_entities(ledger: DataFrame) -> DataFrame:
     """(event_id, entity): the last of several mappings wins."""
     last = Window.partitionBy("event_id").orderBy(F.desc("source_ts"), F.desc("vendor_standard"))
     return ledger.select("event_id", "vendor_standard", F.row_number().over(last).alias("n")).where("n = 1").select("event_id", F.col("vendor_standard").alias("entity"))
+
+
+def with_phonetic_codes(rows: DataFrame, name: str) -> DataFrame:
+    """rows with the soundex, metaphone and double metaphone of a name beside it, to be written with them."""
+    codes = rows.withColumn("__codes", phonetic_codes(F.col(name)))
+    return codes.select(*rows.columns, *(F.col("__codes")[c].alias(f"{name}_{c}") for c in ("soundex", "metaphone", "dmetaphone")))
+
+
+def phonetic_matches(asked: DataFrame, wanted: str, known: DataFrame, name: str, group: list[str], most: int = 10) -> DataFrame:
+    """(group columns, wanted, known columns, match_method): up to `most` known rows of the group that sound like each asked name.
+
+    `known` comes from with_phonetic_codes. The method is the first of soundex,
+    metaphone and dmetaphone that agrees; matches are ordered by it, then by name.
+    Names without letters match nothing. Each code is joined on by itself.
+    """
+    methods, others = ["soundex", "metaphone", "dmetaphone"], [c for c in known.columns if c not in group]
+    names = with_phonetic_codes(asked.select(*group, F.col(wanted).alias("__asked")).distinct(), "__asked")
+    held, met = known.select(*group, F.struct(*others).alias("__row"), *(F.col(f"{name}_{m}").alias(f"__{m}") for m in methods)), None
+    for i, m in enumerate(methods):
+        one = names.where(F.col(f"__asked_{m}") != "").withColumnRenamed(f"__asked_{m}", f"__{m}").select(*group, "__asked", f"__{m}").join(held.select(*group, "__row", f"__{m}"), [*group, f"__{m}"])
+        one = one.select(*group, "__asked", "__row", F.lit(i).alias("__how"))
+        met = one if met is None else met.unionByName(one)
+    best = met.groupBy(*group, "__asked", "__row").agg(F.min("__how").alias("__how"))
+    rank = F.row_number().over(Window.partitionBy(*group, "__asked").orderBy("__how", F.col("__row")[name], F.col("__row")))
+    kept = best.withColumn("__rank", rank).where(F.col("__rank") <= most)
+    return kept.select(*group, F.col("__asked").alias(wanted), *(F.col("__row")[c].alias(c) for c in others), F.array(*map(F.lit, methods))[F.col("__how")].alias("match_method"))

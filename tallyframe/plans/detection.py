@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, edits
 from ..functions.catalogs import DOCUMENT_TYPES, PLATFORMS, Label
-from ..operators import keywords, lsh_index
+from ..operators import entities, keywords, lsh_index
 from ..operators.lineage_cut import own_folder
 from ..sources.adapters import RELATIONSHIPS_SQL, ledger_events, relationships, table
 from ..sources.records import ctes, view
@@ -221,3 +221,11 @@ def unique_relationships(spark, sf_dir):
     told = once.withColumn("told", F.concat_ws(" ", "relationship_type", "semantic_description")).withColumn("all", F.lit(0))
     gone = lsh_index.dropped_by_first(lsh_index.similar_pairs(told, ["all"], "relationship_id", "told", 0.85))
     return once.join(gone, F.col("relationship_id") == F.col("key"), "left_anti").select("relationship_id", "relationship_type", "semantic_description")
+
+
+@_query("phonetic_part_matches")
+def phonetic_part_matches(spark, sf_dir):
+    """For each part name, spelt otherwise, the names of its brand that sound alike, by which code; the ten best of each."""
+    names = entities.with_phonetic_codes(table(spark, sf_dir, "part").select("p_brand", "p_name").distinct(), "p_name")
+    asked = names.select("p_brand", F.regexp_replace(F.regexp_replace("p_name", "ll", "l"), "i", "y").alias("asked"))
+    return entities.phonetic_matches(asked, "asked", names, "p_name", ["p_brand"]).select("p_brand", "asked", "p_name", "match_method")
