@@ -11,7 +11,8 @@ ENTITY_KINDS = {"employees": "employee", "staff": "employee", "vendors": "vendor
 # Words that speak for a platform or a document type.
 PLATFORM_WORDS = {"stripe": ["stripe", "ch_", "pi_"], "quickbooks": ["quickbooks", "intuit", "qb_"], "razorpay": ["razorpay", "rzp"], "machinery": ["machinery"], "building": ["building"]}
 ID_PATTERNS = {"invoice": r"(?i)\bINV[-_]?(\d+)", "order": r"(?i)\b(?:PO|ORD)[-_]?(\d+)", "customer": r"(?i)\bCustomer#(\d+)"}
-CURRENCIES = ["USD", "EUR", "GBP", "INR", "JPY", "CAD", "AUD"]
+# Currencies that amounts may have.
+CURRENCIES = ["USD", "EUR", "GBP", "INR", "JPY", "CNY", "AUD", "CAD", "CHF", "SEK", "NZD"]
 
 
 def _lookup(table: dict[str, str]) -> Column:

@@ -27,8 +27,9 @@ def asof_join(rows: DataFrame, values: DataFrame, key: str, at: str, value: str,
     asked = rows.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.struct(*(F.col(c) for c in kept)).alias("__row"))
     kind = asked.schema["__row"].dataType
     whole = asked.withColumns({"__given": F.lit(None).cast(given.schema["__given"].dataType), "__asks": F.lit(1)}).unionByName(given.withColumns({"__row": F.lit(None).cast(kind), "__asks": F.lit(0)}))
-    # values stand before the rows of their moment; the hash spreads rows that agree in key and moment
-    order = [F.col("__key"), F.col("__at"), F.col("__asks"), F.xxhash64("__row")]
+    # values stand before the rows of their moment; the hash spreads rows that agree in key and moment (maps cannot be hashed)
+    told = [F.col("__row")[c] for c in kept if "map<" not in rows.schema[c].dataType.simpleString()]
+    order = [F.col("__key"), F.col("__at"), F.col("__asks"), F.xxhash64(*told) if told else F.lit(0)]
     dealt = whole.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
     dealt = written(dealt.withColumn("__place", F.monotonically_increasing_id()), "dealt").withColumn("__task", F.shiftright("__place", 33))
     ends = dealt.where("__asks = 0").groupBy("__key", "__task").agg(F.max_by("__given", "__place").alias("last"))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cleaning, edits
+from ..functions import cleaning, edits, fields
 from ..functions.catalogs import DOCUMENT_TYPES, PLATFORMS, Label
-from ..operators import entities, keywords, lsh_index
+from ..operators import entities, keywords, lsh_index, row_pipeline
 from ..operators.lineage_cut import own_folder
 from ..sources.adapters import RELATIONSHIPS_SQL, ledger_events, relationships, table
 from ..sources.records import ctes, view
@@ -229,3 +230,93 @@ def phonetic_part_matches(spark, sf_dir):
     names = entities.with_phonetic_codes(table(spark, sf_dir, "part").select("p_brand", "p_name").distinct(), "p_name")
     asked = names.select("p_brand", F.regexp_replace(F.regexp_replace("p_name", "ll", "l"), "i", "y").alias("asked"))
     return entities.phonetic_matches(asked, "asked", names, "p_name", ["p_brand"]).select("p_brand", "asked", "p_name", "match_method")
+
+
+def _raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "raw_rows").withColumn("row", F.from_json("row_text", "map<string,string>"))
+
+
+def _first_fit(value: str, rules: list[tuple[str, str]], other: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({value}, {_quoted('(?i)' + pattern)}) THEN {out}" for pattern, out in rules) + f" ELSE {other} END"
+
+
+_FIELDS_SQL = f"""raw AS (SELECT id, row_text, unnest(json_keys(row_text)) AS name FROM raw_rows), held AS (SELECT id, name, json_extract_string(row_text, '$."' || name || '"') AS value FROM raw),
+ told AS (SELECT id, name, {_first_fit("trim(value)", [(p, _quoted(n)) for n, p, _ in fields.FORMATS])} AS format, {_first_fit("trim(value)", [(p, str(c)) for _, p, c in fields.FORMATS], "0")} AS by_format,
+  {_first_fit("name", [("|".join(p.split()), _quoted(t)) for _, t, _, p in fields.MEANINGS], "'unknown'")} AS type, {_first_fit("name", [("|".join(p.split()), _quoted(c)) for c, _, _, p in fields.MEANINGS])} AS category,
+  {_first_fit("name", [("|".join(p.split()), str(c)) for _, _, c, p in fields.MEANINGS], "0")} AS by_name FROM held WHERE value IS NOT NULL),
+ analysed AS (SELECT id, name, type, category, format, CAST(least(1, by_format + by_name) AS DOUBLE) AS confidence FROM told)"""
+
+
+@_query("field_meanings", f"WITH {ctes('raw_rows')}, {_FIELDS_SQL} SELECT id, name, type, category, format, round(confidence, 9) AS confidence FROM analysed")
+def field_meanings(spark, sf_dir):
+    """Type, category, format and confidence of every field of every raw row."""
+    found = _raw_rows(spark, sf_dir).select("id", F.explode(fields.detected_fields(F.col("row"))).alias("f"))
+    return found.select("id", "f.name", "f.type", "f.category", "f.format", F.round("f.confidence", 9).alias("confidence"))
+
+
+@_query("format_detection", f"WITH {ctes('raw_rows')}, {_FIELDS_SQL} SELECT name, coalesce(format, 'none') AS format, count(*) AS n FROM analysed GROUP BY 1, 2")
+def format_detection(spark, sf_dir):
+    """How often the values of each field name have which format, over all raw rows."""
+    found = _raw_rows(spark, sf_dir).select(F.explode("row").alias("name", "value")).where("value IS NOT NULL")
+    return found.groupBy("name", F.coalesce(fields.format_of(F.col("value"))["format"], F.lit("none")).alias("format")).agg(F.count("*").alias("n"))
+
+
+@_query("field_suggestions", f"""WITH {ctes('raw_rows')}, {_FIELDS_SQL} SELECT id, CAST(count(*) AS INT) AS total_fields, CAST(count(*) FILTER (type <> 'unknown') AS INT) AS recognised_fields, round(avg(confidence), 9) AS confidence_score,
+ coalesce(string_agg(name, ',' ORDER BY name) FILTER (confidence < 0.5), '') AS low_confidence, coalesce(string_agg(name, ',' ORDER BY name) FILTER (type = 'unknown'), '') AS unknown FROM analysed GROUP BY id""")
+def field_suggestions(spark, sf_dir):
+    """What to review in each raw row."""
+    analysed = _raw_rows(spark, sf_dir).select("id", fields.detected_fields(F.col("row")).alias("fields"))
+    found = analysed.select("id", fields.field_suggestions(F.col("fields")).alias("s"))
+    names = lambda c: F.array_join(F.array_sort(c), ",")
+    return found.select("id", "s.total_fields", "s.recognised_fields", F.round("s.confidence_score", 9).alias("confidence_score"), names(F.col("s.low_confidence")).alias("low_confidence"), names(F.col("s.unknown")).alias("unknown"))
+
+
+def _enriched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_pipeline.enriched_rows(_raw_rows(spark, sf_dir), "row", view(spark, sf_dir, "dated_rates"), date(2024, 1, 1))
+
+
+# Written from what the rows hold, not from the rules that find it.
+_ENRICHED_SQL = f"""WITH {ctes("raw_rows", "dated_rates")}, core AS (SELECT id, o_orderkey % 3 AS kind, CASE o_orderkey % 3 WHEN 2 THEN CAST(-o_custkey AS DOUBLE) ELSE CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE) END AS amount,
+  CASE o_orderkey % 3 WHEN 0 THEN 'Customer ' || o_custkey || ' Inc.' WHEN 1 THEN 'Customer ' || o_custkey ELSE '' END AS vendor_raw, CASE o_orderkey % 3 WHEN 2 THEN '' ELSE 'Customer ' || o_custkey END AS vendor_standard,
+  CASE o_orderkey % 3 WHEN 2 THEN DATE '2024-01-01' ELSE CAST(o_orderdate AS DATE) END AS date, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority ELSE '' END AS description, ['EUR', 'GBP', 'USD'][o_orderkey % 3 + 1] AS currency, CASE o_orderkey % 3 WHEN 2 THEN 0.6 ELSE 0.9 END AS confidence
+  FROM raw_rows JOIN orders ON id = o_orderkey), rated AS (SELECT core.*, CASE WHEN core.currency = 'USD' THEN 1.0 ELSE rate END AS exchange_rate FROM core ASOF LEFT JOIN dated_rates r ON core.currency = r.currency AND core.date >= r.day)
+ SELECT id, amount, vendor_raw, vendor_standard, date, description, currency, CAST(confidence AS DOUBLE) AS confidence, exchange_rate, round(amount * exchange_rate, 4) AS amount_usd,
+  round(CASE kind WHEN 2 THEN 0 WHEN 1 THEN 0.95 ELSE least(0.95, 0.7 + 0.25 * 2 * (length(vendor_raw) - 5) / (2 * length(vendor_raw) - 5)) END, 9) AS vendor_confidence,
+  concat_ws(',', CASE WHEN confidence < 0.7 THEN 'low_confidence' END, CASE WHEN exchange_rate IS NULL THEN 'no_exchange_rate' END, CASE WHEN length(vendor_raw) < 2 THEN 'vendor_too_short' END) AS issues FROM rated"""
+
+
+@_query("enriched_rows", _ENRICHED_SQL)
+def enriched_rows(spark, sf_dir):
+    """Raw rows of three kinds of files, through the whole chain: fields, values, vendors, dated rates, issues."""
+    core = F.col("core")
+    return _enriched_rows(spark, sf_dir).select(
+        "id", core["amount"].alias("amount"), core["vendor_name"].alias("vendor_raw"), "vendor_standard", core["date"].alias("date"), core["description"].alias("description"), core["currency"].alias("currency"), F.round(core["confidence"], 9).alias("confidence"),
+        "exchange_rate", F.round("amount_usd", 4).alias("amount_usd"), F.round("vendor_confidence", 9).alias("vendor_confidence"), F.array_join("issues", ",").alias("issues"),
+    )
+
+
+@_query("event_records", f"""WITH e AS ({_ENRICHED_SQL}) SELECT id, file_id AS file, amount AS amount_original, currency, amount_usd, sha256(file_id || '||' || id || '||' || array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(row_text), '[\s,;]+'), lambda x: length(x) > 1))), ' ')) AS hash, issues <> '' AS requires_review
+ FROM e JOIN (WITH {ctes("raw_rows")} FROM raw_rows) USING (id)""")
+def event_records(spark, sf_dir):
+    """The events that raw rows become, with where they come from and a hash of the whole row."""
+    found = row_pipeline.event_records(_enriched_rows(spark, sf_dir), "file_id", "id", ["row_text"])
+    return found.select("id", "provenance.file", "payload.amount_original", "payload.currency", F.round("payload.amount_usd", 4).alias("amount_usd"), "provenance.hash", "requires_review")
+
+
+@_query("learned_field_mappings", f"""WITH {ctes('raw_rows')}, {_FIELDS_SQL}, learned AS (SELECT file_id AS user_id, name, type, max(confidence) AS confidence, count(*) AS seen FROM analysed JOIN raw_rows USING (id) WHERE type <> 'unknown' GROUP BY 1, 2, 3 HAVING max(confidence) >= 0.5)
+ SELECT user_id, type AS target_field, arg_max(name, (confidence, seen, name)) AS source_column FROM learned GROUP BY 1, 2""")
+def learned_field_mappings(spark, sf_dir):
+    """The column that stands best for each meaning in each user's files, learned from all their rows."""
+    rows = _raw_rows(spark, sf_dir).withColumnRenamed("file_id", "user_id").transform(row_pipeline.with_core_fields, "row", date(2024, 1, 1))
+    return row_pipeline.best_mappings(row_pipeline.learned_mappings(rows, "user_id"), "user_id")
+
+
+@_query("mapped_rows", f"""WITH {ctes('raw_rows')}, {_FIELDS_SQL}, learned AS (SELECT file_id, name, type, max(confidence) AS confidence, count(*) AS seen FROM analysed JOIN raw_rows USING (id) WHERE type <> 'unknown' GROUP BY 1, 2, 3 HAVING max(confidence) >= 0.5),
+ best AS (SELECT file_id, type, arg_max(name, (confidence, seen, name)) AS name FROM learned GROUP BY 1, 2), named AS (SELECT h.id, coalesce(b.type, h.name) AS name, arg_min(coalesce(value, chr(0)), h.name) AS value FROM held h JOIN raw_rows r USING (id) LEFT JOIN best b ON b.file_id = r.file_id AND b.name = h.name GROUP BY 1, 2)
+ SELECT id, string_agg(name || '=' || replace(value, chr(0), ''), '|' ORDER BY name) AS mapped FROM named GROUP BY 1""")
+def mapped_rows(spark, sf_dir):
+    """Raw rows under the standard names that their users' files teach."""
+    rows = _raw_rows(spark, sf_dir)
+    learned = row_pipeline.best_mappings(row_pipeline.learned_mappings(rows.transform(row_pipeline.with_core_fields, "row", date(2024, 1, 1)), "file_id"), "file_id")
+    found = row_pipeline.mapped_fields(rows, "row", "file_id", learned, "id")
+    return found.select("id", F.array_join(F.transform(F.map_entries("mapped"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "|").alias("mapped"))

@@ -455,13 +455,6 @@ def orphan_events(spark, sf_dir):
     return relations.unlinked(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "doc_id")
 
 
-@_query("format_detection", "SELECT 'url' AS format, count(*) AS n FROM pages UNION ALL SELECT 'integer', count(*) FROM nation UNION ALL SELECT 'text', count(*) FROM nation")
-def format_detection(spark, sf_dir):
-    pages, nations = table(spark, sf_dir, "pages"), table(spark, sf_dir, "nation")
-    values = pages.select(F.col("url").alias("v")).unionByName(nations.select(F.col("n_nationkey").cast("string").alias("v"))).unionByName(nations.select(F.col("n_name").alias("v")))
-    return values.groupBy(classify.field_format(F.col("v")).alias("format")).agg(F.count("*").alias("n"))
-
-
 @_query("pii_regex_documents", r"""SELECT kind, count(*) AS n FROM (SELECT 'email' AS kind, text, '[\w.+-]+@[\w-]+\.[\w.-]+' AS p FROM documents UNION ALL SELECT 'ip', text, '\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b' FROM documents UNION ALL SELECT 'phone', text, '\+1 \(\d{3}\) \d{3}-\d{4}' FROM documents UNION ALL SELECT 'card', text, '\b\d{16}\b' FROM documents) WHERE regexp_matches(text, p) GROUP BY 1""")
 def pii_regex_documents(spark, sf_dir):
     kinds = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), k) for k, p in classify.PII_PATTERNS)))
@@ -541,14 +534,6 @@ def platform_relation_counts(spark, sf_dir):
     return _links(spark, sf_dir).groupBy("platform_relation", "is_causal").agg(F.count("*").alias("n"), F.sum("days_between").alias("days"))
 
 
-@_query("field_meanings", """SELECT CASE WHEN regexp_matches(c,'amount|total|price|value|balance|cost') THEN 'amount' WHEN regexp_matches(c,'date|time|ts$|created|updated') THEN 'date' WHEN regexp_matches(c,'(^|_)(id|key)$|number') THEN 'identifier' WHEN regexp_matches(c,'status|state') THEN 'status' ELSE 'unknown' END AS meaning, CAST(count(*) AS INTEGER) AS n_columns
- FROM (SELECT column_name AS c FROM (DESCRIBE SELECT * FROM orders) UNION ALL SELECT column_name FROM (DESCRIBE SELECT * FROM lineitem)) GROUP BY 1""")
-def field_meanings(spark, sf_dir):
-    names = [c for t in ("orders", "lineitem") for c in table(spark, sf_dir, t).columns]
-    listed = spark.createDataFrame([(n,) for n in names], "name string")
-    return listed.groupBy(classify.field_meaning(F.col("name")).alias("meaning")).agg(F.count("*").cast("int").alias("n_columns"))
-
-
 # These names now stand for the queries over every event and edge.
 for _name, _whole in {"causal_chain": "all_causal_chains", "root_causes": "all_root_causes", "counterfactual_amount": "all_counterfactual_amounts", "shortest_path": "all_shortest_paths", "mapping_upsert": "all_mapping_upsert"}.items():
     QUERIES[_name] = QUERIES[_whole]

@@ -73,6 +73,11 @@ VIEWS = {
     "predicted_rows": """SELECT relationship_id + 2000000 AS id, user_id, source_event_id, CASE relationship_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'fulfilled' ELSE 'expired' END AS status, CAST(0.25 AS DOUBLE) AS confidence_score, 'due' AS prediction_reasoning FROM {relationships} WHERE relationship_id % 5 < 2
       UNION ALL SELECT relationship_id + 3000000, user_id, source_event_id, 'pending', CAST(0.75 AS DOUBLE), 'late' FROM {relationships} WHERE relationship_id % 10 = 0""",
     "cause_rows": """SELECT relationship_id + 4000000 AS id, user_id, source_event_id AS problem_event_id, concat('cause of ', CAST(relationship_id AS STRING)) AS root_cause_description FROM {relationships} WHERE relationship_id % 9 = 0""",
+    # rows of three kinds of files as JSON objects
+    "raw_rows": """SELECT o_orderkey AS id, o_custkey % 50 AS file_id, CASE o_orderkey % 3
+      WHEN 0 THEN concat('{"Invoice Date":"', CAST(CAST(o_orderdate AS DATE) AS STRING), '","Total Amount":"$', CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING), '","Vendor Name":" Customer ', CAST(o_custkey AS STRING), ' Inc.","Currency":"eur","Notes":"', o_orderpriority, '"}')
+      WHEN 1 THEN concat('{"price":"', CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING), '","supplier":"Customer ', CAST(o_custkey AS STRING), '","ccy":"GBP","when":"', CAST(CAST(o_orderdate AS DATE) AS STRING), 'T10:00:00","memo":"","contact":"a', CAST(o_custkey AS STRING), '@mail.com","site":null}')
+      ELSE concat('{"status":"', o_orderstatus, '","value":"-', CAST(o_custkey AS STRING), '","key":"K', CAST(o_orderkey AS STRING), '"}') END AS row_text FROM {orders}""",
     "decisions": """SELECT p_partkey AS file_id, CAST(p_size AS BIGINT) AS user_id, p_name AS file_hash, CASE p_partkey % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'skip' ELSE 'delta_merge' END AS decision FROM {part}""",
 }
 
