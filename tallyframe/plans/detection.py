@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, edits, fields
 from ..functions.catalogs import DOCUMENT_TYPES, PLATFORMS, Label
-from ..operators import entities, keywords, lsh_index, row_pipeline
+from ..operators import entities, keywords, lsh_index, platform_ids, row_pipeline
 from ..operators.lineage_cut import own_folder
 from ..sources.adapters import RELATIONSHIPS_SQL, ledger_events, relationships, table
 from ..sources.records import ctes, view
@@ -320,3 +320,23 @@ def mapped_rows(spark, sf_dir):
     learned = row_pipeline.best_mappings(row_pipeline.learned_mappings(rows.transform(row_pipeline.with_core_fields, "row", date(2024, 1, 1)), "file_id"), "file_id")
     found = row_pipeline.mapped_fields(rows, "row", "file_id", learned, "id")
     return found.select("id", F.array_join(F.transform(F.map_entries("mapped"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "|").alias("mapped"))
+
+
+# Written from what the rows hold; made-up ids are compared by their platform only.
+@_query("platform_ids_of_rows", """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'charge_id=abc' || o_orderkey WHEN 1 THEN 'invoice_id=' || (o_orderkey + 1000) WHEN 2 THEN 'invoice_id=2024' WHEN 3 THEN 'employee_id=77a' || o_orderkey || ',timesheet_id=9zz'
+  WHEN 4 THEN 'platform_generated_id=razorpay' ELSE '' END AS ids, CAST([0.9, 0.7, 0.9, 0.6, 0.1, 0.0][o_orderkey % 6 + 1] AS DOUBLE) AS confidence FROM orders""")
+def platform_ids_of_rows(spark, sf_dir):
+    """The identifiers of each row's platform."""
+    rows = view(spark, sf_dir, "id_rows").withColumn("row", F.from_json("row_text", "map<string,string>"))
+    found = platform_ids.with_platform_ids(rows, "row", "platform")
+    shown = F.transform(F.map_entries("platform_ids.ids"), lambda e: F.concat(e["key"], F.lit("="), F.when(e["key"] == "platform_generated_id", F.split_part(e["value"]["id"], F.lit("_"), F.lit(1))).otherwise(e["value"]["id"])))
+    return found.select("id", F.array_join(F.array_sort(shown), ",").alias("ids"), F.round("platform_ids.confidence", 9).alias("confidence"))
+
+
+@_query("checked_platform_ids", r"""SELECT o_orderkey AS id, o_orderkey % 3 = 0 AND o_orderkey < 100000000 OR o_orderkey % 3 = 1 AS is_valid, CASE o_orderkey % 3 WHEN 1 THEN 'ID contains test/sample indicators' ELSE '' END AS warnings, CASE o_orderkey % 3 WHEN 1 THEN CAST(0.5 AS DOUBLE) END AS confidence FROM orders""")
+def checked_platform_ids(spark, sf_dir):
+    """Whether identifiers fit their platform, and which hold words of trial data: each distinct one is checked once."""
+    key = F.col("o_orderkey").cast("string")
+    made = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("TXN-"), key)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("pay_test"), F.lpad(key, 10, "0"))).otherwise(F.concat(F.lit("order-"), key))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), made.alias("value"), F.when(F.col("o_orderkey") % 3 == 0, "quickbooks").otherwise("razorpay").alias("platform"))
+    return rows.select("id", platform_ids.checked_id(F.col("value"), F.col("platform")).alias("c")).select("id", "c.is_valid", F.array_join("c.warnings", ",").alias("warnings"), "c.confidence")

@@ -78,6 +78,10 @@ VIEWS = {
       WHEN 0 THEN concat('{"Invoice Date":"', CAST(CAST(o_orderdate AS DATE) AS STRING), '","Total Amount":"$', CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING), '","Vendor Name":" Customer ', CAST(o_custkey AS STRING), ' Inc.","Currency":"eur","Notes":"', o_orderpriority, '"}')
       WHEN 1 THEN concat('{"price":"', CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS STRING), '","supplier":"Customer ', CAST(o_custkey AS STRING), '","ccy":"GBP","when":"', CAST(CAST(o_orderdate AS DATE) AS STRING), 'T10:00:00","memo":"","contact":"a', CAST(o_custkey AS STRING), '@mail.com","site":null}')
       ELSE concat('{"status":"', o_orderstatus, '","value":"-', CAST(o_custkey AS STRING), '","key":"K', CAST(o_orderkey AS STRING), '"}') END AS row_text FROM {orders}""",
+    # rows that hold identifiers of platforms, in columns, in words or not at all
+    "id_rows": """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'Stripe' WHEN 1 THEN 'quickbooks' WHEN 2 THEN 'xero' WHEN 3 THEN 'gusto' WHEN 4 THEN 'razorpay' ELSE 'paypal' END AS platform,
+      CASE o_orderkey % 6 WHEN 0 THEN concat('{"reference":"ch_abc', CAST(o_orderkey AS STRING), '","memo":"x"}') WHEN 1 THEN concat('{"Invoice No":" inv-00', CAST(o_orderkey + 1000 AS STRING), '","note":"Vendor #', CAST(o_orderkey + 500 AS STRING), '"}')
+      WHEN 2 THEN '{"id":"INV-2024-000123"}' WHEN 3 THEN concat('{"text":"paid emp_77a', CAST(o_orderkey AS STRING), ' to ts_9zz","amount":"5"}') ELSE '{"memo":"none here"}' END AS row_text FROM {orders}""",
     "decisions": """SELECT p_partkey AS file_id, CAST(p_size AS BIGINT) AS user_id, p_name AS file_hash, CASE p_partkey % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'skip' ELSE 'delta_merge' END AS decision FROM {part}""",
 }
 
