@@ -60,19 +60,21 @@ def meaning_of(name: Column) -> Column:
     return out
 
 
-def analysed_field(name: Column, value: Column) -> Column:
-    """struct(name, type, confidence, format, category, pattern) of one field; type unknown if its name tells nothing."""
-    form, meaning = format_of(value), meaning_of(name)
-    confidence = F.least(F.lit(1.0), F.coalesce(form["confidence"], F.lit(0.0)) + F.coalesce(meaning["confidence"], F.lit(0.0)))
-    return F.struct(
-        name.alias("name"), F.coalesce(meaning["type"], F.lit("unknown")).alias("type"), confidence.alias("confidence"), form["format"].alias("format"), meaning["category"].alias("category"), meaning["pattern"].alias("pattern")
-    )
-
-
 def detected_fields(row: Column) -> Column:
-    """array of analysed fields of a map of names to values, in its order; fields without a value are left out."""
+    """array of struct(name, type, confidence, format, category, pattern) of the fields of a map of names to values, in its order.
+
+    Fields without a value are left out; the type is unknown if a name tells
+    nothing. Each field's patterns are tried once, before the parts are taken.
+    """
     held = F.filter(F.coalesce(F.map_entries(row), F.array().cast("array<struct<key:string,value:string>>")), lambda e: e["value"].isNotNull())
-    return F.transform(held, lambda e: analysed_field(e["key"], e["value"]))
+    tried = F.transform(held, lambda e: F.struct(e["key"].alias("name"), format_of(e["value"]).alias("form"), meaning_of(e["key"]).alias("meaning")))
+
+    def told(x: Column) -> Column:
+        confidence = F.least(F.lit(1.0), F.coalesce(x["form"]["confidence"], F.lit(0.0)) + F.coalesce(x["meaning"]["confidence"], F.lit(0.0)))
+        kind = F.coalesce(x["meaning"]["type"], F.lit("unknown"))
+        return F.struct(x["name"].alias("name"), kind.alias("type"), confidence.alias("confidence"), x["form"]["format"].alias("format"), x["meaning"]["category"].alias("category"), x["meaning"]["pattern"].alias("pattern"))
+
+    return F.transform(tried, told)
 
 
 def mean_confidence(fields: Column) -> Column:

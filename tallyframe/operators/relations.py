@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage_cut import cut
+from .lineage_cut import cut, written
 
 
 def _top(pairs: DataFrame, key: str, limit: int) -> DataFrame:
@@ -34,30 +34,65 @@ def cross_document_links(ledger: DataFrame, source: str, target: str, amount_wit
     return _top(pairs.select("user_id", "source_event_id", "target_event_id", F.round(confidence, 2).alias("confidence"), same_vendor.alias("entity_match"), amount_gap.cast("double").alias("amount_gap"), F.round(gap, 6).alias("day_gap")), "user_id", limit)
 
 
+def _first(rows: DataFrame, key: list[str], n: int) -> DataFrame:
+    """The n rows of each key with the smallest event_id."""
+    ordered = Window.partitionBy(*key).orderBy("event_id")
+    return rows.withColumn("__n", F.row_number().over(ordered)).where(F.col("__n") <= n).drop("__n")
+
+
+def _leading(sources: DataFrame, key: list[str], enough: int) -> DataFrame:
+    """Of each key's events, in order, those up to the one with which their `partners` come to `enough`; such without partners are left out."""
+    few = _first(sources.where("partners >= 1"), key, enough)
+    before = F.sum("partners").over(Window.partitionBy(*key).orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1))
+    return few.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < enough).drop("__before")
+
+
 def within_file_links(ledger: DataFrame, limit: int = 1000) -> DataFrame:
     """Per file, the `limit` best ordered pairs of one user: revenue with expense .7, else the same vendor .8, else amounts less than 1 apart .6, else other categories .5.
 
-    All pairs between two groups of one file, vendor and category have the same
-    confidence, but for near amounts. So only the first limit + 1 events of each
-    group can be among the best pairs, and near amounts are joined by bands: no
-    file is compared with itself as a whole.
+    Pairs of one confidence are ordered by their ids. For each kind, how many
+    partners an event has is counted without forming pairs; then only the first
+    events whose partners come to the limit meet the first limit partners. The two
+    lower kinds are formed only in files where the upper ones do not fill the
+    limit, with room for the pairs that count as an upper kind. So a file forms
+    a few times `limit` pairs, however large it is.
     """
-    columns = ["user_id", "file_id", "event_id", "category", "vendor_standard", "amount_usd"]
-    first = Window.partitionBy("user_id", "file_id", "vendor_standard", "category").orderBy("event_id")
-    few = ledger.select(*columns).withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= limit + 1).drop("__n")
-    band = F.floor(F.col("amount_usd")).cast("bigint")
-    a, b = few.alias("a"), few.alias("b")
-    one, other = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    vendor, differ = F.coalesce(one("vendor_standard") == other("vendor_standard"), F.lit(False)), F.coalesce(one("category") != other("category"), F.lit(False))
-    near = F.coalesce(F.abs(one("amount_usd") - other("amount_usd")) < 1, F.lit(False))
-    confidence = F.when((one("category") == "revenue") & (other("category") == "expense"), 0.7).when(vendor, 0.8).when(near, 0.6).otherwise(0.5)
-    out = [one("file_id").alias("file_id"), one("event_id").alias("source_event_id"), other("event_id").alias("target_event_id"), confidence.alias("confidence")]
-    same_file = (one("user_id") == other("user_id")) & (one("file_id") == other("file_id")) & (one("event_id") != other("event_id"))
-    grouped = a.join(b, same_file & (differ | vendor)).select(*out)
-    whole = ledger.select(*columns, band.alias("band"))
-    a, b = whole.alias("a"), whole.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).alias("b")
-    by_amount = a.join(b, same_file & (one("band") == other("band")) & near).select(*out)
-    return _top(grouped.unionByName(by_amount).distinct(), "file_id", limit)
+    file, rest = ["user_id", "file_id"], ["category", "vendor_standard", "amount_usd"]
+    events = written(ledger.select(*file, "event_id", *rest).where("user_id IS NOT NULL AND file_id IS NOT NULL"), "events")
+    revenue, expense = F.coalesce(F.col("category") == "revenue", F.lit(False)), F.coalesce(F.col("category") == "expense", F.lit(False))
+    number = lambda c: F.sum(F.when(c, 1).otherwise(0))
+
+    def pairs(sources: DataFrame, targets: DataFrame, on: list[str], confidence: float, holds: Column) -> DataFrame:
+        theirs = targets.select(*on, F.col("event_id").alias("target_event_id"), *(F.col(c).alias(f"their_{c}") for c in rest))
+        met = sources.select(*file, F.col("event_id").alias("source_event_id"), *rest, *(c for c in on if c not in file + rest)).join(theirs, on)
+        return met.where((F.col("source_event_id") != F.col("target_event_id")) & holds).select("file_id", "source_event_id", "target_event_id", F.lit(confidence).alias("confidence"))
+
+    both = revenue & F.coalesce(F.col("their_category") == "expense", F.lit(False))
+    vendor = F.coalesce(F.col("vendor_standard") == F.col("their_vendor_standard"), F.lit(False))
+    near = F.coalesce(F.abs(F.col("amount_usd") - F.col("their_amount_usd")) < 1, F.lit(False))
+    differ = F.coalesce(F.col("category") != F.col("their_category"), F.lit(False))
+
+    files = events.groupBy(*file).agg(number(revenue).alias("revenues"), number(expense).alias("expenses"), F.count("category").alias("categorised"))
+    vendors = events.where("vendor_standard IS NOT NULL").groupBy(*file, "vendor_standard").agg(F.count("*").alias("n"), number(revenue).alias("r"), number(expense).alias("e"))
+    flows = pairs(_leading(events.where(revenue).join(files, file).withColumn("partners", F.col("expenses")), file, limit), _first(events.where(expense), file, limit), file, 0.7, F.lit(True))
+    peers = events.join(vendors, [*file, "vendor_standard"]).withColumn("partners", F.col("n") - 1 - F.when(revenue, F.col("e")).otherwise(0))
+    known = _first(events.where("vendor_standard IS NOT NULL").withColumn("__spends", expense), [*file, "vendor_standard", "__spends"], limit + 1)
+    alike = pairs(_leading(peers, file, limit), known, [*file, "vendor_standard"], 0.8, ~both)
+
+    upper = vendors.groupBy(*file).agg(F.sum(F.col("n") * (F.col("n") - 1) - F.col("r") * F.col("e")).alias("alike"))
+    open_files = files.join(upper, file, "left").where(F.col("revenues") * F.col("expenses") + F.coalesce("alike", F.lit(0)) < limit).select(*file, "categorised")
+    left = events.join(open_files, file).withColumn("band", F.floor("amount_usd").cast("bigint"))
+    # events of one band are near each other, so their number is a lower bound
+    banded = left.where("band IS NOT NULL").groupBy(*file, "band").agg((F.count("*") - 1).alias("partners"))
+    led = _leading(left.join(banded, [*file, "band"]), file, 2 * limit).groupBy(*file).agg(F.max("event_id").alias("last"), F.sum("partners").alias("got"))
+    until = led.where(F.col("got") >= 2 * limit).select(*file, "last")
+    sources = left.join(until, file, "left").where(F.col("last").isNull() | (F.col("event_id") <= F.col("last")))
+    around = left.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    close = pairs(sources, around, [*file, "band"], 0.6, near & ~vendor & ~both)
+    own = left.where("category IS NOT NULL").groupBy(*file, "category").agg(F.count("*").alias("mine"))
+    others = left.join(own, [*file, "category"]).withColumn("partners", F.col("categorised") - F.col("mine"))
+    apart = pairs(_leading(others, file, 3 * limit), _first(left.where("category IS NOT NULL"), [*file, "category"], 3 * limit), file, 0.5, differ & ~near & ~vendor & ~both)
+    return _top(flows.unionByName(alike).unionByName(close).unionByName(apart), "file_id", limit)
 
 
 def enriched(relationships: DataFrame, ledger: DataFrame) -> DataFrame:
