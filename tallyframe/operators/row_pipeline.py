@@ -39,7 +39,7 @@ def with_core_fields(rows: DataFrame, row: str, today: date | None = None, least
     day = F.lit(today) if today else F.current_date()
     counted = F.size(F.filter("__kept", lambda f: f["type"].rlike("amount|vendor|date|description|currency")))
     core = F.struct(
-        F.coalesce(cleaning.parse_amount(value("amount")), F.lit(0.0)).alias("amount"),
+        (F.coalesce(cleaning.parse_amount(value("amount")), F.lit(0.0)) + 0.0).alias("amount"),  # no negative zero
         F.coalesce(F.trim(value("vendor")), F.lit("")).alias("vendor_name"),
         cleaning.parse_date(F.trim(value("date")), DATE_FORMS, day).alias("date"),
         F.coalesce(F.trim(value("description")), F.lit("")).alias("description"),

@@ -295,7 +295,7 @@ def enriched_rows(spark, sf_dir):
     )
 
 
-@_query("event_records", f"""WITH e AS ({_ENRICHED_SQL}) SELECT id, file_id AS file, amount AS amount_original, currency, amount_usd, sha256(file_id || '||' || id || '||' || array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(row_text), '[\s,;]+'), lambda x: length(x) > 1))), ' ')) AS hash, issues <> '' AS requires_review
+@_query("event_records", f"""WITH e AS ({_ENRICHED_SQL}) SELECT id, file_id AS file, amount AS amount_original, currency, amount_usd, sha256(file_id || '||' || id || '||' || array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(row_text), '[\\s,;]+'), lambda x: length(x) > 1))), ' ')) AS hash, issues <> '' AS requires_review
  FROM e JOIN (WITH {ctes("raw_rows")} FROM raw_rows) USING (id)""")
 def event_records(spark, sf_dir):
     """The events that raw rows become, with where they come from and a hash of the whole row."""
