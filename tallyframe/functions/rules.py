@@ -5,11 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Spellings of business logic and of entity kinds.
-BUSINESS_LOGIC = {"invoice_payment": "invoice_payment", "inv_payment": "invoice_payment", "revenue": "revenue_recognition", "expense": "expense_reimbursement", "payroll": "payroll_processing", "refund": "refund_flow"}
-ENTITY_KINDS = {"employees": "employee", "staff": "employee", "vendors": "vendor", "supplier": "vendor", "customers": "customer", "client": "customer", "projects": "project"}
-# Words that speak for a platform or a document type.
-PLATFORM_WORDS = {"stripe": ["stripe", "ch_", "pi_"], "quickbooks": ["quickbooks", "intuit", "qb_"], "razorpay": ["razorpay", "rzp"], "machinery": ["machinery"], "building": ["building"]}
+# Kinds of business logic, other words for them in the order in which their beginnings are tried, and words for kinds of entities.
+BUSINESS_LOGIC = ["standard_payment_flow", "revenue_recognition", "expense_reimbursement", "payroll_processing", "tax_withholding", "asset_depreciation", "loan_repayment", "refund_processing", "recurring_billing", "unknown"]
+BUSINESS_LOGIC_ALIASES = {
+    "invoice_payment": "standard_payment_flow",
+    "vendor_payment": "standard_payment_flow",
+    "vendor_payments": "standard_payment_flow",
+    "payment_workflow": "standard_payment_flow",
+    "cash_outflow": "standard_payment_flow",
+    "cash_inflow": "revenue_recognition",
+    "revenue_collection": "revenue_recognition",
+    "recurring_revenue": "recurring_billing",
+    "subscription_billing": "recurring_billing",
+    "refunds": "refund_processing",
+    "loan_payments": "loan_repayment",
+    "asset_management": "asset_depreciation",
+    "depreciation_schedule": "asset_depreciation",
+    "payroll": "payroll_processing",
+    "tax_payments": "tax_withholding",
+    "expense_management": "expense_reimbursement",
+    "predictable_pattern": "recurring_billing",
+    "historical_pattern": "recurring_billing",
+    "pattern_based": "recurring_billing",
+}
+ENTITY_KINDS = {
+    "employees": "employee", "vendors": "vendor", "customers": "customer", "projects": "project", "contacts": "contact",
+    "employee": "employee", "vendor": "vendor", "customer": "customer", "project": "project", "contact": "contact",
+    "supplier": "vendor", "suppliers": "vendor", "client": "customer", "clients": "customer", "person": "contact", "people": "contact",
+}
 ID_PATTERNS = {"invoice": r"(?i)\bINV[-_]?(\d+)", "order": r"(?i)\b(?:PO|ORD)[-_]?(\d+)", "customer": r"(?i)\bCustomer#(\d+)"}
 # Currencies that amounts may have.
 CURRENCIES = ["USD", "EUR", "GBP", "INR", "JPY", "CNY", "AUD", "CAD", "CHF", "SEK", "NZD"]
@@ -20,15 +43,15 @@ def _lookup(table: dict[str, str]) -> Column:
 
 
 def business_logic(value: Column) -> Column:
-    """Exact alias, then the first alias that the value begins with, else unknown; null is the standard flow."""
-    v = F.lower(F.trim(value))
-    prefix = F.coalesce(*(F.when(v.startswith(k), name) for k, name in BUSINESS_LOGIC.items()), F.lit("unknown"))
-    return F.when(value.isNull(), "standard_payment_flow").otherwise(F.coalesce(_lookup(BUSINESS_LOGIC)[v], prefix))
+    """One of BUSINESS_LOGIC: the value itself, what it is another word for, or what it begins with; unknown else. Null and empty values are the standard flow."""
+    v = F.replace(F.lower(F.trim(value)), F.lit(" "), F.lit("_"))
+    begins = F.coalesce(*(F.when(v.startswith(k), name) for k, name in BUSINESS_LOGIC_ALIASES.items()), F.lit("unknown"))
+    return F.when(value.isNull() | (value == ""), "standard_payment_flow").when(v.isin(BUSINESS_LOGIC), v).otherwise(F.coalesce(_lookup(BUSINESS_LOGIC_ALIASES)[v], begins))
 
 
 def entity_kind(value: Column) -> Column:
-    v = F.lower(F.trim(value))
-    return F.coalesce(_lookup(ENTITY_KINDS)[v], F.when(v.isin("employee", "vendor", "customer", "project"), v), F.lit("contact"))
+    """employee, vendor, customer or project by the word for it, whatever its case; contact for all else."""
+    return F.coalesce(_lookup(ENTITY_KINDS)[F.lower(value)], F.lit("contact"))
 
 
 def checked_payload(amount: Column, currency: Column, confidence: Column) -> Column:
@@ -38,13 +61,6 @@ def checked_payload(amount: Column, currency: Column, confidence: Column) -> Col
     )
 
 
-def platform_scores(text: Column) -> Column:
-    """array of struct(platform, hits) of every platform with a hit; overlapping words each count."""
-    t = F.lower(text)
-    hits = lambda words: sum(((F.length(t) - F.length(F.replace(t, F.lit(w), F.lit("")))) / len(w) for w in words), F.lit(0.0))
-    return F.filter(F.array(*(F.struct(F.lit(p).alias("platform"), hits(ws).cast("int").alias("hits")) for p, ws in PLATFORM_WORDS.items())), lambda s: s["hits"] > 0)
-
-
 def found_ids(text: Column) -> Column:
     """Sorted kind:number strings of all identifiers in a text."""
 

@@ -340,3 +340,11 @@ def checked_platform_ids(spark, sf_dir):
     made = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("TXN-"), key)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("pay_test"), F.lpad(key, 10, "0"))).otherwise(F.concat(F.lit("order-"), key))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), made.alias("value"), F.when(F.col("o_orderkey") % 3 == 0, "quickbooks").otherwise("razorpay").alias("platform"))
     return rows.select("id", platform_ids.checked_id(F.col("value"), F.col("platform")).alias("c")).select("id", "c.is_valid", F.array_join("c.warnings", ",").alias("warnings"), "c.confidence")
+
+
+@_query("platform_hits", f"WITH {ctes('payloads')}, {_catalog_sql(PLATFORMS)}, texts AS (SELECT id AS key, lower(memo) AS t FROM payloads), {_COUNTED} SELECT label AS platform, count(DISTINCT key) AS rows, CAST(sum(n) AS BIGINT) AS n FROM hits GROUP BY 1")
+def platform_hits(spark, sf_dir):
+    """Rows and hits of each platform's words in all payloads."""
+    found = view(spark, sf_dir, "payloads").select("id", keywords.keyword_hits(F.col("memo"), _pairs(PLATFORMS)).alias("hits"))
+    each = found.select(F.explode(keywords.label_hits(F.col("hits"))).alias("h")).select("h.*")
+    return each.groupBy(F.col("label").alias("platform")).agg(F.count("*").alias("rows"), F.sum("hits").alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, rules, similarity
 from ..operators import communities, search
 from ..sources.adapters import LEDGER_SQL, RELATIONSHIPS_SQL, entity_edges, ledger_events, relationships, table
+from ..sources.records import view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,16 +28,15 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-@_query("business_logic_aliases", f"""{LEDGER} SELECT event_id, CASE WHEN category='revenue' THEN 'revenue_recognition' WHEN category='expense' THEN 'expense_reimbursement' ELSE 'unknown' END AS logic FROM ledger_events""")
+@_query("business_logic_aliases", """SELECT o_orderkey AS id, ['payroll_processing', 'payroll_processing', 'loan_repayment', 'refund_processing', 'tax_withholding', 'standard_payment_flow', 'standard_payment_flow', 'unknown', 'unknown',
+ 'standard_payment_flow', 'standard_payment_flow', 'recurring_billing', 'unknown', 'asset_depreciation'][o_orderkey % 14 + 1] AS logic FROM orders""")
 def business_logic_aliases(spark, sf_dir):
-    return ledger_events(spark, sf_dir).select("event_id", rules.business_logic(F.concat(F.lit(" "), F.upper("category"))).alias("logic"))
+    return view(spark, sf_dir, "spoken").select("id", rules.business_logic(F.col("logic")).alias("logic"))
 
 
-@_query("entity_kinds", "SELECT 'customer' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'vendor', count(*) FROM supplier UNION ALL SELECT 'contact', count(*) FROM nation")
+@_query("entity_kinds", "SELECT o_orderkey AS id, ['vendor', 'vendor', 'customer', 'contact', 'project', 'contact', 'contact', 'employee', 'contact'][o_orderkey % 9 + 1] AS kind FROM orders")
 def entity_kinds(spark, sf_dir):
-    words = [("customer", "Client"), ("supplier", " vendors"), ("nation", "nation")]
-    all_rows = [table(spark, sf_dir, t).select(F.lit(w).alias("w")) for t, w in words]
-    return all_rows[0].unionByName(all_rows[1]).unionByName(all_rows[2]).groupBy(rules.entity_kind(F.col("w")).alias("kind")).agg(F.count("*").alias("n"))
+    return view(spark, sf_dir, "spoken").select("id", rules.entity_kind(F.col("kind")).alias("kind"))
 
 
 @_query("payload_validation", """SELECT o_orderkey, abs(o_totalprice*1000) <= 100000000 AS amount_ok, CASE WHEN o_orderstatus='F' THEN 'EUR' ELSE 'USD' END AS currency, CASE WHEN o_orderkey % 3 = 2 THEN 0.5 ELSE CAST(o_orderkey % 3 AS DOUBLE) END AS confidence FROM orders""")
@@ -46,12 +46,6 @@ def payload_validation(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", checked.alias("x")).select("o_orderkey", "x.*")
 
 
-@_query("platform_hits", f"""{LEDGER} SELECT lower(source_platform) AS platform, count(*) AS n FROM ledger_events WHERE source_platform IN ('MACHINERY','BUILDING') GROUP BY 1""")
-def platform_hits(spark, sf_dir):
-    hits = ledger_events(spark, sf_dir).select(F.explode(rules.platform_scores(F.col("source_platform"))).alias("h"))
-    return hits.groupBy("h.platform").agg(F.sum("h.hits").alias("n"))
-
-
 @_query("extracted_ids", f"""{LEDGER} SELECT event_id, 'customer:' || lpad(CAST(file_id AS VARCHAR), 9, '0') || ',invoice:' || event_id AS ids FROM ledger_events""")
 def extracted_ids(spark, sf_dir):
     text = F.concat_ws(" ", "vendor_standard", F.concat(F.lit("inv-"), F.col("event_id").cast("string")))

@@ -132,20 +132,6 @@ def embedding_top_k(spark, sf_dir):
     return search.nearest_to(vectors, vectors.orderBy("vec_id").limit(1), 20)
 
 
-@_query("mapping_upsert", """SELECT coalesce(a.user_id,b.user_id) AS user_id, coalesce(a.source,b.source) AS source, coalesce(a.target,b.target) AS target,
- round(CASE WHEN a.usage IS NOT NULL AND b.usage IS NOT NULL THEN (a.confidence+b.confidence)/2 ELSE coalesce(a.confidence,b.confidence) END,6) AS confidence, coalesce(a.usage,0)+coalesce(b.usage,0) AS usage
- FROM (SELECT user_id, event_type AS source, 'amount' AS target, round(sum(value),2) AS confidence, count(*) AS usage FROM events WHERE event_id % 3 = 0 GROUP BY 1,2) a
- FULL JOIN (SELECT user_id, event_type AS source, 'amount' AS target, round(sum(value),2) AS confidence, count(*) AS usage FROM events WHERE event_id % 3 = 1 GROUP BY 1,2) b
- ON a.user_id IS NOT DISTINCT FROM b.user_id AND a.source IS NOT DISTINCT FROM b.source AND a.target IS NOT DISTINCT FROM b.target""")
-def mapping_upsert(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-
-    def seen(n):
-        return events.where(F.col("event_id") % 3 == n).groupBy("user_id", F.col("event_type").alias("source"), F.lit("amount").alias("target")).agg(F.round(F.sum("value"), 2).alias("confidence"), F.count("*").alias("usage"))
-
-    return search.merge_mappings(seen(0), seen(1)).withColumn("confidence", F.round("confidence", 6))
-
-
 _HALF = "SELECT user_id, event_type AS source, 'amount' AS target, round(sum(value),2) AS confidence, count(*) AS usage FROM events WHERE"
 #: Events before this moment are the held mappings, all others the seen ones.
 CUT = "2024-01-16"
@@ -337,38 +323,11 @@ def bradford_hill_scores(spark, sf_dir):
 
 
 _CHAIN = f"""{RELATED}, e AS (SELECT source_event_id AS src, target_event_id AS dst, confidence_score AS score FROM relationships WHERE confidence_score>=0.55),
- chain AS (SELECT event_id AS root, event_id AS node, 0 AS depth, 1.0::DOUBLE AS score FROM ledger_events WHERE event_id % 50 = 7 UNION ALL SELECT c.root, e.dst, c.depth+1, c.score*e.score FROM chain c JOIN e ON c.node=e.src WHERE c.depth<5)"""
-
-
-def _chains(spark, sf_dir):
-    ledger = ledger_events(spark, sf_dir)
-    edges = relationships(ledger).where("confidence_score >= 0.55").select(F.col("source_event_id").alias("src"), F.col("target_event_id").alias("dst"), F.col("confidence_score").alias("score"))
-    return ledger, relations.reach(edges, ledger.where("event_id % 50 = 7").select(F.col("event_id").alias("root")), 5)
-
+ chain AS (SELECT event_id AS root, event_id AS node, 0 AS depth, 1.0::DOUBLE AS score FROM ledger_events UNION ALL SELECT c.root, e.dst, c.depth+1, c.score*e.score FROM chain c JOIN e ON c.node=e.src WHERE c.depth<5)"""
 
-@_query("causal_chain", _CHAIN.replace("WITH", "WITH RECURSIVE", 1) + " SELECT root, node, depth, round(score,9) AS score FROM chain WHERE depth>0")
-def causal_chain(spark, sf_dir):
-    return _chains(spark, sf_dir)[1].withColumn("score", F.round("score", 9))
 
-
-@_query("root_causes", _CHAIN.replace("WITH", "WITH RECURSIVE", 1).replace("SELECT source_event_id AS src, target_event_id AS dst", "SELECT target_event_id AS src, source_event_id AS dst") + " SELECT root, node, depth, round(score,9) AS score FROM chain WHERE depth>0 AND node NOT IN (SELECT src FROM e)")
-def root_causes(spark, sf_dir):
-    ledger = ledger_events(spark, sf_dir)
-    edges = relationships(ledger).where("confidence_score >= 0.55").select(F.col("target_event_id").alias("src"), F.col("source_event_id").alias("dst"), F.col("confidence_score").alias("score"))
-    found = relations.reach(edges, ledger.where("event_id % 50 = 7").select(F.col("event_id").alias("root")), 5)
-    return relations.unlinked(found, edges, "node", "src").withColumn("score", F.round("score", 9))
-
-
-@_query("counterfactual_amount", _CHAIN.replace("WITH", "WITH RECURSIVE", 1) + " SELECT c.root, c.node, round(CAST(b.amount_usd AS DOUBLE)*((CAST(a.amount_usd AS DOUBLE)*1.1 - CAST(a.amount_usd AS DOUBLE))/nullif(CAST(a.amount_usd AS DOUBLE),0)),4) AS impact FROM chain c JOIN ledger_events a ON c.root=a.event_id JOIN ledger_events b ON c.node=b.event_id WHERE depth>0")
-def counterfactual_amount(spark, sf_dir):
-    ledger, found = _chains(spark, sf_dir)
-    amount = F.col("amount_usd").cast("double")
-    events = found.join(ledger.select(F.col("event_id").alias("root"), amount.alias("old_amount")), "root").join(ledger.select(F.col("event_id").alias("node"), amount.alias("amount")), "node")
-    return relations.counterfactual_impact(events, F.col("old_amount") * 1.1)
-
-
-#: The chains of every event; the three queries before start from a fiftieth of the events, as their SQL does.
-_ALL_CHAINS = _CHAIN.replace(" WHERE event_id % 50 = 7", "").replace("WITH", "WITH RECURSIVE", 1)
+#: The chains of every event.
+_ALL_CHAINS = _CHAIN.replace("WITH", "WITH RECURSIVE", 1)
 
 
 def _strong_links(ledger: DataFrame, src: str, dst: str) -> DataFrame:
@@ -440,11 +399,6 @@ def entity_pagerank(spark, sf_dir):
     return graph.pagerank(entity_edges(spark, sf_dir)).select("node", F.round("rank", 6).alias("rank"))
 
 
-@_query("shortest_path", f"""{EDGES.replace("WITH", "WITH RECURSIVE", 1)}, e AS (SELECT src, dst FROM entity_edges WHERE (src+dst) % 7 = 1), b AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT e.dst, b.hops+1 FROM b JOIN e ON b.node=e.src WHERE b.hops<5) SELECT node, min(hops) AS hops FROM b GROUP BY 1""")
-def shortest_path(spark, sf_dir):
-    return graph.shortest_paths(entity_edges(spark, sf_dir).where("(src + dst) % 7 = 1"), 0)
-
-
 @_query("all_shortest_paths", f"""{EDGES.replace("WITH", "WITH RECURSIVE", 1)}, b AS (SELECT 0::BIGINT AS node, 0 AS hops UNION SELECT e.dst, b.hops+1 FROM b JOIN entity_edges e ON b.node=e.src WHERE b.hops<5) SELECT node, min(hops) AS hops FROM b GROUP BY 1""")
 def all_shortest_paths(spark, sf_dir):
     return graph.shortest_paths(entity_edges(spark, sf_dir), 0)
@@ -534,9 +488,8 @@ def platform_relation_counts(spark, sf_dir):
     return _links(spark, sf_dir).groupBy("platform_relation", "is_causal").agg(F.count("*").alias("n"), F.sum("days_between").alias("days"))
 
 
-# These names now stand for the queries over every event and edge.
+# Second names of the queries over every event and edge.
 for _name, _whole in {"causal_chain": "all_causal_chains", "root_causes": "all_root_causes", "counterfactual_amount": "all_counterfactual_amounts", "shortest_path": "all_shortest_paths", "mapping_upsert": "all_mapping_upsert"}.items():
     QUERIES[_name] = QUERIES[_whole]
-    SQL.pop(_name, None)
     if _whole in SQL:
         SQL[_name] = SQL[_whole]

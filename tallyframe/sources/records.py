@@ -82,6 +82,9 @@ VIEWS = {
     "id_rows": """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'Stripe' WHEN 1 THEN 'quickbooks' WHEN 2 THEN 'xero' WHEN 3 THEN 'gusto' WHEN 4 THEN 'razorpay' ELSE 'paypal' END AS platform,
       CASE o_orderkey % 6 WHEN 0 THEN concat('{"reference":"ch_abc', CAST(o_orderkey AS STRING), '","memo":"x"}') WHEN 1 THEN concat('{"Invoice No":" inv-00', CAST(o_orderkey + 1000 AS STRING), '","note":"Vendor #', CAST(o_orderkey + 500 AS STRING), '"}')
       WHEN 2 THEN '{"id":"INV-2024-000123"}' WHEN 3 THEN concat('{"text":"paid emp_77a', CAST(o_orderkey AS STRING), ' to ts_9zz","amount":"5"}') ELSE '{"memo":"none here"}' END AS row_text FROM {orders}""",
+    "spoken": """SELECT o_orderkey AS id, CASE o_orderkey % 14 WHEN 0 THEN 'Payroll' WHEN 1 THEN 'payroll run' WHEN 2 THEN ' Loan Repayment ' WHEN 3 THEN 'refunds issued' WHEN 4 THEN 'Tax payments' WHEN 5 THEN NULL WHEN 6 THEN '' WHEN 7 THEN 'unknown' WHEN 8 THEN 'gift'
+      WHEN 9 THEN 'vendor payments' WHEN 10 THEN 'INVOICE_PAYMENT for x' WHEN 11 THEN 'pattern based forecast' WHEN 12 THEN '  ' ELSE 'Asset_Management' END AS logic,
+      CASE o_orderkey % 9 WHEN 0 THEN 'Vendors' WHEN 1 THEN 'supplier' WHEN 2 THEN 'CLIENTS' WHEN 3 THEN 'people' WHEN 4 THEN 'project' WHEN 5 THEN 'staff' WHEN 6 THEN NULL WHEN 7 THEN 'Employee' ELSE ' vendor' END AS kind FROM {orders}""",
     "decisions": """SELECT p_partkey AS file_id, CAST(p_size AS BIGINT) AS user_id, p_name AS file_hash, CASE p_partkey % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'skip' ELSE 'delta_merge' END AS decision FROM {part}""",
 }
 
