@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, edits, fields
 from ..functions.catalogs import DOCUMENT_TYPES, PLATFORMS, Label
-from ..operators import entities, keywords, lsh_index, platform_ids, row_pipeline
-from ..operators.lineage_cut import own_folder
+from ..operators import entities, entity_store, keywords, lsh_index, platform_ids, row_pipeline
+from ..operators.lineage_cut import own_folder, written
 from ..sources.adapters import RELATIONSHIPS_SQL, ledger_events, relationships, table
 from ..sources.records import ctes, view
 
@@ -348,3 +348,49 @@ def platform_hits(spark, sf_dir):
     found = view(spark, sf_dir, "payloads").select("id", keywords.keyword_hits(F.col("memo"), _pairs(PLATFORMS)).alias("hits"))
     each = found.select(F.explode(keywords.label_hits(F.col("hits"))).alias("h")).select("h.*")
     return each.groupBy(F.col("label").alias("platform")).agg(F.count("*").alias("rows"), F.sum("hits").alias("n"))
+
+
+def _known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendors by the ends of their names, and every third clerk under an alias."""
+    return view(spark, sf_dir, "known_entities").withColumn("aliases", F.split("alias_list", ",")).drop("alias_list")
+
+
+def _named_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_store.event_names(view(spark, sf_dir, "records"), ["event_id", "user_id", "created_at"])
+
+
+_RESOLVED_SQL = f"""{ctes("records", "known_entities")}, names AS (SELECT event_id, user_id, created_at, 'vendor' AS entity_type, coalesce(vendor_standard, vendor_raw) AS name FROM records UNION ALL SELECT event_id, user_id, created_at, 'employee', employee FROM records),
+ known AS (SELECT user_id, entity_type, lower(canonical_name) AS key, entity_id, 0 AS how FROM known_entities UNION ALL SELECT user_id, entity_type, lower(unnest(string_split(alias_list, ','))), entity_id, 1 FROM known_entities),
+ best AS (SELECT user_id, entity_type, key, arg_min(entity_id, (how, entity_id)) AS entity_id, min(how) AS how FROM known GROUP BY 1, 2, 3),
+ resolved AS (SELECT event_id, n.user_id, n.entity_type, name, created_at, entity_id, CASE how WHEN 0 THEN 'exact_name' WHEN 1 THEN 'alias' ELSE 'new_entity' END AS match_method FROM names n LEFT JOIN best b ON n.user_id = b.user_id AND n.entity_type = b.entity_type AND lower(name) = key)"""
+
+
+@_query("resolved_event_entities", f"WITH {_RESOLVED_SQL} SELECT event_id, entity_type, name, entity_id, match_method FROM resolved")
+def resolved_event_entities(spark, sf_dir):
+    """Whom each event names, and which known entity that is."""
+    return entity_store.resolved(_named_events(spark, sf_dir), _known_entities(spark, sf_dir)).select("event_id", "entity_type", "name", "entity_id", "match_method")
+
+
+@_query("merged_entities", f"""WITH {_RESOLVED_SQL}, met AS (SELECT user_id, entity_type, entity_id, CASE WHEN entity_id IS NULL THEN lower(name) END AS new_key, min(name) AS name, list(DISTINCT lower(name)) AS met, count(*) AS n_events, max(created_at) AS met_at FROM resolved GROUP BY 1, 2, 3, 4),
+ whole AS (SELECT k.entity_id IS NOT NULL AS known, coalesce(k.user_id, m.user_id) AS user_id, coalesce(k.entity_type, m.entity_type) AS entity_type, coalesce(canonical_name, name) AS canonical_name, list_distinct(list_concat(coalesce(string_split(lower(alias_list), ','), []), coalesce(met, []))) AS names, greatest(last_seen, met_at) AS last_seen, coalesce(n_events, 0) AS n_events
+  FROM known_entities k FULL JOIN met m ON k.entity_id = m.entity_id)
+ SELECT known, user_id, entity_type, canonical_name, array_to_string(list_sort(list_filter(names, lambda n: n <> lower(canonical_name))), ',') AS aliases, last_seen, n_events FROM whole""")
+def merged_entities(spark, sf_dir):
+    """The entity table after all events: known entities with new aliases and dates, and those that no one knew."""
+    known = _known_entities(spark, sf_dir)
+    found = entity_store.merged(known, entity_store.resolved(_named_events(spark, sf_dir), known), "created_at")
+    mark = known.select("entity_id", F.lit(True).alias("known"))
+    return found.join(mark, "entity_id", "left").select(F.coalesce("known", F.lit(False)).alias("known"), "user_id", "entity_type", "canonical_name", F.array_join("aliases", ",").alias("aliases"), "last_seen", "n_events")
+
+
+@_query("entity_details", f"""WITH {_RESOLVED_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY created_at DESC, event_id DESC) AS k FROM resolved WHERE entity_id IS NOT NULL),
+ e AS (SELECT entity_id, count(*) AS n_events, string_agg(event_id, ',' ORDER BY k) FILTER (k <= 5) AS newest FROM ranked GROUP BY 1), m AS (SELECT entity_id, string_agg(match_method || ':' || n, ',' ORDER BY match_method) AS history FROM (SELECT entity_id, match_method, count(*) AS n FROM resolved WHERE entity_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+ SELECT k.entity_id, canonical_name, coalesce(n_events, 0) AS n_events, coalesce(newest, '') AS newest, coalesce(history, '') AS history FROM known_entities k LEFT JOIN e USING (entity_id) LEFT JOIN m USING (entity_id)""")
+def entity_details(spark, sf_dir):
+    """Each known entity with its five newest events and how it was matched."""
+    known = _known_entities(spark, sf_dir)
+    found = written(entity_store.resolved(_named_events(spark, sf_dir), known), "resolved")
+    told = entity_store.details(known, found, found.where("entity_id IS NOT NULL"), "created_at", newest=5)
+    newest = F.array_join(F.transform("events", lambda e: e["event_id"].cast("string")), ",")
+    history = F.array_join(F.transform("match_history", lambda h: F.concat(h["match_method"], F.lit(":"), h["n"].cast("string"))), ",")
+    return told.select("entity_id", "canonical_name", "n_events", F.coalesce(newest, F.lit("")).alias("newest"), F.coalesce(history, F.lit("")).alias("history"))

@@ -85,6 +85,10 @@ VIEWS = {
     "spoken": """SELECT o_orderkey AS id, CASE o_orderkey % 14 WHEN 0 THEN 'Payroll' WHEN 1 THEN 'payroll run' WHEN 2 THEN ' Loan Repayment ' WHEN 3 THEN 'refunds issued' WHEN 4 THEN 'Tax payments' WHEN 5 THEN NULL WHEN 6 THEN '' WHEN 7 THEN 'unknown' WHEN 8 THEN 'gift'
       WHEN 9 THEN 'vendor payments' WHEN 10 THEN 'INVOICE_PAYMENT for x' WHEN 11 THEN 'pattern based forecast' WHEN 12 THEN '  ' ELSE 'Asset_Management' END AS logic,
       CASE o_orderkey % 9 WHEN 0 THEN 'Vendors' WHEN 1 THEN 'supplier' WHEN 2 THEN 'CLIENTS' WHEN 3 THEN 'people' WHEN 4 THEN 'project' WHEN 5 THEN 'staff' WHEN 6 THEN NULL WHEN 7 THEN 'Employee' ELSE ' vendor' END AS kind FROM {orders}""",
+    # entities that are known before the events are read: vendors of two kinds of names, and clerks
+    "known_entities": """SELECT c_custkey AS entity_id, CAST(c_nationkey AS BIGINT) AS user_id, 'vendor' AS entity_type, CASE WHEN c_custkey % 3 = 0 THEN upper(c_name) ELSE concat('The ', c_name) END AS canonical_name,
+      CASE WHEN c_custkey % 3 = 1 THEN concat(c_name, ',', c_name, ' Inc.') ELSE 'nobody' END AS alias_list, CAST('1990-01-01' AS DATE) AS last_seen FROM {customer} WHERE c_custkey % 2 = 0
+      UNION ALL SELECT 10000000 + n_nationkey, CAST(n_nationkey AS BIGINT), 'employee', concat('clerk ', CAST(n_nationkey AS STRING)), 'Clerk 1,clerk 2', CAST('2030-01-01' AS DATE) FROM {nation} WHERE n_nationkey % 3 = 0""",
     "decisions": """SELECT p_partkey AS file_id, CAST(p_size AS BIGINT) AS user_id, p_name AS file_hash, CASE p_partkey % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'keep_both' WHEN 2 THEN 'skip' ELSE 'delta_merge' END AS decision FROM {part}""",
 }
 
