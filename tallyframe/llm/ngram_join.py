@@ -193,20 +193,26 @@ def rarity(sets: DataFrame) -> np.ndarray:
         for batch in batches:
             slots, n = np.unique((_flat(batch.column("grams"))[0] >> np.uint64(20)).astype(np.uint32) & np.uint32(SKETCH - 1), return_counts=True)
             seen[slots] += n.astype(np.uint32)
-        some = [i for i, r in enumerate(seen.reshape(rows, SKETCH_ROW)) if r.any()]
-        counts = [seen[i * SKETCH_ROW : (i + 1) * SKETCH_ROW].astype("<u4").tobytes() for i in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts, pa.binary())], names=["row", "counts"])
+        slots = np.flatnonzero(seen)
+        some = np.split(slots, np.flatnonzero(np.diff(slots // SKETCH_ROW)) + 1) if len(slots) else []
+        # a row that is mostly empty goes as its slots and their counts, others whole
+        few = [2 * len(own) < SKETCH_ROW for own in some]
+        places = [(own % SKETCH_ROW).astype("<u2").tobytes() if sparse else b"" for own, sparse in zip(some, few, strict=True)]
+        row = [int(own[0]) // SKETCH_ROW for own in some]
+        counts = [seen[own if sparse else slice(r * SKETCH_ROW, (r + 1) * SKETCH_ROW)].astype("<u4").tobytes() for r, own, sparse in zip(row, some, few, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], names=["row", "slots", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for row, counts in zip(batch.column("row").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                new = np.frombuffer(counts, "<u4").astype(np.int64)
-                total[row] = total[row] + new if row in total else new
+            for row, slots, counts in zip(*(batch.column(c).to_pylist() for c in ("row", "slots", "counts")), strict=True):
+                if row not in total:
+                    total[row] = np.zeros(SKETCH_ROW, np.int64)
+                total[row][np.frombuffer(slots, "<u2") if slots else slice(None)] += np.frombuffer(counts, "<u4")
         scaled = [np.minimum(255, np.round(8 * np.log2(1 + t))).astype(np.uint8).tobytes() for t in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array(scaled, pa.binary())], names=["row", "level"])
 
-    parts = sets.select("grams").transform(small_batches).mapInArrow(count, "row int, counts binary").repartition("row")
+    parts = sets.select("grams").transform(small_batches).mapInArrow(count, "row int, slots binary, counts binary").repartition("row")
     levels = {r["row"]: bytes(r["level"]) for r in parts.transform(small_batches).mapInArrow(add, "row int, level binary").collect()}
     return np.frombuffer(b"".join(levels.get(i, bytes(SKETCH_ROW)) for i in range(rows)), np.uint8)
 

@@ -269,3 +269,18 @@ def test_numbers_of_a_hot_group_and_of_equal_rows_are_dealt(spark):
     assert len(out) == 6000 and all(sorted(v) == [(i, len(v)) for i in range(len(v))] for v in found.values())
     sizes = [r["count"] for r in spark.read.parquet(tables.paths["x_sorted"]).groupBy(F.shiftright("__at", 33).alias("task")).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 2 * 6000 / 8
+
+
+def test_sketch_rows_that_are_nearly_empty_and_nearly_full(spark):
+    """Sparse and whole rows of the count sketch add up to the counts of all n-grams, over several tasks."""
+    import numpy as np
+
+    from tallyframe.llm import ngram_join
+
+    rng, shift = np.random.default_rng(3), np.uint64(20)
+    dense = [int(x) for x in (np.arange(ngram_join.SKETCH_ROW, dtype=np.uint64) << shift).repeat(2)]
+    thin = [int(x) for x in (rng.integers(ngram_join.SKETCH_ROW, ngram_join.SKETCH, 500).astype(np.uint64) << shift)]
+    lists = [dense[i::4] for i in range(4)] + [thin, thin[:100], dense, []]
+    level = ngram_join.rarity(spark.createDataFrame([(g,) for g in lists], "grams array<bigint>").repartition(5))
+    counts = np.bincount((np.array([g for x in lists for g in x], np.uint64) >> shift).astype(np.int64) % ngram_join.SKETCH, minlength=ngram_join.SKETCH)
+    assert (level == np.minimum(255, np.round(8 * np.log2(1 + counts))).astype(np.uint8)).all()
