@@ -114,13 +114,6 @@ _MODEL_SQL = rf"""profiles AS (SELECT label, unnest(regexp_extract_all(text, '[\
  raw AS (SELECT label, term, idf, tf * idf AS w FROM tf JOIN idf USING (term)), model AS (SELECT label, term, idf, w / sqrt(sum(w * w) OVER (PARTITION BY label)) AS weight FROM raw)"""
 
 
-@_query("document_model", f"WITH {_MODEL_SQL} SELECT label, term, round(idf, 9) AS idf, round(weight, 9) AS weight FROM model WHERE EXISTS (FROM orders)")
-def document_model_weights(spark, sf_dir):
-    """The fitted model, if there are rows to apply it to."""
-    some = table(spark, sf_dir, "orders").limit(1).select(F.lit(True).alias("some"))
-    return document_model(spark).join(some).select("label", "term", F.round("idf", 9).alias("idf"), F.round("weight", 9).alias("weight"))
-
-
 def _classified_sql(source: str) -> str:
     return rf"""{_catalog_sql(DOCUMENT_TYPES)}, texts AS ({source}), {_COUNTED}, n AS (SELECT key, label, sum(n) AS n FROM hits GROUP BY 1, 2), {_MODEL_SQL},
  t AS (SELECT key, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM texts), own AS (SELECT key, term, count(*) * any_value(idf) AS w FROM t JOIN idf USING (term) GROUP BY 1, 2),
