@@ -273,11 +273,18 @@ def duplicate_cascade(files: DataFrame, same_from: float = 0.85) -> DataFrame:
     least same_from, joined on the rarest tokens of each set only; content: the
     same content hash; else none. Earlier means a smaller file_id.
     """
+    from .lineage_cut import written
+
     def earliest(key: str, phase: str) -> DataFrame:
         first = files.where(F.col(key).isNotNull()).groupBy("user_id", key).agg(F.min("file_id").alias("original"))
         return files.join(first, ["user_id", key]).where("original < file_id").select("file_id", F.lit(phase).alias("duplicate_type"), "original", F.lit(1.0).alias("similarity"))
 
-    tokens = files.select("user_id", "file_id", F.explode("tokens").alias("token"))
+    # files of one token set are alike to the same others, of which the earliest counts: only the first file of each set is compared
+    held = files.select("user_id", "file_id", F.array_sort(F.array_distinct("tokens")).alias("tokens")).where(F.size(F.array_compact("tokens")) > 0)
+    sets = written(held.groupBy("user_id", "tokens").agg(F.min("file_id").alias("first")), "sets")
+    same = held.join(sets, ["user_id", "tokens"]).where("first < file_id").select("file_id", F.lit("near").alias("duplicate_type"), F.col("first").alias("original"), F.lit(1.0).alias("similarity"))
+    whole = sets.select("user_id", F.col("first").alias("file_id"), "tokens")
+    tokens = whole.select("user_id", "file_id", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("user_id", "token").agg(F.count("*").alias("n"))
     ranked = tokens.join(counts, ["user_id", "token"]).groupBy("user_id", "file_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
     size = F.size("t")
@@ -285,10 +292,10 @@ def duplicate_cascade(files: DataFrame, same_from: float = 0.85) -> DataFrame:
     a, b = prefix.alias("a"), prefix.alias("b")
     close = F.least("a.size", "b.size") >= same_from * F.greatest("a.size", "b.size")
     pairs = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.file_id") > F.col("b.file_id")) & close).select(F.col("a.file_id").alias("file_id"), F.col("b.file_id").alias("original")).distinct()
-    whole = files.select("file_id", "tokens")
     jaccard = F.size(F.array_intersect("tokens", "other")) / F.size(F.array_union("tokens", "other"))
-    near = pairs.join(whole, "file_id").join(whole.toDF("original", "other"), "original").withColumn("similarity", jaccard).where(F.col("similarity") >= same_from)
+    near = pairs.join(whole.select("file_id", "tokens"), "file_id").join(whole.select(F.col("file_id").alias("original"), F.col("tokens").alias("other")), "original").withColumn("similarity", jaccard).where(F.col("similarity") >= same_from)
     near = near.groupBy("file_id").agg(F.max_by("original", F.struct("similarity", -F.col("original"))).alias("original"), F.max("similarity").alias("similarity")).select("file_id", F.lit("near").alias("duplicate_type"), "original", "similarity")
+    near = near.unionByName(same)
     found = earliest("file_hash", "exact").unionByName(near).unionByName(earliest("content_hash", "content"))
     phase = F.when(F.col("duplicate_type") == "exact", 1).when(F.col("duplicate_type") == "near", 2).otherwise(3)
     best = found.groupBy("file_id").agg(F.min_by(F.struct("duplicate_type", "original", "similarity"), phase).alias("b"))
