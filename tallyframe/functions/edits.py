@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,16 +94,72 @@ def _windows(a: str, b: str) -> list[Pair]:
     return [(a, w) for w in dict.fromkeys(cuts)]
 
 
+#: Cells of the largest table of matches that is held at once.
+CELLS = 1 << 20
+
+
+def _points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all strings in one row, where each string starts, and its length. Nulls have length 0."""
+    plain = pc.fill_null(texts.cast(pa.large_string()), "")
+    size = pc.utf8_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    whole = "".join(plain.to_pylist()).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(whole, np.uint32), np.cumsum(size) - size, size
+
+
+def _best_stretch(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Best ratio of each row of a with the stretches of the same row of b that it can lie on; a is no wider than b and a word at most.
+
+    The characters of b that each of a's equal are one word; all stretches of one length go through it at once.
+    """
+    n, m = a.shape[1], b.shape[1]
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(k).bits >= n)
+    within = ~kind(0) >> kind(np.iinfo(kind).bits - n)
+    hits, back = np.zeros(b.shape, kind), np.zeros(b.shape, kind)
+    for i in range(n):
+        same = (b == a[:, i : i + 1]).astype(kind)
+        hits |= same << kind(i)
+        back |= same << kind(n - 1 - i)
+    back = back[:, ::-1]
+    common = lambda state: np.bitwise_count(~state & within)
+    state = np.full((len(a), m - n + 1), ~kind(0), kind)
+    for j in range(n):
+        same = state & hits[:, j : j + m - n + 1]
+        state = (state + same) | (state - same)
+    best = 200.0 * common(state).max(axis=1) / (2 * n)
+    for way in (hits, back):  # shorter stretches at the start, then at the end
+        state = np.full(len(a), ~kind(0), kind)
+        for j in range(n - 1):
+            same = state & way[:, j]
+            state = (state + same) | (state - same)
+            best = np.maximum(best, 200.0 * common(state) / (n + j + 1))
+    return best
+
+
+def partial_ratios_of(texts: pa.Array, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Partial ratios of pairs of strings of an array, given by their places in it."""
+    points, start, size = _points(texts)
+    left, right = np.where(size[left] <= size[right], left, right), np.where(size[left] <= size[right], right, left)
+    out = np.where(size[right] == 0, 100.0, 0.0)
+    short = np.flatnonzero((size[left] > 0) & (size[left] <= WORD))
+    by_sizes = short[np.lexsort((size[right[short]], size[left[short]]))]
+    cuts = np.flatnonzero(np.diff(size[left[by_sizes]]) | np.diff(size[right[by_sizes]])) + 1
+    for group in np.split(by_sizes, cuts) if len(by_sizes) else ():
+        n, m = int(size[left[group[0]]]), int(size[right[group[0]]])
+        step = max(1, CELLS // m)
+        for at in range(0, len(group), step):
+            some = group[at : at + step]
+            a, b = points[start[left[some]][:, None] + np.arange(n)], points[start[right[some]][:, None] + np.arange(m)]
+            out[some] = np.maximum(_best_stretch(a, b), _best_stretch(b, a)) if n == m else _best_stretch(a, b)
+    for i in np.flatnonzero(size[left] > WORD):
+        a, b = texts[int(left[i])].as_py(), texts[int(right[i])].as_py()
+        out[i] = ratios(_windows(a, b) + (_windows(b, a) if len(a) == len(b) else [])).max()
+    return out
+
+
 def partial_ratios(pairs: Sequence[Pair]) -> np.ndarray:
     """The best ratio of the shorter string with a stretch of the longer one; of equal lengths, either way."""
-    found, owner = [], []
-    for i, (a, b) in enumerate(pairs):
-        own = _windows(a, b) + (_windows(b, a) if len(a) == len(b) else [])
-        found += own
-        owner += [i] * len(own)
-    out = np.zeros(len(pairs))
-    np.maximum.at(out, np.array(owner, np.int64), ratios(found))
-    return out
+    n = len(pairs)
+    return partial_ratios_of(pa.array([a for a, _ in pairs] + [b for _, b in pairs], pa.string()), np.arange(n), np.arange(n, 2 * n))
 
 
 def token_set_ratios(pairs: Sequence[Pair]) -> np.ndarray:
@@ -146,20 +203,35 @@ def _column(measure: Callable[[Sequence[Pair]], np.ndarray]) -> Callable[[Column
 ratio, token_sort_ratio, partial_ratio, token_set_ratio = map(_column, (ratios, token_sort_ratios, partial_ratios, token_set_ratios))
 
 
+def nearest_ratio(text: Column, words: Sequence[str]) -> Column:
+    """The best partial ratio of a text with any of some fixed words; 0 for a null text."""
+
+    @F.arrow_udf("double")
+    def best(texts: pa.Array) -> pa.Array:
+        n, k = len(texts), len(words)
+        both = pa.concat_arrays([texts.cast(pa.string()), pa.array(words, pa.string())])
+        found = partial_ratios_of(both, np.repeat(np.arange(n), k), np.tile(np.arange(n, n + k), n)).reshape(n, k).max(axis=1)
+        return pa.array(np.where(texts.is_valid().to_numpy(zero_copy_only=False), found, 0.0))
+
+    return best(text.cast("string"))
+
 
 def id_score(ours: Column, theirs: Column) -> Column:
     """1 if two lists of identifiers share one, else the best partial ratio of any two, as 0 to 1; 0 if either list is empty or null."""
 
     @F.arrow_udf("double")
     def best(x: pa.Array, y: pa.Array) -> pa.Array:
-        found, owner, out = [], [], np.zeros(len(x))
-        for i, (a, b) in enumerate(zip(x.to_pylist(), y.to_pylist(), strict=True)):
-            own = [(p, q) for p in a or () for q in b or () if p and q]
-            found += own
-            owner += [i] * len(own)
-        distinct = {p: i for i, p in enumerate(dict.fromkeys(found))}
-        values = partial_ratios(list(distinct)) / 100
-        np.maximum.at(out, np.array(owner, np.int64), values[[distinct[p] for p in found]])
+        held = [(a.flatten().cast(pa.string()), pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False).astype(np.int64)) for a in (x, y)]
+        (ours, n), (theirs, m) = held
+        owner = np.repeat(np.arange(len(n)), n * m)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+        left = np.repeat(np.cumsum(n) - n, n * m) + nth // np.maximum(m[owner], 1)
+        right = len(ours) + np.repeat(np.cumsum(m) - m, n * m) + nth % np.maximum(m[owner], 1)
+        both = pa.concat_arrays([ours, theirs])
+        told = pc.fill_null(pc.greater(pc.utf8_length(both), 0), False).to_numpy(zero_copy_only=False)
+        kept = told[left] & told[right]
+        out = np.zeros(len(n))
+        np.maximum.at(out, owner[kept], partial_ratios_of(both, left[kept], right[kept]) / 100)
         return pa.array(out)
 
     clean = lambda ids: F.array_distinct(F.array_compact(F.coalesce(ids.cast("array<string>"), F.array().cast("array<string>"))))

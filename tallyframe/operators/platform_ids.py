@@ -147,7 +147,7 @@ def with_platform_ids(rows: DataFrame, row: str, platform: str) -> DataFrame:
 def checked_id(value: Column, platform: Column) -> Column:
     """struct(is_valid, reason, warnings, confidence) of an identifier: its form, then words of trial data and, for quickbooks, of other platforms; confidence is null without warnings."""
     verdict, low = platform_id_verdict(value, platform), F.lower(F.trim(value))
-    near = lambda words, least: F.greatest(*(edits.partial_ratio(low, F.lit(w)) for w in words)) > least
+    near = lambda words, least: edits.nearest_ratio(low, words) > least
     trial = verdict["is_valid"] & near(TRIAL_WORDS, TRIAL_RATIO)
     mixed = verdict["is_valid"] & (platform == "quickbooks") & near(OTHER_PLATFORMS, OTHER_RATIO)
     warnings = F.array_compact(F.array(F.when(trial, "ID contains test/sample indicators"), F.when(mixed, "ID contains mixed platform indicators")))
