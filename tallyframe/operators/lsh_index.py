@@ -165,9 +165,12 @@ def similar_pairs(rows: DataFrame, group: list[str], key: str, text: str, least:
 
     Rows whose words are the same are one set: each is paired with the set's first row, and sets with each other by their first rows.
     """
-    signed = rows.select(*group, F.col(key).alias("key"), signature(F.col(text)).alias("signature")).where("signature IS NOT NULL")
-    sets = written(signed.withColumn("print", F.xxhash64("signature")), "sets")
-    firsts = written(sets.groupBy(*group, "print").agg(F.min_by(F.struct("key", "signature"), "key").alias("at")).select(*group, "print", "at.*"), "firsts")
+    # a text is signed once, however many rows repeat it
+    given = rows.select(*group, F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    once = given.groupBy(*group, "text").agg(F.min("key").alias("key"))
+    texts = written(once.withColumn("signature", signature(F.col("text"))).where("signature IS NOT NULL").withColumn("print", F.xxhash64("signature")), "texts")
+    firsts = written(texts.groupBy(*group, "print").agg(F.min_by(F.struct("key", "signature"), "key").alias("at")).select(*group, "print", "at.*"), "firsts")
+    sets = given.join(texts.select(*group, "text", "print"), [*group, "text"])
     on = [*group, "print"]
     same = sets.select(*on, "key").join(firsts.select(*on, F.col("key").alias("first")), on).where("first < key").select(*group, "first", F.col("key").alias("second"), F.lit(1.0).alias("similarity"))
     own = firsts.select(*group, "key", F.explode(bands(F.col("signature"))).alias("b")).select(*group, "key", "b.*")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, edits, fields
 from ..functions.catalogs import DOCUMENT_TYPES, PLATFORMS, Label
-from ..operators import entities, entity_store, keywords, lsh_index, platform_ids, row_pipeline
+from ..operators import duplicates, entities, entity_store, keywords, lsh_index, platform_ids, row_pipeline
 from ..operators.lineage_cut import own_folder, written
 from ..sources.adapters import RELATIONSHIPS_SQL, ledger_events, relationships, table
 from ..sources.records import ctes, view
@@ -200,8 +200,8 @@ def near_duplicate_rows(spark, sf_dir):
     rows = view(spark, sf_dir, "payloads").where("memo <> ''").select("user_id", "id", "memo")
     firsts = rows.groupBy("user_id", F.sha2("memo", 256).alias("hash")).agg(F.min("id").alias("first"))
     exact = rows.withColumn("hash", F.sha2("memo", 256)).join(firsts, ["user_id", "hash"]).where("first < id").select("user_id", "id", F.col("first").alias("duplicate_of"), F.lit("exact").alias("kind"), F.lit(1.0).alias("similarity"))
-    near = lsh_index.similar_pairs(rows, ["user_id"], "id", "memo", 0.85)
-    best = near.groupBy("user_id", F.col("second").alias("id")).agg(F.min_by(F.struct("first", "similarity"), F.struct(-F.col("similarity"), "first")).alias("b"))
+    near = duplicates.first_alike(rows, ["user_id"], "id", "memo", 0.85)
+    best = near.select("user_id", F.col("key").alias("id"), F.struct("first", "similarity").alias("b"))
     other = best.join(exact, ["user_id", "id"], "left_anti").select("user_id", "id", F.col("b.first").alias("duplicate_of"), F.lit("near").alias("kind"), F.col("b.similarity").alias("similarity"))
     return exact.unionByName(other).withColumn("similarity", F.round("similarity", 6))
 
@@ -211,7 +211,9 @@ def near_duplicate_rows(spark, sf_dir):
 def unique_relationships(spark, sf_dir):
     """Relationships without those that repeat an earlier one's ends and type, or .85 of the words of its type and description."""
     links = view(spark, sf_dir, "linked")
-    once = links.groupBy("source_event_id", "target_event_id", "relationship_type").agg(F.min_by(F.struct("relationship_id", "semantic_description"), "relationship_id").alias("earliest")).select("relationship_type", "earliest.*")
+    ends = links.groupBy("source_event_id", "target_event_id", "relationship_type").agg(F.min_by(F.struct("relationship_id", "semantic_description"), "relationship_id").alias("earliest")).select("relationship_type", "earliest.*")
+    # rows of equal texts go with the first of them, whether it stays or not
+    once = written(ends.groupBy("relationship_type", "semantic_description").agg(F.min("relationship_id").alias("relationship_id")), "once")
     told = once.withColumn("told", F.concat_ws(" ", "relationship_type", "semantic_description")).withColumn("all", F.lit(0))
     gone = lsh_index.dropped_by_first(lsh_index.similar_pairs(told, ["all"], "relationship_id", "told", 0.85))
     return once.join(gone, F.col("relationship_id") == F.col("key"), "left_anti").select("relationship_id", "relationship_type", "semantic_description")
