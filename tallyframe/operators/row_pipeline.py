@@ -4,7 +4,8 @@
 
 A row is a map of field names to texts, whatever its file calls its fields.
 Everything but the likeness of vendor names is column arithmetic; dated rates
-come by the as-of join, so no task holds all rows of a currency.
+come by the as-of join of distinct currencies and days, so no task holds all
+rows of a currency.
 """
 
 from __future__ import annotations
@@ -52,16 +53,21 @@ def with_core_fields(rows: DataFrame, row: str, today: date | None = None, least
 
 
 def with_standards(rows: DataFrame) -> DataFrame:
-    """rows with vendor_standard and vendor_confidence of the core's vendor, each distinct name compared once; '' and 0 without one."""
-    names = rows.select(F.col("core.vendor_name").alias("__name")).distinct().withColumn("__vendor", cleaning.standard_vendor(F.col("__name")))
-    joined = rows.join(names, F.col("core.vendor_name") == F.col("__name"), "left")
-    return joined.withColumns({"vendor_standard": F.col("__vendor.vendor_standard"), "vendor_confidence": F.col("__vendor.confidence")}).drop("__name", "__vendor")
+    """rows with vendor_standard and vendor_confidence of the core's vendor, each distinct name of a batch compared once; '' and 0 without one.
+
+    Rows stay where they are: a third of them may have no vendor, and would meet in one task.
+    """
+    named = rows.withColumn("__vendor", cleaning.standard_vendor(F.col("core.vendor_name")))
+    return named.withColumns({"vendor_standard": F.col("__vendor.vendor_standard"), "vendor_confidence": F.col("__vendor.confidence")}).drop("__vendor")
 
 
 def with_dollars(rows: DataFrame, rates: DataFrame, currency: str = "currency", day: str = "day", rate: str = "rate") -> DataFrame:
     """rows with exchange_rate, exchange_date and amount_usd: dollars at 1, others at the currency's latest rate of the day or before, null if there is none."""
     keyed = rows.withColumns({"__currency": F.col("core.currency"), "__day": F.col("core.date")})
-    found = asof_join(keyed, rates, "__currency", "__day", rate, currency, day, out="__rate", out_at="__rate_day")
+    # rates depend on currency and day alone, so these are looked up, not whole rows
+    asked = keyed.select(F.col("__currency").alias("__asked"), F.col("__day").alias("__at")).where("__asked <> 'USD'").distinct()
+    dated = written(asof_join(asked, rates, "__asked", "__at", rate, currency, day, out="__rate", out_at="__rate_day"), "dated")
+    found = keyed.join(dated, (F.col("__currency") == F.col("__asked")) & (F.col("__day") == F.col("__at")), "left").drop("__asked", "__at")
     at = F.when(F.col("__currency") == "USD", 1.0).otherwise(F.col("__rate"))
     made = {"exchange_rate": at, "exchange_date": F.when(F.col("__currency") == "USD", F.col("__day")).otherwise(F.col("__rate_day")), "amount_usd": F.col("core.amount") * at}
     return found.withColumns(made).drop("__currency", "__day", "__rate", "__rate_day")

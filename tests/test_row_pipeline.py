@@ -60,3 +60,12 @@ def test_mappings_are_learned_and_applied(spark):
     assert {(r["who"], r["target_field"], r["source_column"]) for r in best.collect()} == {("u", "amount", "Total"), (None, "amount", "Cost")}
     mapped = {r["id"]: r["mapped"] for r in row_pipeline.mapped_fields(rows, "row", "who", best, "id").collect()}
     assert mapped == {1: {"amount": "5", "x": "y"}, 2: {"amount": "6", "Cost": "7"}, 3: {"amount": "8"}, 4: None}
+
+
+def test_rows_without_vendor_stay_where_they_are(spark):
+    """They were shuffled by vendor into one task, and whole rows were sorted by currency and day."""
+    rows = spark.range(300).select("id", F.create_map(F.lit("price"), F.lit("5"), F.lit("ccy"), F.when(F.col("id") % 2 == 0, "EUR").otherwise("USD"), F.lit("date"), F.lit("2024-03-02")).alias("row"))
+    rates = spark.createDataFrame([("EUR", date(2024, 3, 1), 1.5)], "currency string, day date, rate double")
+    found = row_pipeline.enriched_rows(rows, "row", rates, date(2020, 2, 2))
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id"] % 2, r["amount_usd"], r["vendor_standard"], r["exchange_date"]) for r in found.collect()} == {(0, 7.5, "", date(2024, 3, 1)), (1, 5.0, "", date(2024, 3, 2))}
