@@ -11,6 +11,7 @@ Null and empty texts have no hits. A catalogue is configuration, at most
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from ..functions.catalogs import Label
 
 MOST_WORDS = 200_000
+#: Texts whose hits are Python objects at the same time.
+TEXTS = 64
+#: Rows of a batch of totals.
+BATCH = 10_000
 HITS = "array<struct<label:string,word:string,hits:int,first:int>>"
 _HIT = pa.struct([("label", pa.string()), ("word", pa.string()), ("hits", pa.int32()), ("first", pa.int32())])
 
@@ -64,11 +69,34 @@ def keyword_hits(text: Column, labels: Iterable[tuple[str, str]]) -> Column:
 
     @F.arrow_udf(HITS)
     def hits(texts: pa.Array) -> pa.Array:
-        return pa.array([found_words(t, words) for t in texts.to_pylist()], pa.list_(_HIT))
+        # as Arrow after every few texts: hits of long texts as Python objects take several times the memory
+        parts = [pa.array([found_words(t, words) for t in texts[at : at + TEXTS].to_pylist()], pa.list_(_HIT)) for at in range(0, len(texts), TEXTS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(_HIT))
 
     return hits(text.cast("string"))
 
 
+def word_totals(texts: DataFrame, text: str, labels: Iterable[tuple[str, str]]) -> DataFrame:
+    """(label, word, n_docs, hits): the texts that hold each word, and its occurrences. A task holds two counts for each word, whatever its texts."""
+    words = owners(labels)
+
+    def run(batches):
+        n_docs, hits = Counter(), Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                if t.is_valid and words:
+                    here = Counter(pair for _, pair in automaton(words).iter(t.as_py().lower()))
+                    hits.update(here)
+                    n_docs.update(here.keys())
+        found = list(hits)
+        for at in range(0, len(found), BATCH):
+            some = found[at : at + BATCH]
+            yield pa.RecordBatch.from_arrays([pa.array([x[1] for x in some], pa.string()), pa.array([x[0] for x in some], pa.string()), pa.array([n_docs[x] for x in some], pa.int64()), pa.array([hits[x] for x in some], pa.int64())], names=["label", "word", "n_docs", "hits"])
+
+    each = texts.select(F.col(text).cast("string")).mapInArrow(run, "label string, word string, n_docs bigint, hits bigint")
+    return each.groupBy("label", "word").agg(F.sum("n_docs").alias("n_docs"), F.sum("hits").alias("hits"))
+
+
 def label_hits(hits: Column) -> Column:
     """array of struct(label, hits) in the order of first sight; `hits` must be a column that is made already."""
     labels = F.array_distinct(F.transform(hits, lambda h: h["label"]))

@@ -70,8 +70,7 @@ def benchmark_word_hits(spark, sf_dir):
     """Every word of the benchmark, wherever it stands within the whole texts of documents: documents and occurrences, overlapping ones too."""
     words = table(spark, sf_dir, "benchmark").select(F.explode(keywords.terms(F.col("text"))).alias("w")).distinct()
     listed = [("benchmark", r["w"]) for r in words.limit(keywords.MOST_WORDS + 1).collect()]  # a longer list is refused
-    found = table(spark, sf_dir, "documents").select(F.explode(keywords.keyword_hits(F.col("text"), listed)).alias("h")).select("h.*")
-    return found.groupBy("word").agg(F.count("*").alias("n_docs"), F.sum("hits").alias("hits"))
+    return keywords.word_totals(table(spark, sf_dir, "documents"), "text", listed).select("word", "n_docs", "hits")
 
 
 _SHARES = """n AS (SELECT key, label, sum(n) AS n, min(first * 1000 - length(word)) AS seen FROM hits GROUP BY 1, 2),

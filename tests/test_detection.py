@@ -82,3 +82,12 @@ def test_profile_cosines(spark):
     got = {(r["id"], r["label"]): r["cosine"] for r in keywords.profile_cosines(spark.createDataFrame(list(texts.items()), "id int, text string"), "id", F.col("text"), model).collect()}
     want = {(k, p): sum(x * unit(grams[p]).get(t, 0) for t, x in unit(grams[k]).items()) for k in texts for p in profiles}
     assert {k: v for k, v in want.items() if v > 0}.keys() == got.keys() and all(abs(want[k] - v) < 1e-12 for k, v in got.items())
+
+
+def test_word_totals_hold_counts_only(spark):
+    texts = ["Abc abcab", "", None, "zzz", "ab" * 500] * 300
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = keywords.word_totals(df, "text", [("x", "ab"), ("y", "ABC"), ("z", "nowhere")])
+    want = {w: (sum(w in (t or "").lower() for t in texts), sum(len(occurrences((t or "").lower(), w)) for t in texts)) for w in ("ab", "abc")}
+    assert {r["word"]: (r["n_docs"], r["hits"]) for r in got.collect()} == want and {r["label"] for r in got.collect()} == {"x", "y"}
+    assert keywords.word_totals(df, "text", []).count() == 0
