@@ -176,7 +176,10 @@ _ENRICHED = {"relationships": "instances", "causal": "causal_rows", "temporal":
  LEFT JOIN cause_rows a ON r.source_event_id = a.problem_event_id AND r.user_id = a.user_id""")
 def enriched_view_after_batches(spark, sf_dir):
     """The stored view of relationships and six tables around them: built without some rows and with stale ones, then mended by two batches of changed keys."""
-    final = {name: written(view(spark, sf_dir, source), name) for name, source in _ENRICHED.items()}
+    # relationships are made once; of the tables around them only aggregates are written, the others are filters
+    made = written(relationships(ledger_events(spark, sf_dir)), "relationships")
+    final = {name: view(spark, sf_dir, source, relationships=made) for name, source in _ENRICHED.items()}
+    final |= {name: written(final[name], name) for name in ("temporal", "patterns")}
     links = final["relationships"]
     late, stale = links.where("id % 8 = 3"), links.where("id % 6 = 1")
     early = links.where("id % 8 <> 3").withColumn("confidence_score", F.when(F.col("id") % 6 == 1, 0.0).otherwise(F.col("confidence_score")))

@@ -93,9 +93,10 @@ VIEWS = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, **held: DataFrame) -> DataFrame:
+    """The view; `held` gives tables that are made already, as relationships=..., which several views then share."""
     needs = set(re.findall(r"\{([a-z_]+)\}", VIEWS[name]))
-    found = {n: relationships(ledger_events(spark, sf_dir)) if n == "relationships" else table(spark, sf_dir, n) for n in needs}
+    found = {n: held[n] if n in held else relationships(ledger_events(spark, sf_dir)) if n == "relationships" else table(spark, sf_dir, n) for n in needs}
     return spark.sql(_escaped(VIEWS[name], needs), **found)
 
 

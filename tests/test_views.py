@@ -75,3 +75,16 @@ def test_metrics_of_changed_users(spark, tmp_path):
     view.refresh(1, spark.createDataFrame([("a",), ("b",), ("c",)], "user string"))
     view.refresh(1, spark.createDataFrame([("a",), ("b",), ("c",)], "user string"))
     assert {r["user"]: r["total"] for r in view.current().collect() if r["user"]} == {"a": 10, "c": 1}
+
+
+def test_relationships_of_the_enriched_view_are_made_once(spark, monkeypatch):
+    """They were joined from orders and customers for each of seven tables."""
+    from tallyframe.plans import algorithms
+    from tallyframe.sources import records
+
+    calls = []
+    for module in (algorithms, records):
+        made = module.relationships
+        monkeypatch.setattr(module, "relationships", lambda ledger, made=made: calls.append(1) or made(ledger))
+    assert algorithms.QUERIES["enriched_view_after_batches"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
