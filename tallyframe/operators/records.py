@@ -212,25 +212,29 @@ def causal_paths(edges: DataFrame, depth: int) -> DataFrame:
     Paths, not nodes, so several ways to a node are kept. Each round joins only
     the newest paths by their last event.
     """
+    return _paths(edges.withColumn("ends", F.lit(False)), depth).drop("ends")
+
+
+def _paths(edges: DataFrame, depth: int) -> DataFrame:
+    """causal_paths with `ends` of each path's last edge; paths are not carried on beyond an edge that ends."""
     from .lineage_cut import cut
 
-    edges = cut(edges.select("id", "src", "dst", "score"))
-    newest = cut(edges.select(F.lit(1).alias("depth"), F.array("src", "dst").alias("path"), F.array("id").alias("links"), F.col("score").alias("confidence"), F.col("dst").alias("last")))
+    edges = cut(edges.select("id", "src", "dst", "score", "ends"))
+    newest = cut(edges.select(F.lit(1).alias("depth"), F.array("src", "dst").alias("path"), F.array("id").alias("links"), F.col("score").alias("confidence"), F.col("dst").alias("last"), "ends"))
     out = newest
     for d in range(2, depth + 1):
-        step = newest.join(edges, F.col("last") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        newest = cut(step.select(F.lit(d).alias("depth"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("links", F.col("id")).alias("links"), (F.col("confidence") * F.col("score")).alias("confidence"), F.col("dst").alias("last")))
+        step = newest.where("NOT ends").drop("ends").join(edges, F.col("last") == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+        newest = cut(step.select(F.lit(d).alias("depth"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("links", F.col("id")).alias("links"), (F.col("confidence") * F.col("score")).alias("confidence"), F.col("dst").alias("last"), "ends"))
         out = out.unionByName(newest)
     return out.drop("last")
 
 
 def root_paths(edges: DataFrame, depth: int) -> DataFrame:
     """Causal paths against the direction of edges that end at an event nothing causes: (root, problem, path, depth, score)."""
-    back = edges.select("id", F.col("dst").alias("src"), F.col("src").alias("dst"), "score")
-    root = F.element_at("path", -1)
-    paths = causal_paths(back, depth).withColumn("root", root)
-    caused = edges.select(F.col("dst").alias("root")).distinct()
-    return paths.join(caused, "root", "left_anti").select("root", F.col("path")[0].alias("problem"), "path", "depth", F.col("confidence").alias("score"))
+    # roots are marked on the edges, so that no path is shuffled to be told apart
+    caused = edges.select(F.col("dst").alias("__root")).distinct()
+    back = edges.join(caused, F.col("src") == F.col("__root"), "left").select("id", F.col("dst").alias("src"), F.col("src").alias("dst"), "score", F.col("__root").isNull().alias("ends"))
+    return _paths(back, depth).where("ends").select(F.element_at("path", -1).alias("root"), F.col("path")[0].alias("problem"), "path", "depth", F.col("confidence").alias("score"))
 
 
 def causal_direction(temporal: Column, causality: Column) -> Column:

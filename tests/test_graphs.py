@@ -173,3 +173,12 @@ def test_louvain_of_few_edges(spark):
     df = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (3, 3, 2.0), (None, 4, 1.0)], "src int, dst int, weight double")
     assert {r["node"]: r["community"] for r in communities.louvain(df).collect()} == {1: 1, 2: 1, 3: 3}
     assert communities.louvain(df.limit(0)).count() == 0
+
+
+def test_root_paths_are_not_shuffled_at_the_end(spark):
+    from tallyframe.operators import records
+
+    edges = spark.createDataFrame([(1, 1, 2, 0.5), (2, 2, 3, 0.5), (3, 9, 3, 1.0), (4, 3, 2, 1.0)], "id int, src int, dst int, score double")
+    found = records.root_paths(edges, 5)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["root"], r["problem"], tuple(r["path"]), r["depth"], r["score"]) for r in found.collect()} == {(1, 2, (2, 1), 1, 0.5), (1, 3, (3, 2, 1), 2, 0.25), (9, 3, (3, 9), 1, 1.0), (9, 2, (2, 3, 9), 2, 1.0)}
