@@ -82,3 +82,12 @@ def test_classes_of_names_stand_for_all_pairs(spark):
     assert spread == all_pairs and sum(p["n_links"] for p in rows if p["kind"] == "pair") == len(all_pairs)
     for at, side in ((1, "left"), (2, "right")):
         assert all(m[3] == sum(p[at] == m[2] for p in all_pairs) for m in members[side])
+
+
+def test_copies_of_a_dropped_text_go_with_it(spark, monkeypatch):
+    """Copies of a text that goes for an earlier one's sake stayed."""
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, 1, 2, "t", long), (2, 2, 3, "t", long + " x"), (3, 3, 4, "t", long + " x"), (4, 4, 5, "t", "other")]
+    links = spark.createDataFrame(rows, "relationship_id bigint, source_event_id bigint, target_event_id bigint, relationship_type string, semantic_description string")
+    monkeypatch.setattr(detection, "view", lambda *_: links)
+    assert {r["relationship_id"] for r in detection.QUERIES["unique_relationships"](spark, "").collect()} == {1, 4}
