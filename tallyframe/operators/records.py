@@ -6,9 +6,17 @@ user, with counted categories as sorted `key:count` lists.
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage_cut import written
+
 
 def _filtered(df: DataFrame, *conditions: Column | None) -> DataFrame:
     for c in conditions:
@@ -306,31 +314,87 @@ def duplicate_cascade(files: DataFrame, same_from: float = 0.85) -> DataFrame:
     return files.select("file_id").join(best, "file_id", "left").select("file_id", F.coalesce("b.duplicate_type", F.lit("none")).alias("duplicate_type"), F.col("b.original").alias("original"), F.round(F.coalesce("b.similarity", F.lit(0.0)), 6).alias("similarity"))
 
 
+#: Slots of the sketch of trigrams, and how many keys a name is given at most for one size of its partners, where one trigram each does not take more.
+SLOTS, KEYS = 1 << 18, 24
+#: How many trigrams make a key where `i` of those that are tried may be missing.
+DRAWN = [SLOTS] + [max((n for n in range(1, KEYS) if math.comb(i + n, n) <= KEYS), default=1) for i in range(1, KEYS + 1)]
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))))
+
+
+def _slot(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
+
+
+def _keys(grams: Column, n: Column) -> Column:
+    """A hash of each choice of n of the grams, in their order."""
+
+    @F.arrow_udf("array<bigint>")
+    def run(rows: pa.Array, sizes: pa.Array) -> pa.Array:
+        pairs = zip(rows.to_pylist(), sizes.to_pylist(), strict=True)
+        return pa.array([[xxhash.xxh64_intdigest("\0".join(c)) - (1 << 63) for c in combinations(row, k)] for row, k in pairs], pa.list_(pa.int64()))
+
+    return run(grams, n)
+
+
+def alike_names(names: DataFrame, others: DataFrame, least: float) -> DataFrame:
+    """Pairs (user_id, folded, other, by_name, alike) of names of one user whose sets of trigrams are alike by `least` or more; names: (user_id, folded), others: (user_id, other, by_name).
+
+    Sets of a and m trigrams must share `need` of them. Of both, in one order
+    (rarest first, by a sketch of fixed size), the first n shared ones lie among
+    the first a - need + n and m - need + n; every choice of n of those is a key,
+    and pairs that share a key are compared. The more must be shared, the larger
+    n may be: where all must, the key is the whole set. So names of the same few
+    trigrams (numbers) do not all meet on one of them.
+    """
+    others = others.where("user_id IS NOT NULL AND other IS NOT NULL").withColumn("m", F.size(_grams(F.col("other"))))
+    held = np.zeros(SLOTS, np.int64)
+    for slot, n in others.select(F.explode(_grams(F.col("other"))).alias("gram")).groupBy(_slot(F.col("gram"))).count().collect():  # at most SLOTS
+        held[slot] = n
+    longest = others.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
+
+    @F.arrow_udf("array<bigint>")
+    def counts(slots: pa.Array) -> pa.Array:
+        return pa.array([held[row].tolist() for row in slots.to_pylist()], pa.list_(pa.int64()))
+
+    def ordered(grams: Column) -> Column:
+        """Trigrams that the others may hold, rarest first."""
+        told = F.zip_with(counts(F.transform(grams, _slot)), grams, lambda n, g: F.struct(n.alias("n"), g.alias("g")))
+        return F.transform(F.array_sort(F.filter(told, lambda t: t["n"] > 0)), lambda t: t["g"])
+
+    grams = _grams(F.col("folded"))
+    tried = names.where("user_id IS NOT NULL AND folded IS NOT NULL").select("user_id", "folded", F.size(grams).alias("a"), ordered(grams).alias("t"))
+    tried = written(tried.where(F.size("t") >= F.col("a") * least - 1e-6), "tried")
+    low = F.greatest(F.ceil(F.col("a") * least - 1e-6), F.lit(1)).cast("int")
+    high = F.least(F.floor(F.col("a") / least + 1e-6), F.lit(longest)).cast("int") if least > 0 else F.lit(longest)
+    sizes = F.when(low <= high, F.sequence(low, high))
+    need = F.greatest(F.ceil((F.col("a") + F.col("m")) * (least / (1 + least)) - 1e-6), F.lit(1)).cast("int")
+    sized = tried.withColumn("m", F.explode(sizes)).withColumn("need", need).where(F.col("need") <= F.least(F.size("t"), F.col("m")))
+    asked = sized.groupBy("user_id", "m").agg(F.min("need").alias("fewest"), F.max(F.greatest(F.size("t"), F.col("m")) - F.col("need")).alias("off"))
+    drawn = F.least(F.get(F.array(*map(F.lit, DRAWN)), F.least("off", F.lit(KEYS)).cast("int")), F.col("fewest"))
+    asked = written(asked.select("user_id", "m", "fewest", drawn.alias("n")), "asked")
+    a = sized.join(asked, ["user_id", "m"]).select("user_id", "m", "folded", _keys(F.slice("t", F.lit(1), F.size("t") - F.col("need") + F.col("n")), F.col("n")).alias("keys"))
+    b = others.join(asked, ["user_id", "m"]).select("user_id", "m", "other", "by_name", _keys(F.slice(ordered(_grams(F.col("other"))), F.lit(1), F.col("m") - F.col("fewest") + F.col("n")), F.col("n")).alias("keys"))
+    a, b = (df.withColumn("key", F.explode("keys")).drop("keys") for df in (a, b))
+    met = a.join(b, ["user_id", "m", "key"]).select("user_id", "folded", "other", "by_name").distinct()
+    pairs = met.withColumn("g", grams).withColumn("h", _grams(F.col("other")))
+    return pairs.withColumn("alike", F.size(F.array_intersect("g", "h")) / F.size(F.array_union("g", "h"))).where(F.col("alike") >= least).drop("g", "h")
+
+
 def resolve_entities(mentions: DataFrame, known: DataFrame, fuzzy_from: float = 0.75) -> DataFrame:
     """Per mention (id, user_id, name, email): the entity by e-mail, else by folded name, else by the best trigram similarity within the user, else new.
 
     known: (entity_id, user_id, name, email). Returns (id, entity_id, method, confidence, entropy = 1 - confidence).
-    Trigram candidates share one of the rarest trigrams that a sufficiently similar name must hold.
     """
     fold = lambda c: F.lower(F.trim(c))
     by_mail = known.where("email IS NOT NULL").groupBy("user_id", F.lower("email").alias("mail")).agg(F.min("entity_id").alias("by_mail"))
-    by_name = known.groupBy("user_id", fold("name").alias("folded")).agg(F.min("entity_id").alias("by_name"))
+    by_name = written(known.groupBy("user_id", fold("name").alias("folded")).agg(F.min("entity_id").alias("by_name")), "names")
     asked = mentions.withColumn("mail", F.lower("email")).withColumn("folded", fold("name"))
-    first = asked.join(by_mail, ["user_id", "mail"], "left").join(by_name, ["user_id", "folded"], "left")
+    first = written(asked.join(by_mail, ["user_id", "mail"], "left").join(by_name, ["user_id", "folded"], "left").select("id", "user_id", "folded", "by_mail", "by_name"), "first")
     names = first.where("by_mail IS NULL AND by_name IS NULL").select("user_id", "folded").distinct()
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    left = names.withColumn("g", grams(F.col("folded")))
-    right = by_name.select("user_id", F.col("folded").alias("other"), "by_name").withColumn("h", grams(F.col("other")))
-    counts = right.select("user_id", F.explode("h").alias("gram")).groupBy("user_id", "gram").agg(F.count("*").alias("n"))
-
-    def prefix(df: DataFrame, name: str, grams: str) -> DataFrame:
-        long = df.select("user_id", name, F.size(grams).alias("size"), F.explode(grams).alias("gram")).join(counts, ["user_id", "gram"], "left")
-        ranked = long.groupBy("user_id", name, "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))).alias("t"))
-        return ranked.select("user_id", name, F.explode(F.slice("t", F.lit(1), (F.col("size") - F.ceil(F.col("size") * fuzzy_from) + 1).cast("int"))).alias("p")).select("user_id", name, "p.gram")
-
-    pairs = prefix(left, "folded", "g").join(prefix(right, "other", "h"), ["user_id", "gram"]).select("user_id", "folded", "other").distinct()
-    alike = F.size(F.array_intersect("g", "h")) / F.size(F.array_union("g", "h"))
-    fuzzy = pairs.join(left, ["user_id", "folded"]).join(right, ["user_id", "other"]).withColumn("alike", alike).where(F.col("alike") >= fuzzy_from)
+    fuzzy = alike_names(names, by_name.select("user_id", F.col("folded").alias("other"), "by_name"), fuzzy_from)
     fuzzy = fuzzy.groupBy("user_id", "folded").agg(F.max_by("by_name", F.struct("alike", -F.col("by_name"))).alias("by_fuzzy"), F.max("alike").alias("alike"))
     joined = first.join(fuzzy, ["user_id", "folded"], "left")
     confidence = F.when(F.col("by_mail").isNotNull(), 0.95).when(F.col("by_name").isNotNull(), 1.0).otherwise(F.coalesce(F.round("alike", 6), F.lit(0.0)))

@@ -91,3 +91,34 @@ def test_copies_of_a_dropped_text_go_with_it(spark, monkeypatch):
     links = spark.createDataFrame(rows, "relationship_id bigint, source_event_id bigint, target_event_id bigint, relationship_type string, semantic_description string")
     monkeypatch.setattr(detection, "view", lambda *_: links)
     assert {r["relationship_id"] for r in detection.QUERIES["unique_relationships"](spark, "").collect()} == {1, 4}
+
+
+def test_numbered_names_do_not_all_meet(spark):
+    """Names that differ in a number met on each of their rarer trigrams: 500 names of a user made tens of thousands of pairs."""
+    known = [(i, 0, f"Customer#{7919 * i % 10**6:09d}", None) for i in range(1, 501)]
+    asked = [(i, u, f"{n} ltd", m) for i, u, n, m in known]
+    columns = "user_id int, name string, email string"
+    got = records.resolve_entities(spark.createDataFrame(asked, f"id int, {columns}"), spark.createDataFrame(known, f"entity_id int, {columns}"))
+    assert most_joined_rows(got) < 2_000
+    found = {r["id"]: (r["entity_id"], r["method"]) for r in got.collect()}
+    assert found == {i: (i, "fuzzy_name") for i in range(1, 501)}
+
+
+def test_fuzzy_names_beside_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["acme", "north", "steel", "trading", "aaaa", "aaaaaa", "07", "1999", "x", "\u00e9t\u00e9"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 6)))
+    changed = lambda s: "".join(rng.choice([c, c, c, c, c, c, c, "z"]) for c in s)
+    known = [(i, rng.randrange(2), name(), None) for i in range(150)] + [(150, None, "acme", None), (151, 0, None, None), (152, 0, "", None)]
+    asked = [(i, u, changed(n) if n else n, m) for i, u, n, m in known] + [(200 + i, i % 2, name(), None) for i in range(40)] + [(300, 0, "zz", None)]
+    grams = lambda s: {s[i : i + 3] for i in range(max(len(s) - 2, 1))}
+    columns = "user_id int, name string, email string"
+    for least in (0.3, 0.6, 0.75, 0.9):
+        want = {}
+        for i, u, n, _ in asked:
+            same = [k for k, v, o, _ in known if v == u and u is not None and n is not None and o == n]
+            near = max(((len(grams(n) & grams(o)) / len(grams(n) | grams(o)), -k) for k, v, o, _ in known if v == u and None not in (u, n, o)), default=(0.0, 0))
+            want[i] = (min(same), "exact_name", 1.0) if same else (-near[1], "fuzzy_name", round(near[0], 6)) if near[0] >= least else (None, "new", 0.0)
+        got = records.resolve_entities(spark.createDataFrame(asked, f"id int, {columns}"), spark.createDataFrame(known, f"entity_id int, {columns}"), least)
+        assert {r["id"]: (r["entity_id"], r["method"], r["confidence"]) for r in got.collect()} == want
+        assert len({w[1] for w in want.values()}) == 3
