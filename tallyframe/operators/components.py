@@ -9,36 +9,40 @@ from .graph import graph_stats, vertices
 from .lineage_cut import written
 
 
-def _star(links: DataFrame, larger: bool) -> DataFrame:
-    """Each node's larger (or smaller) neighbours linked to the least of its neighbourhood. links: (high, low)."""
-    around = links.select(F.col("high").alias("node"), F.col("low").alias("other"))
-    if larger:
-        around = around.unionByName(links.select(F.col("low").alias("node"), F.col("high").alias("other")))
-    least = around.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("least"))
-    joined = around.join(least, "node")
-    if larger:
-        made = joined.where("other > node").select(F.col("other").alias("high"), F.col("least").alias("low"))
-    else:
-        made = joined.select(F.when(F.col("other") == F.col("least"), F.col("node")).otherwise(F.col("other")).alias("high"), F.col("least").alias("low"))
-    return made.where("high != low").distinct()
+def _pointers(links: DataFrame, salt: int) -> DataFrame:
+    """(node, pointer): each end's neighbour, or itself, that comes first in an order of its own for each salt. A null end is no neighbour and points nowhere."""
+    end = lambda one, other: F.struct(F.col(one).alias("node"), F.when(F.col(one).isNotNull(), F.coalesce(other, one)).alias("other"))
+    placed = lambda c: F.struct(F.xxhash64(F.lit(salt), c).alias("place"), F.col(c).alias("node"))
+    around = links.select(F.explode(F.array(end("src", "dst"), end("dst", "src"))).alias("e")).select("e.*")
+    return around.groupBy("node").agg(F.min(placed("other")).alias("first")).select("node", F.least("first", placed("node"))["node"].alias("pointer"))
 
 
 def weak_components(edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 100) -> DataFrame:
     """(node, component): the least node that each reaches along edges (src, dst) of either direction; nodes without edges are their own.
 
-    Larger neighbours are linked to the least one, then smaller ones, until links
-    no longer change; about log(nodes) rounds, each of which shuffles links only.
+    Every node points to its first neighbour in a random order, and links become
+    links of what their ends point to, until none is left: about half of the
+    nodes of a path or a star are pointed to, so all rounds together shuffle a
+    few times the links. Then pointers are followed back, round by round.
     """
-    nodes = vertices(edges.select("src", "dst")) if nodes is None else nodes.select("node").distinct()
-    links = written(edges.where("src != dst").select(F.greatest("src", "dst").alias("high"), F.least("src", "dst").alias("low")).distinct(), "links")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
-    before = mark(links)
-    for _ in range(rounds):
-        links = written(_star(_star(links, True), False), "links")
-        if (now := mark(links)) == before:
-            return nodes.join(links, F.col("node") == F.col("high"), "left").select("node", F.coalesce("low", "node").alias("component"))
-        before = now
-    raise RuntimeError("components did not settle")
+    links, steps = written(edges.select("src", "dst"), "links"), []
+    for i in range(rounds):
+        steps.append(to := written(_pointers(links, i), "pointers"))
+        a, b = to.toDF("src", "a"), to.toDF("dst", "b")
+        moved = links.join(a, "src").join(b, "dst").where("a != b")
+        links = written(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "links")
+        if links.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    roots = steps.pop()
+    for i, to in enumerate(reversed(steps), 1):
+        roots = to.join(roots.toDF("pointer", "root"), "pointer", "left").select("node", F.coalesce("root", "pointer").alias("pointer"))
+        roots = written(roots, "roots") if i % 8 == 0 else roots
+    roots = written(roots, "roots")
+    least = roots.groupBy("pointer").agg(F.min("node").alias("component"))
+    found = roots.join(least, "pointer", "left").select("node", "component")
+    return found if nodes is None else nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def apply_changes(edges: DataFrame, changes: DataFrame) -> DataFrame:
@@ -66,9 +70,10 @@ def mend_components(components: DataFrame, edges: DataFrame, touched: DataFrame)
     Only components that hold a touched node are built anew, from the edges
     within them; all others keep their rows. Nodes that have no edge any more go.
     """
+    touched = written(touched, "touched")
     stale = components.join(touched, "node").select("component").distinct()
     inside = written(components.join(stale, "component").select("node").unionByName(touched.select("node")).distinct(), "inside")
-    within = written(edges.select("src", "dst").join(inside, F.col("src") == F.col("node"), "left_semi"), "within")
+    within = edges.select("src", "dst").join(inside, F.col("src") == F.col("node"), "left_semi")
     kept = components.join(inside, "node", "left_anti")
     return kept.select("node", "component").unionByName(weak_components(within))
 

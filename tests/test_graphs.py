@@ -8,7 +8,7 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import centrality, communities, components
+from tallyframe.operators import centrality, communities, components, lineage_cut
 
 
 def brandes(edges):
@@ -81,6 +81,26 @@ def test_components(spark):
     assert (summary["n_components"], summary["largest_component"], summary["n_edges"]) == (len(sizes), max(sizes.values()), len(edges))
 
 
+def test_links_of_components_shrink_by_the_round(spark, tmp_path, monkeypatch):
+    """All links of all components were shuffled again in every round."""
+    rows, name = [], lambda i: i * 7919 % 20011
+    for at in range(0, 4000, 10):
+        rows += [(name(i), name(i + 1)) for i in range(at, at + 9)]
+    star, sizes = [(20011, i) for i in range(20012, 21012)], []
+
+    def counted(df, step="step"):
+        out = lineage_cut.written(df, step)
+        if step == "links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "written", counted)
+    edges = rows + star + [(None, 5), (30000, None)]
+    got = components.weak_components(spark.createDataFrame(edges, "src int, dst int")).collect()
+    assert sum(sizes) < 3 * sizes[0] and sizes[-1] == 0
+    assert {r["node"]: r["component"] for r in got} == plain_components(rows + star + [(5, 5), (30000, 30000)]) | {None: None}
+
+
 def test_mending_equals_rebuilding(spark):
     """After each of several random batches of additions, moves and removals."""
     rng, kind = random.Random(3), "id int, src int, dst int, changed_at int"
